@@ -1 +1,6 @@
+"""All queries of the library's core and, where SQL can say it, their SQL."""
 
+from . import skew
+
+QUERIES = {**skew.QUERIES}
+SQL = {**skew.SQL}

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,23 @@ def get_session(name: str = "ouzel", master: str | None = None, **conf: str) ->
     return builder.config(map=DEFAULTS | conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per session, wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ouzel_shipped", False):
+        return
+    sc._ouzel_shipped = True
+    place = tempfile.mkdtemp(prefix="ouzel-code-")  # the driver serves it; nothing else reads it
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{place}/ouzel_code.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(f"{place}/ouzel_code.zip")
+    atexit.register(shutil.rmtree, place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,6 +71,7 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     prunable and tells the optimizer the true size of the result.
     """
     spark = df.sparkSession
+    ship(spark)
     base = shared_dir(spark)
     path = os.path.join(base, "ouzel", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
@@ -81,4 +100,4 @@ def _forget(sc) -> None:
 def is_small(df: DataFrame, limit_bytes: int = 8 << 20) -> bool:
     """Whether the optimizer's size estimate of ``df`` (exact for staged data) is within a bound."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit_bytes
+    return int(str(stats.sizeInBytes())) <= limit_bytes
