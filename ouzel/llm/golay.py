@@ -21,7 +21,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from ..session import stage
+from ..session import is_small, stage
 from .words import mix, shingle_hashes, word_hashes
 
 #: The generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the code.
@@ -148,15 +148,11 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = {f: xxhash.xxh64_intdigest(f) for f in b["field"].unique()}
         group = b["field"].map(names).to_numpy(np.uint64)
         rows, keys = keys_of(seg, anchors, group)
-        width = seg.shape[1]
-        words = []
-        for k in range(3):  # two segments to a 64-bit word
-            part = np.zeros(len(b), np.int64)
-            for j, s in enumerate(range(2 * k, min(2 * k + 2, width))):
-                part |= seg[:, s] << (BITS * j)
-            words.append(part)
+        print_ = np.zeros(len(b), np.int64)  # the first 64 bits
+        for k in range(min(3, seg.shape[1])):
+            print_ |= seg[:, k] << (BITS * k)
         u = b["u"].to_numpy()
-        yield pd.DataFrame({"u": u[rows], "f0": words[0][rows], "f1": words[1][rows], "f2": words[2][rows], "key": keys})
+        yield pd.DataFrame({"u": u[rows], "f": print_[rows], "key": keys})
 
 
 def _shingle_stage(shingle: int):
@@ -170,7 +166,7 @@ def _shingle_stage(shingle: int):
     return run
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 5, error_share: float = 0.3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 5, error_share: float = 0.25) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near copies among ``docs(field string, id string, text string)``, within each field.
 
     Returns ``members(u, field, id, rep)``: one row per text of at least ``min_words`` words, ``rep``
@@ -179,8 +175,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     ``threshold``; and ``copies(rep, n)``: texts that occur ``n`` > 1 times. Null texts, texts with
     fewer words and empty tables give no rows. Word order and case follow the text; a text of any
     length is read whole. ``segments`` (at most 6) fixes recall, ``error_share`` the largest share of
-    differing fingerprint bits at which a shared key is followed up (0.3 lies beyond four standard
-    deviations of pairs at a similarity of 0.6).
+    differing bits, of the fingerprint's first 64, at which a shared key is followed up (0.25 lies four
+    standard deviations beyond pairs with a tenth of their words changed).
     """
     if not 1 <= segments <= 6:
         raise ValueError("segments must be 1..6")
@@ -193,13 +189,13 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     copies = stage(prints.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     members = prints.select("u", "field", "id", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").select("u", "field", "id", F.coalesce("rep", "u").alias("rep"))
     reps = prints.join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").where("rep is null or rep = u")
-    keys = reps.select("u", "field", "seg", "anchor").mapInPandas(_expand, "u long, f0 long, f1 long, f2 long, key long")
+    keys = reps.select("u", "field", "seg", "anchor").mapInPandas(_expand, "u long, f long, key long")
     a, b = (keys.select(*(F.col(c).alias(f"{c}_{side}") for c in keys.columns)) for side in "ab")
-    most = int(error_share * segments * BITS)
-    differ = sum((F.bit_count(F.col(f"f{k}_a").bitwiseXOR(F.col(f"f{k}_b"))) for k in range(1, (segments + 1) // 2)), F.bit_count(F.col("f0_a").bitwiseXOR(F.col("f0_b"))))
+    differ = F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b")))
+    most = int(error_share * min(64, segments * BITS))
     found = stage(a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("u_a") < F.col("u_b")) & (differ <= most)).select("u_a", "u_b").distinct(), "candidates")
-    involved = found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u")
-    texts = present.join(involved, ["field", "id", "digest"]).select("u", "text")
+    involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")
+    texts = present.join(F.broadcast(involved) if is_small(involved) else involved, ["field", "id", "digest"]).select("u", "text")
     sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<long>").dropDuplicates(["u"]), "shingles")
     sa, sb = sets.select(F.col("u").alias("u_a"), F.col("s").alias("s_a")), sets.select(F.col("u").alias("u_b"), F.col("s").alias("s_b"))
     both = found.join(sa, "u_a").join(sb, "u_b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
@@ -227,3 +223,22 @@ def near_copy_rows(docs: DataFrame, **options) -> DataFrame:
     across = pairs.select("rep_a", "rep_b").join(left, "rep_a").join(right, "rep_b").select("field", "x", "y")
     same = copied.select("rep", "field", F.col("id").alias("x")).join(copied.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("field", "x", "y")
     return across.unionAll(same).select("field", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def near_copy_groups(docs: DataFrame, **options) -> DataFrame:
+    """One row per text: ``field, id, group, links``.
+
+    ``group`` is the least member's id over all texts connected by near copies (exact copies included),
+    ``links`` the number of different texts that are near copies of it plus its other exact copies. Texts
+    without any are groups of their own.
+    """
+    from ..operators.components import connected_components
+
+    members, pairs, copies = near_copies(docs, **options)
+    pairs = stage(pairs, "pairs")
+    parts = connected_components(pairs, "rep_a", "rep_b")
+    degree = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("near"))
+    m = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").join(copies.select("rep", "n"), "rep", "left")
+    m = stage(m.select("field", "id", F.coalesce("component", "rep").alias("part"), (F.coalesce("near", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("links")), "members")
+    least = m.groupBy("part").agg(F.min("id").alias("group"))
+    return m.join(least, "part").select("field", "id", "group", "links")

@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bisection, golay, leak, lookalike, mixing, topn
+from . import bisection, golay, leak, lookalike, mixing, mojibake, names, quality, topn
 
 REVIEWS = "amazon_books_autokd"
 SHARES = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -22,6 +22,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return golay.near_copy_rows(texts_to_compare(spark, d), threshold=0.6, shingle=3, min_words=20)
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each text of at least 20 words with its group and number of links, at five words and 0.8."""
+    return golay.near_copy_groups(texts_to_compare(spark, d), threshold=0.8, shingle=5, min_words=20)
+
+
+def fields(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """``field, review_id, text`` of several text columns of the reviews."""
+    r = table(spark, d, REVIEWS)
+    parts = [r.select(F.lit(n).alias("field"), "review_id", F.col(n).alias("text")) for n in names]
+    return parts[0].unionAll(parts[1])
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(fields(spark, d, "title", "review_text"), "text", ["field", "review_id"]).select("field", "review_id")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(fields(spark, d, "title", "review_text"), "text", ["field", "review_id"])
+
+
 def review_groups(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, REVIEWS)
     kinds = {"asin": "asin", "format": "product_format", "year": "review_year", "day": "review_date"}
@@ -64,11 +84,27 @@ def _percentile_sql(rows: str, keys: str) -> str:
     FROM u, (VALUES {shares}) AS s(p) WHERE upto >= greatest(1, ceil(round(p * n_rows, 9))) GROUP BY {keys}, p, n_rows"""
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_pairs(table(spark, d, REVIEWS), "brand").select(F.col("name_a").alias("brand_a"), F.col("name_b").alias("brand_b"))
+
+
+def p5_entities(spark: SparkSession, d: str) -> DataFrame:
+    return names.entities(table(spark, d, REVIEWS), "brand")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, REVIEWS).where("trim(asin) <> ''")
     return topn.top_n(r, ["asin"], "helpful_votes", ["review_id"], 3).select("asin", "review_id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(fields(spark, d, "review_text", "summary"), "field", "text", ["review_id"]).select("field", "review_id")
+
+
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.distances(quality.statistics(fields(spark, d, "review_text", "summary"), "text", ["field", "review_id"]), "field")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leak.leaked(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_query"), "query_id", ["query_text", "gold_claim"])
     return found.select("doc_id", F.col("item_id").alias("query_id"))
@@ -96,7 +132,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, d, "documents"), "text", ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_review_percentiles, p3_citation_percentiles, p3_combined_days, p6_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_review_percentiles, p3_citation_percentiles, p3_combined_days, p5_found, p5_entities, p6_found, p7_found, p7_statistics, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_found, p10_forms)}
 
 SQL = {
     "p3_review_percentiles": _percentile_sql(
