@@ -1,6 +1,7 @@
 """All queries of the library's core and, where SQL can say it, their SQL."""
 
-from . import skew
+from . import pipeline, skew
 
-QUERIES = {**skew.QUERIES}
-SQL = {**skew.SQL}
+_PARTS = (pipeline, skew)
+QUERIES = {k: q for m in _PARTS for k, q in m.QUERIES.items()}
+SQL = {k: q for m in _PARTS for k, q in m.SQL.items()}
