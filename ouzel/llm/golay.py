@@ -160,13 +160,13 @@ def _shingle_stage(shingle: int):
         for b in batches:
             flat, sizes = word_hashes(b["text"].tolist())
             grams, counts = shingle_hashes(flat, sizes, shingle)
-            parts = np.split(grams.view(np.int64), np.cumsum(counts)[:-1]) if len(counts) else []
+            parts = np.split((grams >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(counts)[:-1]) if len(counts) else []
             yield pd.DataFrame({"u": b["u"], "s": [np.unique(p) for p in parts]})
 
     return run
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 5, error_share: float = 0.25) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 5, error_share: float = 0.22) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near copies among ``docs(field string, id string, text string)``, within each field.
 
     Returns ``members(u, field, id, rep)``: one row per text of at least ``min_words`` words, ``rep``
@@ -175,8 +175,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     ``threshold``; and ``copies(rep, n)``: texts that occur ``n`` > 1 times. Null texts, texts with
     fewer words and empty tables give no rows. Word order and case follow the text; a text of any
     length is read whole. ``segments`` (at most 6) fixes recall, ``error_share`` the largest share of
-    differing bits, of the fingerprint's first 64, at which a shared key is followed up (0.25 lies four
-    standard deviations beyond pairs with a tenth of their words changed).
+    differing bits, of the fingerprint's first 64, at which a shared key is followed up (0.22 lies more than
+    three standard deviations beyond pairs at a similarity of two thirds).
     """
     if not 1 <= segments <= 6:
         raise ValueError("segments must be 1..6")
@@ -196,7 +196,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     found = stage(a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("u_a") < F.col("u_b")) & (differ <= most)).select("u_a", "u_b").distinct(), "candidates")
     involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")
     texts = present.join(F.broadcast(involved) if is_small(involved) else involved, ["field", "id", "digest"]).select("u", "text")
-    sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<long>").dropDuplicates(["u"]), "shingles")
+    sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<int>").dropDuplicates(["u"]), "shingles")
     sa, sb = sets.select(F.col("u").alias("u_a"), F.col("s").alias("s_a")), sets.select(F.col("u").alias("u_b"), F.col("s").alias("s_b"))
     both = found.join(sa, "u_a").join(sb, "u_b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
     pairs = (
