@@ -24,7 +24,7 @@ def blank_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def numeric_share(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, share``: the share of all rows that read as numbers."""
-    one = df.agg(*(F.avg(F.expr(f"case when try_cast(`{c}` as double) is null then 0.0 else 1.0 end")).alias(c) for c in columns))
+    one = df.agg(*(F.avg(F.expr(f"case when try_cast(`{c}` as double) is null then 0D else 1D end")).alias(c) for c in columns))
     return one.unpivot([], columns, "column", "share")
 
 

@@ -217,7 +217,7 @@ def seed_edges(seeds: DataFrame, module: str, order: list[str], reach: int = 2)
     """``source_id, target_id``: each seed to the next ``reach`` seeds of its module in the given order."""
     w = Window.partitionBy(module).orderBy(*order)
     nxt = F.array(*(F.lead("insight_id", i).over(w) for i in range(1, reach + 1)))
-    return seeds.select("insight_id", F.explode(F.array_compact(nxt)).alias("target_id")).select(F.col("insight_id").alias("source_id"), "target_id")
+    return seeds.select("insight_id", nxt.alias("next")).select("insight_id", F.explode("next").alias("target_id")).where("target_id is not null").select(F.col("insight_id").alias("source_id"), "target_id")
 
 
 def frontiers(insights: DataFrame) -> DataFrame:

@@ -172,7 +172,7 @@ class Engine:
         flags = r.flags + r.warnings + (["levels_collapsed"] if pooled else [])
         omnibus = tuple(None if (v := (r.omnibus or {}).get(k)) is None else (v if isinstance(v, str) else float(v)) for k in ("test", "term", "statistic", "df_num", "df_den", "p_value")) if r.omnibus else None
         details = {k: float(v) for k, v in r.details.items() if isinstance(v, (int, float)) and v is not None}
-        ci = r.ci or (None, None)
+        ci = tuple(map(float, r.ci)) if r.ci else (None, None)
         row = (spec.canonical(), spec.family, r.test_method, float(r.effect_size), r.effect_size_kind, float(r.p_value), r.n_observations, float(coverage), ci[0], ci[1],
                r.formula, r.estimand, r.term, None if r.r_squared is None else float(r.r_squared), omnibus, severity, flags, pooled, details, "valid" if severity == "none" else "valid_with_warning", None)
         return spark.createDataFrame([row], RESULT)

@@ -1,7 +1,7 @@
 """All queries of the library's core and, where SQL can say it, their SQL."""
 
-from . import pipeline, skew
+from . import cleaning, findings, pipeline, skew, statistics
 
-_PARTS = (pipeline, skew)
+_PARTS = (pipeline, cleaning, statistics, findings, skew)
 QUERIES = {k: q for m in _PARTS for k, q in m.QUERIES.items()}
 SQL = {k: q for m in _PARTS for k, q in m.SQL.items()}
