@@ -90,15 +90,18 @@ def _minima(values: np.ndarray, starts: np.ndarray, count: int, seed: int) -> It
         yield np.minimum.reduceat(h, starts)
 
 
-def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts with at least ``min_words`` words: their places, shingle counts, segments, anchors."""
+def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with at least ``min_words`` words: their places, shingle counts, segments, anchors and prints.
+
+    The print has the low bits of 64 minimum hashes over the shingles.
+    """
     flat, sizes = word_hashes(texts)
     keep = sizes >= max(min_words, shingle)
     flat = flat[np.repeat(keep, sizes)]
     sizes, places = sizes[keep], np.nonzero(keep)[0]
     if not len(places):
         none = np.zeros((0, segments), np.int64)
-        return places, sizes, none, none
+        return places, sizes, none, none, none[:, 0]
     grams, counts = shingle_hashes(flat, sizes, shingle)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     gram_starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -106,7 +109,10 @@ def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int)
     for i, least in enumerate(_minima(mix(flat), starts, segments * BITS, 11)):
         seg[:, i // BITS] |= ((least >> np.uint32(9)) & np.uint32(1)).astype(np.int64) << (i % BITS)
     anchors = np.stack(list(_minima(grams, gram_starts, segments, 29)), 1).astype(np.int64)
-    return places, counts, seg, anchors
+    prints = np.zeros(len(places), np.int64)
+    for i, least in enumerate(_minima(grams, gram_starts, 64, 53)):
+        prints |= ((least >> np.uint32(9)) & np.uint32(1)).astype(np.int64) << i
+    return places, counts, seg, anchors, prints
 
 
 def keys_of(seg: np.ndarray, anchors: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +130,7 @@ def _fingerprint_stage(segments: int, shingle: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
-            places, counts, seg, anchors = fingerprints(texts, segments, shingle, min_words)
+            places, counts, seg, anchors, prints = fingerprints(texts, segments, shingle, min_words)
             yield pd.DataFrame({
                 "field": b["field"].to_numpy()[places],
                 "id": b["id"].to_numpy()[places],
@@ -132,6 +138,7 @@ def _fingerprint_stage(segments: int, shingle: int, min_words: int):
                 "shingles": counts.astype(np.int32),
                 "seg": list(seg.astype(np.int32)),
                 "anchor": list(anchors),
+                "print": prints,
             })
 
     return run
@@ -182,7 +189,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
         raise ValueError("segments must be 1..6")
     present = docs.where(F.col("text").isNotNull()).select("field", F.col("id").cast("string").alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
     prints = stage(
-        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, shingles int, seg array<int>, anchor array<long>")
+        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, shingles int, seg array<int>, anchor array<long>, print long")
         .withColumn("u", F.monotonically_increasing_id()),
         "fingerprints",
     )
@@ -194,6 +201,13 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     differ = F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b")))
     most = int(error_share * min(64, segments * BITS))
     found = stage(a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("u_a") < F.col("u_b")) & (differ <= most)).select("u_a", "u_b").distinct(), "candidates")
+    # What shares a key by chance is dropped by the whole fingerprints before texts are read again.
+    by_uid = prints.select("u", "seg", "print")
+    pa, pb = (by_uid.select(*(F.col(c).alias(f"{c}_{side}") for c in by_uid.columns)) for side in "ab")
+    unequal = sum((F.bit_count(F.col("seg_a")[i].bitwiseXOR(F.col("seg_b")[i])) for i in range(1, segments)), F.bit_count(F.col("seg_a")[0].bitwiseXOR(F.col("seg_b")[0])))
+    p = (1 - threshold) / 2  # chance that a bit of the print differs at the threshold
+    likely = (unequal <= int(error_share * segments * BITS)) & (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= int(64 * p + 2.5 * (64 * p * (1 - p)) ** 0.5))
+    found = stage(found.join(pa, "u_a").join(pb, "u_b").where(likely).select("u_a", "u_b"), "likely")
     involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")
     texts = present.join(F.broadcast(involved) if is_small(involved) else involved, ["field", "id", "digest"]).select("u", "text")
     sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<int>").dropDuplicates(["u"]), "shingles")
