@@ -295,7 +295,7 @@ _CORE = """list_sort(CASE WHEN len(list_filter(list_distinct(list_filter([lower(
 _RANK = "CASE WHEN lower({0}) IN ('assoc', 'diff', 'correlation') THEN 1 WHEN lower({0}) IN ('interact', 'interaction') THEN 2 WHEN lower({0}) = 'heterogeneity' THEN 3 ELSE 0 END"
 _EST = """CASE WHEN parsed.x IS NOT NULL AND parsed.y IS NOT NULL AND lower(test_type) <> 'diff' THEN lower(test_type) || '|' || least(lower(parsed.x), lower(parsed.y)) || '|' || greatest(lower(parsed.x), lower(parsed.y)) || '|' || coalesce(lower(parsed.moderator), '-') || '|' || coalesce(lower(parsed.grp), '-') END"""
 _D = f"""d AS (SELECT *, {_RANK.format('test_type')} AS rk, {_CORE} AS core, {_EST} AS est, list_sort(list_distinct(map_values(card_modules))) AS mods,
- CASE WHEN p_value < 0.05 AND NOT isnan(effect_size) AND effect_size <> 0 THEN effect_size END AS eff FROM insight, (SELECT [{', '.join(f"'{c}'" for c in G.STRUCTURAL)}] AS st))"""
+ CASE WHEN p_value < 0.05 AND isfinite(effect_size) AND effect_size <> 0 THEN effect_size END AS eff FROM insight, (SELECT [{', '.join(f"'{c}'" for c in G.STRUCTURAL)}] AS st))"""
 _E = """e AS (SELECT source_id, target_id, arg_max(t, (linked_at, t)) AS relation_type, max(linked_at) AS linked_at FROM (SELECT *, CASE lower(trim(relation_type)) WHEN 'supports' THEN 'extends' WHEN 'refines' THEN 'narrows' ELSE lower(trim(relation_type)) END AS t FROM insight_relation)
  WHERE t IN ('deepens', 'extends', 'narrows', 'contradicts') AND source_id <> target_id AND source_id IN (SELECT insight_id FROM insight) AND target_id IN (SELECT insight_id FROM insight) GROUP BY 1, 2)"""
 _NORMAL = r"trim(regexp_replace(regexp_replace(lower({0}), '[\[\]]', '', 'g'), '\s+', ' ', 'g'))"
@@ -332,22 +332,22 @@ SQL = {
     "graph_frontiers": f"WITH {_D}, m AS (SELECT DISTINCT unnest(mods) AS m FROM d), p AS (SELECT a.m AS module_a, b.m AS module_b FROM m a JOIN m b ON a.m < b.m) SELECT module_a, module_b, count(insight_id) AS n FROM p LEFT JOIN d ON list_contains(mods, module_a) AND list_contains(mods, module_b) GROUP BY 1, 2",
     "struct_similar": f"WITH {_D}, q AS (SELECT insight_id AS query_id, core AS qc FROM d WHERE substr(insight_id, 5)::bigint % 20 = 0), x AS (SELECT query_id, insight_id, len(list_intersect(core, qc))::double / len(list_distinct(core || qc)) AS s FROM q JOIN d ON query_id <> insight_id WHERE len(core) > 0 AND len(qc) > 0) SELECT query_id, insight_id, round(s, 6) AS similarity FROM x WHERE s >= 0.5",
     "struct_novelty": f"WITH {_D}, x AS (SELECT a.insight_id, len(a.core) AS k, len(a.mods) AS m, coalesce(max(len(list_intersect(a.core, b.core))::double / len(list_distinct(a.core || b.core))), 0) AS best FROM d a LEFT JOIN d b ON b.created_at < a.created_at AND len(b.core) > 0 AND list_has_any(a.core, b.core) WHERE a.is_seed IS NOT TRUE GROUP BY 1, 2, 3) SELECT insight_id, round(CASE WHEN k = 0 THEN 0.5 WHEN best = 1 THEN 0.1 WHEN m = 1 THEN 0.15 ELSE 1 - best END, 6) AS novelty FROM x",
-    "seed_edges": "WITH s AS (SELECT insight_id, test_type, coalesce(abs(CASE WHEN isnan(effect_size) THEN 0 ELSE effect_size END), 0) AS e FROM insight WHERE is_seed), r AS (SELECT insight_id, test_type, row_number() OVER (PARTITION BY test_type ORDER BY e, insight_id) AS k FROM s) SELECT a.insight_id AS source_id, b.insight_id AS target_id FROM r a JOIN r b ON a.test_type IS NOT DISTINCT FROM b.test_type AND b.k - a.k BETWEEN 1 AND 2",
-    "merge_repeats": f"SELECT {_DSL} AS dsl, arg_min(insight_id, (created_at, insight_id)) AS insight_id, count(*) AS n, max(CASE WHEN NOT isnan(validity_score) THEN validity_score END) AS validity_score, max(CASE WHEN NOT isnan(novelty_score) THEN novelty_score END) AS novelty_score FROM insight WHERE dsl_sentence IS NOT NULL GROUP BY 1",
+    "seed_edges": "WITH s AS (SELECT insight_id, test_type, CASE WHEN isfinite(effect_size) THEN abs(effect_size) ELSE 0 END AS e FROM insight WHERE is_seed), r AS (SELECT insight_id, test_type, row_number() OVER (PARTITION BY test_type ORDER BY e, insight_id) AS k FROM s) SELECT a.insight_id AS source_id, b.insight_id AS target_id FROM r a JOIN r b ON a.test_type IS NOT DISTINCT FROM b.test_type AND b.k - a.k BETWEEN 1 AND 2",
+    "merge_repeats": f"SELECT {_DSL} AS dsl, arg_min(insight_id, (created_at, insight_id)) AS insight_id, count(*) AS n, max(CASE WHEN isfinite(validity_score) THEN validity_score END) AS validity_score, max(CASE WHEN isfinite(novelty_score) THEN novelty_score END) AS novelty_score FROM insight WHERE dsl_sentence IS NOT NULL GROUP BY 1",
     "dsl_normalize": f"SELECT insight_id, {_DSL} AS dsl, lower(regexp_extract(trim(dsl_sentence), '^(\\w+)\\s*\\(', 1)) AS head, {_RANK.format(chr(114) + 'egexp_extract(trim(dsl_sentence), ' + repr('^(' + chr(92) + 'w+)' + chr(92) + 's*' + chr(92) + '(').replace(chr(92) * 2, chr(92)) + ', 1)')} AS depth FROM insight",
     "reject_anti": f"WITH i AS (SELECT insight_id, created_at, {_DSL} AS dsl FROM insight WHERE dsl_sentence IS NOT NULL) SELECT insight_id, dsl FROM i WHERE created_at >= TIMESTAMP '2024-06-01' AND dsl NOT IN (SELECT dsl FROM i WHERE created_at < TIMESTAMP '2024-06-01')",
     "rediscovery": f"SELECT {_DSL} AS dsl, count(*) AS n, max(round_id) - min(round_id) AS span FROM insight WHERE dsl_sentence IS NOT NULL AND round_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "bounded_log": "SELECT insight_id, created_at FROM insight WHERE created_at IS NOT NULL ORDER BY created_at DESC, insight_id DESC LIMIT 200",
-    "graduate": "SELECT insight_id AS id, overall_score AS score FROM insight WHERE overall_score >= 0.5 AND NOT isnan(overall_score) AND length(trim(dsl_sentence)) > 0 ORDER BY 2 DESC, 1 LIMIT 3",
+    "graduate": "SELECT insight_id AS id, overall_score AS score FROM insight WHERE overall_score >= 0.5 AND isfinite(overall_score) AND length(trim(dsl_sentence)) > 0 ORDER BY 2 DESC, 1 LIMIT 3",
     "reject_stats": "SELECT coalesce(lower(trim(source)), 'unknown') AS reason, count(*) AS n, round(avg(overall_score), 6) AS mean_overall FROM insight GROUP BY 1",
     "ablation_metrics": f"WITH {_D}, a AS (SELECT coalesce(lower(trim(source)), 'unknown') AS arm, count(*) AS n, count(DISTINCT est) AS different, count(est) - count(DISTINCT est) AS repeated, avg(CASE WHEN rk >= 2 THEN 1.0 ELSE 0.0 END) AS deep FROM d WHERE round_id <= 1000 GROUP BY 1) SELECT arm, n, different, repeated, round(deep, 6) AS deep_share, round(different::double / n, 6) AS different_share, round(different::double / n - (SELECT different::double / n FROM a WHERE arm = 'autokd'), 6) AS delta FROM a",
     "coverage": "WITH c AS (SELECT c AS \"column\", count(*) AS n FROM (SELECT unnest(column_names) AS c FROM insight) GROUP BY 1) SELECT \"column\", n, CASE WHEN n > 1.5 * (SELECT avg(n) FROM c) THEN 'over' WHEN n < 0.5 * (SELECT avg(n) FROM c) THEN 'under' ELSE 'even' END AS use FROM c",
     "cooldown": "WITH u AS (SELECT round_id, c AS \"column\", count(*) AS n FROM (SELECT round_id, unnest(column_names) AS c FROM insight WHERE round_id IS NOT NULL) GROUP BY 1, 2), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY \"column\" ORDER BY round_id RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING), 0)::bigint AS recent FROM u) SELECT round_id, \"column\", recent FROM w WHERE recent >= 3",
     "validity_score": f"SELECT insight_id, round({_V.format(_FLOOR)}, 6) AS validity, round({_P}, 6) AS p_score FROM insight WHERE {_EVIDENCE}",
     "flags": f"WITH x AS (SELECT *, abs(effect_size) AS e, n_observations AS n, {_V.format(_V0)} AS v FROM insight WHERE {_EVIDENCE}) SELECT insight_id, array_to_string(list_sort(list_filter([{', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, c in _RULES)}], lambda f: f IS NOT NULL)), ',') AS flags FROM x",
-    "decide": f"""WITH x AS (SELECT *, {_V.format(_V0)} AS v, 0.5 + CASE WHEN cardinality(card_modules) > 1 THEN 0.2 ELSE 0 END + CASE WHEN contains(dsl_sentence, 'controlling') THEN 0.15 ELSE 0 END + CASE WHEN lower(test_type) IN ('interact', 'heterogeneity') THEN 0.15 ELSE 0 END AS i FROM insight WHERE {_EVIDENCE} AND novelty_score IS NOT NULL AND NOT isnan(novelty_score)), t AS (SELECT *, 0.5 * v + 0.4 * novelty_score + 0.1 * i AS o FROM x)
+    "decide": f"""WITH x AS (SELECT *, {_V.format(_V0)} AS v, 0.5 + CASE WHEN cardinality(card_modules) > 1 THEN 0.2 ELSE 0 END + CASE WHEN contains(dsl_sentence, 'controlling') THEN 0.15 ELSE 0 END + CASE WHEN lower(test_type) IN ('interact', 'heterogeneity') THEN 0.15 ELSE 0 END AS i FROM insight WHERE {_EVIDENCE} AND novelty_score IS NOT NULL AND isfinite(novelty_score)), t AS (SELECT *, 0.5 * v + 0.4 * novelty_score + 0.1 * i AS o FROM x)
         SELECT insight_id, round(o, 5) AS overall, CASE WHEN v < 0.4 THEN CASE WHEN o >= 0.45 THEN 'refine' ELSE 'reject' END WHEN novelty_score < 0.30 THEN CASE WHEN v >= 0.70 AND o >= 0.45 THEN 'refine' ELSE 'reject' END WHEN o >= 0.55 THEN CASE WHEN abs(effect_size) >= 0.03 THEN 'accept' ELSE 'refine' END WHEN o >= 0.45 THEN 'refine' ELSE 'reject' END AS decision FROM t""",
-    "novelty": "WITH x AS (SELECT *, 0.25 * novelty_score + 0.25 * CASE WHEN novelty_score >= 0.85 THEN 0.2 WHEN novelty_score >= 0.7 THEN 0.6 ELSE 0.75 END + 0.5 * overall_score AS b FROM insight WHERE novelty_score IS NOT NULL AND NOT isnan(novelty_score) AND overall_score IS NOT NULL AND is_seed IS NOT NULL) SELECT insight_id, round(CASE WHEN len(column_names) < 2 THEN 0 WHEN is_seed THEN least(b, 0.4) ELSE b END, 6) AS novelty FROM x",
+    "novelty": "WITH x AS (SELECT *, 0.25 * novelty_score + 0.25 * CASE WHEN novelty_score >= 0.85 THEN 0.2 WHEN novelty_score >= 0.7 THEN 0.6 ELSE 0.75 END + 0.5 * overall_score AS b FROM insight WHERE novelty_score IS NOT NULL AND isfinite(novelty_score) AND overall_score IS NOT NULL AND is_seed IS NOT NULL) SELECT insight_id, round(CASE WHEN len(column_names) < 2 THEN 0 WHEN is_seed THEN least(b, 0.4) ELSE b END, 6) AS novelty FROM x",
     "rank_score": "SELECT insight_id, round(novelty_score * least(1, validity_score / 0.6), 6) AS score FROM insight",
     "quality_topk": f"SELECT insight_id, overall_score FROM insight WHERE {_NOTSEED} AND overall_score >= 0.5 AND validity_score >= 0.5 ORDER BY 2 DESC, 1 LIMIT 20",
     "quality_reorder": "SELECT insight_id, round(0.7 * CASE WHEN is_seed IS TRUE THEN 1.0 ELSE 0.5 END + 0.3 * (0.6 * coalesce(overall_score, 0) + 0.4 * coalesce(validity_score, 0)), 6) AS quality FROM insight ORDER BY 2 DESC, 1 LIMIT 50",
