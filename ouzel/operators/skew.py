@@ -121,6 +121,5 @@ def per_key(df: DataFrame, key: str, order: str, tie: str, value: str, partition
 
 def heavy_keys(stats: DataFrame, share: float) -> DataFrame:
     """Keys of ``per_key`` results, neither null nor blank, that hold at least ``share`` of all rows."""
-    total = stats.agg(F.sum("n_rows").alias("all_rows"))
-    # One row on the right: a broadcast of a single number.
-    return stats.join(F.broadcast(total)).where((F.col("n_rows") >= F.lit(share) * F.col("all_rows")) & (F.trim("key_value") != "")).drop("all_rows")
+    total = stats.agg(F.sum("n_rows")).first()[0] or 0
+    return stats.where((F.col("n_rows") >= share * total) & (F.trim("key_value") != ""))
