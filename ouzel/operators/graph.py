@@ -102,7 +102,9 @@ def graph_stats(insights: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = insights.agg(F.count_distinct("insight_id").alias("nodes"))
     per = edges.agg(F.count("*").alias("edges"), *(F.count_if(F.col("relation_type") == t).alias(f"n_{t}") for t in RELATIONS))
     most = edges.groupBy("target_id").agg(F.count("*").alias("d")).agg(F.coalesce(F.max("d"), F.lit(0)).alias("max_in_degree"))
-    x = nodes.crossJoin(per).crossJoin(most).crossJoin(sizes)  # single rows
+    x = sizes
+    for one in (nodes, per, most):  # a row each
+        x = x.withColumns({k: F.lit(v) for k, v in one.first().asDict().items()})
     return x.withColumn("mean_degree", F.round(F.try_divide(2.0 * F.col("edges"), F.col("nodes")), 6))
 
 
@@ -234,3 +236,81 @@ def merge_duplicates(insights: DataFrame, keys: list[str], scores: list[str]) ->
     """One row per key: the first by creation and id, with the greatest of each score among all."""
     first = F.min(F.struct("created_at", "insight_id")).alias("f")
     return insights.groupBy(*keys).agg(first, F.count("*").alias("n"), *(F.max(F.nanvl(F.col(s), F.lit(None))).alias(s) for s in scores)).select(*keys, "f.insight_id", "n", *scores)
+
+
+def composite_related(insights: DataFrame, edges: DataFrame, similar: DataFrame, most: int = 3, low: float = 0.72, high: float = 0.92, most_in: int = 15) -> DataFrame:
+    """``query_id, insight_id, score, n`` from ``similar(query_id, insight_id, similarity)`` of 0..1.
+
+    Similarities outside ``low``..``high`` (less: unrelated, more: the same) and hubs with ``most_in`` incoming
+    edges are left out. The score weighs similarity 0.4, overlap of core columns 0.3 and rarity 0.3.
+    """
+    d = described(insights).select("insight_id", "core")
+    degree = edges.groupBy(F.col("target_id").alias("insight_id")).agg(F.count("*").alias("d"))
+    x = similar.where((F.col("similarity") >= low) & (F.col("similarity") < high)).join(degree, "insight_id", "left").withColumn("d", F.coalesce("d", F.lit(0))).where(F.col("d") < most_in)
+    x = x.join(d, "insight_id").join(d.select(F.col("insight_id").alias("query_id"), F.col("core").alias("qcore")), "query_id")
+    score = 0.4 * (F.col("similarity") - low) / (high - low) + 0.3 * jaccard(F.col("core"), F.col("qcore")) + 0.3 / (1 + F.log1p(F.col("d").cast("double")))
+    x = x.withColumn("score", F.round(score, 6))
+    return x.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "insight_id"))).where(F.col("n") <= most).select("query_id", "insight_id", "score", "n")
+
+
+def duplicates(candidates: DataFrame, insights: DataFrame, similar: DataFrame | None = None, overlap: float = 0.8, near: float = 0.88) -> DataFrame:
+    """``insight_id, reason`` of candidates that earlier insights already say, the cheapest rule first.
+
+    CROSS_ROUND_DUPLICATE: the same normalised query. PRE-EXISTING: a similarity of ``near`` or more in
+    ``similar(insight_id, other_id, similarity)`` and two thirds of the core columns shared.
+    STRUCTURAL_DUPLICATE: the same test type and an overlap of core columns of at least ``overlap``, unless the
+    candidate's test is deeper.
+    """
+    from ..functions.text import dsl_normal
+
+    c = described(candidates).withColumn("dsl", dsl_normal(F.col("dsl_sentence"))).select("insight_id", "dsl", "core", "rank", "test_type", "created_at")
+    o = described(insights).withColumn("dsl", dsl_normal(F.col("dsl_sentence"))).select(F.col("insight_id").alias("other_id"), F.col("dsl").alias("odsl"), F.col("core").alias("ocore"), F.col("rank").alias("orank"), F.col("created_at").alias("ocreated"))
+    same = c.join(o.where("odsl is not null").groupBy(F.col("odsl").alias("dsl")).agg(F.min("ocreated").alias("seen")), "dsl").where("seen < created_at").select("insight_id", F.lit(0).alias("r"))
+    sets = o.where("size(ocore) > 0").groupBy("ocore", "orank").agg(F.min("ocreated").alias("seen"))
+    near_sets = c.withColumn("col", F.explode("core")).join(sets.withColumn("col", F.explode("ocore")), "col").where((F.col("seen") < F.col("created_at")) & (F.col("rank") <= F.col("orank")))
+    struct = near_sets.where(jaccard(F.col("core"), F.col("ocore")) >= overlap).select("insight_id", F.lit(2).alias("r"))
+    every = same.unionAll(struct)
+    if similar is not None:
+        s = similar.where(F.col("similarity") >= near).join(c.select("insight_id", "core"), "insight_id").join(o.select("other_id", "ocore"), "other_id")
+        every = every.unionAll(s.where(jaccard(F.col("core"), F.col("ocore")) >= 2 / 3).select("insight_id", F.lit(1).alias("r")))
+    reasons = F.array(*map(F.lit, ("CROSS_ROUND_DUPLICATE", "PRE-EXISTING", "STRUCTURAL_DUPLICATE")))
+    return every.groupBy("insight_id").agg(F.min("r").alias("r")).select("insight_id", reasons[F.col("r")].alias("reason"))
+
+
+def anchor_sets(insights: DataFrame, edges: DataFrame, saturation: float = 0.25) -> DataFrame:
+    """``insight_id, boundary, depth, isolated, underexplored, saturated``: where exploration may start.
+
+    boundary: a neighbour has a module of its own; depth: an association that nothing deepens; isolated: no
+    edges; underexplored: fewer than three; saturated: all its modules hold more than ``saturation`` of all.
+    """
+    d = described(insights).select("insight_id", "modules", "rank", F.lower("test_type").alias("t"))
+    ends = edges.select(F.col("source_id").alias("insight_id"), F.col("target_id").alias("o")).unionAll(edges.select(F.col("target_id"), F.col("source_id")))
+    degree = ends.groupBy("insight_id").agg(F.count("*").alias("degree"))
+    other = d.select(F.col("insight_id").alias("o"), F.col("modules").alias("om"))
+    boundary = ends.join(other, "o").join(d.select("insight_id", "modules"), "insight_id").where((F.size("modules") > 0) & (F.size("om") > 0) & (F.size(F.array_except("om", "modules")) > 0)).select("insight_id").distinct().withColumn("b", F.lit(True))
+    deepened = edges.where("relation_type = 'deepens'").select(F.col("target_id").alias("insight_id")).distinct().withColumn("dd", F.lit(True))
+    n = d.agg(F.count("*").alias("all")).first()[0] or 1
+    full = d.select(F.explode("modules").alias("m")).groupBy("m").agg((F.count("*") > saturation * n).alias("f")).where("f").agg(F.collect_set("m").alias("full")).first()[0]  # modules are few
+    crowded = F.array(*map(F.lit, sorted(full))) if full else F.array().cast("array<string>")
+    x = d.join(degree, "insight_id", "left").join(boundary, "insight_id", "left").join(deepened, "insight_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    no = F.lit(False)
+    return x.select(
+        "insight_id", F.coalesce("b", no).alias("boundary"), ((F.col("t") == "assoc") & ~F.coalesce("dd", no)).alias("depth"), (F.col("degree") == 0).alias("isolated"), (F.col("degree") < 3).alias("underexplored"),
+        ((F.size("modules") > 0) & (F.size(F.array_except("modules", crowded)) == 0)).alias("saturated"),
+    )
+
+
+def choose_anchor(sets: DataFrame, seed: int) -> str | None:
+    """One anchor: boundary 0.4, depth 0.3, isolated 0.2, else underexplored; unsaturated ones first.
+
+    The pick is the least hash among the candidates, so nothing is collected but the anchor.
+    """
+    import random
+
+    roll = random.Random(seed).random()
+    order = [b for b, limit in (("boundary", 0.4), ("depth", 0.7), ("isolated", 0.9), ("underexplored", 1.0)) if roll < limit]
+    for kind in [*order, "underexplored"]:
+        row = sets.where(F.col(kind)).orderBy("saturated", F.xxhash64(F.lit(seed), "insight_id")).select("insight_id").first()
+        if row:
+            return row[0]
+    return None

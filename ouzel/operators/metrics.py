@@ -22,7 +22,8 @@ def fleiss_kappa(ratings: DataFrame, item: str, rating: str) -> DataFrame:
     e = shares.agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("s")).select((F.col("s") / (F.col("t") * F.col("t"))).alias("pe"))
     good = (F.col("lo") == F.col("hi")) & (F.col("lo") >= 2)
     kappa = F.when(good, F.when(F.col("pe") == 1, 1.0).otherwise((F.col("p") - F.col("pe")) / (1 - F.col("pe"))))
-    return a.crossJoin(e).select("n_items", F.when(good, F.col("lo")).alias("raters"), F.round(kappa, 6).alias("kappa"))  # single rows
+    pe = e.first().pe  # one number
+    return a.withColumn("pe", F.lit(pe)).select("n_items", F.when(good, F.col("lo")).alias("raters"), F.round(kappa, 6).alias("kappa"))
 
 
 def faithfulness(claims: DataFrame, by: str, supported: str) -> DataFrame:

@@ -287,6 +287,47 @@ def theme_infer(s, d):
     return best.groupBy(F.col("x.theme").alias("theme")).agg(F.count("*").alias("docs"), F.sum("x.hits").alias("hits"))
 
 
+def dup_filter(s, d):
+    """Findings that earlier ones already say, by query or by structure."""
+    i = _insights(s, d)
+    return G.duplicates(i, i)
+
+
+def anchor_sets(s, d):
+    return G.anchor_sets(_insights(s, d), _edges(s, d))
+
+
+def composite_related(s, d):
+    """For every 20th vector: findings that are alike, share columns and aren't hubs."""
+    v = _vectors(s, d).join(_insights(s, d).select(F.col("insight_id").alias("node")), "node")
+    q = v.where("cast(substr(node, 5) as bigint) % 20 = 0").select(F.col("node").alias("query_id"), F.col("v").alias("qv"))
+    sim = v.join(F.broadcast(q), F.col("node") != F.col("query_id")).select("query_id", F.col("node").alias("insight_id"), F.round(V.scaled(V.cosine(F.col("qv"), F.col("v"))), 6).alias("similarity"))
+    return G.composite_related(_insights(s, d), _edges(s, d), sim, low=0.55)
+
+
+def findings_text(s, d):
+    """Sentences of findings with their numbers, made from the queries."""
+    from ..functions.render import sentence
+    from ..plans.grammar import GrammarError, parse
+
+    @F.udf("string")
+    def say(dsl, columns, effect, p, n):
+        try:
+            spec = parse(dsl or "", list(columns or []) + _names(dsl))
+        except GrammarError:
+            return None
+        ok = effect is not None and effect == effect
+        return sentence(spec, {}, effect if ok else None, p, n)
+
+    return _insights(s, d).select("insight_id", say("dsl_sentence", "column_names", "effect_size", "p_value", "n_observations").alias("text"))
+
+
+def _names(dsl: str | None) -> list[str]:
+    import re
+
+    return re.findall(r"[A-Za-z_][A-Za-z0-9_]*", dsl or "")
+
+
 THEMES = {"books": ["novel", "chapter", "plot"], "survey": ["trust", "religio", "voting"], "science": ["citation", "author", "paper"]}
 
 _CORE = """list_sort(CASE WHEN len(list_filter(list_distinct(list_filter([lower(parsed.x), lower(parsed.y), lower(parsed.grp), lower(parsed.moderator)], lambda c: c IS NOT NULL)), lambda c: NOT list_contains(st, c))) > 0
@@ -356,7 +397,12 @@ SQL = {
     "tfidf_topk": _TFIDF,
     "citations": "SELECT item, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bQ(\\d+)\\.', 1)) AS item FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "theme_infer": "WITH h AS (SELECT doc_id, theme, hits FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS theme, " + " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in ws) + " AS hits FROM documents WHERE text IS NOT NULL" for k, ws in THEMES.items()) + ") WHERE hits > 0), b AS (SELECT doc_id, theme, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, theme DESC) = 1) SELECT theme, count(*) AS docs, sum(hits)::bigint AS hits FROM b GROUP BY 1",
+    "dup_filter": f"""WITH {_D}, x AS (SELECT *, {_DSL} AS dsl FROM d), a AS (SELECT DISTINCT a.insight_id, 0 AS r FROM x a JOIN x b ON a.dsl = b.dsl AND b.created_at < a.created_at), b AS (SELECT DISTINCT a.insight_id, 2 AS r FROM x a JOIN x b ON b.created_at < a.created_at AND a.rk <= b.rk AND len(a.core) > 0 AND len(b.core) > 0 AND list_has_any(a.core, b.core)
+        WHERE len(list_intersect(a.core, b.core))::double / len(list_distinct(a.core || b.core)) >= 0.8) SELECT insight_id, CASE min(r) WHEN 0 THEN 'CROSS_ROUND_DUPLICATE' ELSE 'STRUCTURAL_DUPLICATE' END AS reason FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
+    "anchor_sets": f"""WITH {_D}, {_E}, n AS (SELECT source_id AS i, target_id AS o FROM e UNION ALL SELECT target_id, source_id FROM e), m AS (SELECT m, count(*) > 0.25 * (SELECT count(*) FROM d) AS f FROM (SELECT unnest(mods) AS m FROM d) GROUP BY 1), f AS (SELECT coalesce(list(m), []) AS f FROM m WHERE f)
+        SELECT insight_id, EXISTS (SELECT 1 FROM n JOIN d y ON n.o = y.insight_id WHERE n.i = d.insight_id AND len(d.mods) > 0 AND len(list_filter(y.mods, lambda z: NOT list_contains(d.mods, z))) > 0) AS boundary, lower(test_type) = 'assoc' AND NOT EXISTS (SELECT 1 FROM e WHERE target_id = d.insight_id AND relation_type = 'deepens') AS depth,
+        NOT EXISTS (SELECT 1 FROM n WHERE n.i = d.insight_id) AS isolated, coalesce((SELECT max(k) FROM (SELECT i, count(*) AS k FROM n GROUP BY 1) c WHERE c.i = d.insight_id), 0) < 3 AS underexplored, len(mods) > 0 AND len(list_filter(mods, lambda z: NOT list_contains(f.f, z))) = 0 AS saturated FROM d, f""",
     "components": f"WITH RECURSIVE {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT insight_id AS n, insight_id AS m FROM insight UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), c AS (SELECT n, min(m) AS component FROM r GROUP BY 1) SELECT component, count(*) AS n FROM c GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (graph_load, discovered, core_cols, estimand, conflict_pairs, classify_pairs, deepening_parents, jaccard_cols, khop, tiered_context, chain, components, component_members, graph_stats, graph_frontiers, struct_similar, struct_novelty, seed_edges, merge_repeats, dsl_normalize, reject_anti, rediscovery, bounded_log, graduate, reject_stats, ablation_metrics, coverage, cooldown, validity_score, flags, decide, novelty, rank_score, quality_topk, quality_reorder, cosine_topk, tfidf_topk, grounding, seed_expand, diverse_topk, pairing, embedding_dedup, citations, theme_infer)}
+QUERIES = {f.__name__: f for f in (graph_load, discovered, core_cols, estimand, conflict_pairs, classify_pairs, deepening_parents, jaccard_cols, khop, tiered_context, chain, components, component_members, graph_stats, graph_frontiers, struct_similar, struct_novelty, seed_edges, merge_repeats, dsl_normalize, reject_anti, rediscovery, bounded_log, graduate, reject_stats, ablation_metrics, coverage, cooldown, validity_score, flags, decide, novelty, rank_score, quality_topk, quality_reorder, cosine_topk, tfidf_topk, grounding, seed_expand, diverse_topk, pairing, embedding_dedup, citations, theme_infer, dup_filter, anchor_sets, composite_related, findings_text)}
