@@ -399,9 +399,9 @@ SQL = {
     "theme_infer": "WITH h AS (SELECT doc_id, theme, hits FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS theme, " + " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in ws) + " AS hits FROM documents WHERE text IS NOT NULL" for k, ws in THEMES.items()) + ") WHERE hits > 0), b AS (SELECT doc_id, theme, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, theme DESC) = 1) SELECT theme, count(*) AS docs, sum(hits)::bigint AS hits FROM b GROUP BY 1",
     "dup_filter": f"""WITH {_D}, x AS (SELECT *, {_DSL} AS dsl FROM d), a AS (SELECT DISTINCT a.insight_id, 0 AS r FROM x a JOIN x b ON a.dsl = b.dsl AND b.created_at < a.created_at), b AS (SELECT DISTINCT a.insight_id, 2 AS r FROM x a JOIN x b ON b.created_at < a.created_at AND a.rk <= b.rk AND len(a.core) > 0 AND len(b.core) > 0 AND list_has_any(a.core, b.core)
         WHERE len(list_intersect(a.core, b.core))::double / len(list_distinct(a.core || b.core)) >= 0.8) SELECT insight_id, CASE min(r) WHEN 0 THEN 'CROSS_ROUND_DUPLICATE' ELSE 'STRUCTURAL_DUPLICATE' END AS reason FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
-    "anchor_sets": f"""WITH {_D}, {_E}, n AS (SELECT source_id AS i, target_id AS o FROM e UNION ALL SELECT target_id, source_id FROM e), m AS (SELECT m, count(*) > 0.25 * (SELECT count(*) FROM d) AS f FROM (SELECT unnest(mods) AS m FROM d) GROUP BY 1), f AS (SELECT coalesce(list(m), []::varchar[]) AS f FROM m WHERE f)
+    "anchor_sets": f"""WITH {_D}, {_E}, n AS (SELECT source_id AS i, target_id AS o FROM e UNION ALL SELECT target_id, source_id FROM e), m AS (SELECT m, count(*) > 0.25 * (SELECT count(*) FROM d) AS f FROM (SELECT unnest(mods) AS m FROM d) GROUP BY 1)
         SELECT insight_id, EXISTS (SELECT 1 FROM n JOIN d y ON n.o = y.insight_id WHERE n.i = d.insight_id AND len(d.mods) > 0 AND len(list_filter(y.mods, lambda z: NOT list_contains(d.mods, z))) > 0) AS boundary, lower(test_type) = 'assoc' AND NOT EXISTS (SELECT 1 FROM e WHERE target_id = d.insight_id AND relation_type = 'deepens') AS depth,
-        NOT EXISTS (SELECT 1 FROM n WHERE n.i = d.insight_id) AS isolated, coalesce((SELECT max(k) FROM (SELECT i, count(*) AS k FROM n GROUP BY 1) c WHERE c.i = d.insight_id), 0) < 3 AS underexplored, len(mods) > 0 AND len(list_filter(mods, lambda z: NOT list_contains(f.f, z))) = 0 AS saturated FROM d, f""",
+        NOT EXISTS (SELECT 1 FROM n WHERE n.i = d.insight_id) AS isolated, coalesce((SELECT max(k) FROM (SELECT i, count(*) AS k FROM n GROUP BY 1) c WHERE c.i = d.insight_id), 0) < 3 AS underexplored, len(mods) > 0 AND coalesce(list_has_all((SELECT list(m.m) FROM m WHERE m.f), mods), false) AS saturated FROM d""",
     "components": f"WITH RECURSIVE {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT insight_id AS n, insight_id AS m FROM insight UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), c AS (SELECT n, min(m) AS component FROM r GROUP BY 1) SELECT component, count(*) AS n FROM c GROUP BY 1",
 }
 
