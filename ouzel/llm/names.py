@@ -113,6 +113,7 @@ def parse(name: str) -> tuple[str, str, str, str] | None:
         return None
     x = re.sub(r"['’]", "", x.replace("+", "&")).strip()
     x = re.sub(r"([A-Z])-([a-z])", r"-\1\2", x)  # a swapped hyphen
+    x = re.sub(r"(\w),(\w)\s", r"\1\2, ", x)  # a swapped comma
     x = re.sub(r"^.*\S.*\sby\s+", "", x, flags=re.I)  # a damaged way of listing
     x = re.sub(r"\bUP\b", "University Press", x)
     if " " not in x.strip() and "-" in x:
