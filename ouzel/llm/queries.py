@@ -93,7 +93,7 @@ def p5_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, REVIEWS).where("trim(asin) <> ''")
+    r = table(spark, d, REVIEWS).where(F.col("asin").rlike(r"\S"))
     return topn.top_n(r, ["asin"], "helpful_votes", ["review_id"], 3).select("asin", "review_id")
 
 
@@ -147,7 +147,7 @@ SQL = {
         " UNION ALL SELECT 'normalized_citation', 'loaded_on', loaded_on::varchar, normalized_citation FROM cite_agg",
         "metric, kind, grp",
     ),
-    "p6_found": "SELECT asin, review_id FROM amazon_books_autokd WHERE trim(asin) <> '' AND helpful_votes IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asin ORDER BY helpful_votes DESC, review_id) <= 3",
+    "p6_found": "SELECT asin, review_id FROM amazon_books_autokd WHERE regexp_matches(asin, '\\S') AND helpful_votes IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asin ORDER BY helpful_votes DESC, review_id) <= 3",
     "p10_found": f"WITH f AS (SELECT doc_id, text, {lookalike.form_sql('text')} AS form FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p10_forms": f"SELECT doc_id, {lookalike.form_sql('text')} AS form FROM documents",
 }
