@@ -7,6 +7,8 @@ import pyspark.sql.functions as F
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 
+from ..session import stage
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -56,7 +58,7 @@ def tfidf(docs: DataFrame, stop: list[str] | None = None, features: int = 50_000
 
     idf = ln((1 + n) / (1 + df)) + 1; terms go by document frequency, then by name.
     """
-    t = docs.select("doc_id", F.explode(terms(F.col("text"), stop)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    t = stage(docs.select("doc_id", F.explode(terms(F.col("text"), stop)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "terms")
     n = docs.agg(F.count("*").alias("n"))
     df = t.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(features)
     idf = df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -72,7 +74,7 @@ def weigh(tf: DataFrame, idf: DataFrame) -> DataFrame:
 def tfidf_topk(cards: DataFrame, queries: DataFrame, k: int, stop: list[str] | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: cosine of tf-idf weights; the model is that of the cards."""
     weights, idf = tfidf(cards, stop)
-    q = queries.select(F.col("query_id").alias("doc_id"), F.explode(terms(F.col("text"), stop)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    q = stage(queries.select(F.col("query_id").alias("doc_id"), F.explode(terms(F.col("text"), stop)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "terms")
     qw = weigh(q, idf).select(F.col("doc_id").alias("query_id"), "term", F.col("w").alias("qw"))
     s = weights.join(qw, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

@@ -122,4 +122,4 @@ def per_key(df: DataFrame, key: str, order: str, tie: str, value: str, partition
 def heavy_keys(stats: DataFrame, share: float) -> DataFrame:
     """Keys of ``per_key`` results, neither null nor blank, that hold at least ``share`` of all rows."""
     total = stats.agg(F.sum("n_rows")).first()[0] or 0
-    return stats.where((F.col("n_rows") >= share * total) & (F.trim("key_value") != ""))
+    return stats.where((F.col("n_rows") >= share * total) & F.col("key_value").rlike(r"\S"))

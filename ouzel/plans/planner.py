@@ -77,16 +77,13 @@ class Engine:
             self._distinct[column] = self.df.agg(F.approx_count_distinct(column)).first()[0]
         return self._distinct[column]
 
-    def _is_binary(self, x: DataFrame, y: str) -> bool:
-        if y in self.profile.binary:
-            return self.profile.binary[y]
-        return x.where(F.col(y).cast("double").isNull() | ~F.col(y).cast("double").isin(0.0, 1.0)).isEmpty()
-
     def execute(self, spec: Spec, df: DataFrame | None = None) -> tuple[R.Result, list[str], float]:
         """The result, the levels pooled on the way and the share of rows that could be used."""
         x, levels, rows = prepare(self.df if df is None else df, spec, self.profile)
         pooled: list[str] = []
-        n = x.count()
+        y = F.col(spec.y)
+        seen = x.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(y.cast("double").isin(0.0, 1.0)), F.lit(False)).alias("binary"), F.approx_count_distinct(y).alias("values")).first()
+        n, binary = seen.n, self.profile.binary.get(spec.y, bool(seen.binary))
         if n < R.MIN_ROWS:
             raise R.RecipeError(f"{n} rows are too few")
         g = spec.group
@@ -105,14 +102,13 @@ class Engine:
                 raise R.RecipeError(f"{c} has more than {MAX_LEVELS} levels")
         if g and len(sizes[g]) < 2:
             raise R.RecipeError(f"{g} has fewer than two levels")
-        binary = self._is_binary(x, spec.y)
         plain = not spec.controls and not spec.weight
         if spec.y in levels and not binary:
             raise R.RecipeError(f"{spec.y} is no number")
         if spec.family == "assoc" and plain and spec.x not in levels:
             result = R.pearson(x, spec.x, spec.y)
         elif spec.family == "diff" and plain:
-            result = self._groups(x, spec, len(sizes[g]))
+            result = self._groups(x, spec, len(sizes[g]), seen["values"])
         else:
             result = self._regression(x, spec, levels, sizes, binary)
         return result, pooled, n / rows if rows else 0.0
@@ -126,10 +122,10 @@ class Engine:
                 pass
         return sorted(values)
 
-    def _groups(self, x: DataFrame, spec: Spec, k: int) -> R.Result:
+    def _groups(self, x: DataFrame, spec: Spec, k: int, about: int) -> R.Result:
         if k > 2:
             return R.kruskal(x, spec.y, spec.group)
-        few = x.select(spec.y).distinct().limit(7).count() < 7
+        few = about < 20 and x.select(spec.y).distinct().limit(7).count() < 7
         return R.mann_whitney(x, spec.y, spec.group) if few else R.welch(x, spec.y, spec.group)
 
     def _regression(self, x: DataFrame, spec: Spec, levels: set[str], sizes: dict[str, list[str]], binary: bool) -> R.Result:

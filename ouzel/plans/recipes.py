@@ -289,3 +289,44 @@ def proportion_z(df: DataFrame, y: str, g: str) -> Result:
     pooled = (a.n * a.mean + b.n * b.mean) / (a.n + b.n)
     z = (b.mean - a.mean) / math.sqrt(pooled * (1 - pooled) * (1 / a.n + 1 / b.n))
     return Result("proportion_z", b.mean - a.mean, "difference", sp.normal_two_sided(z), a.n + b.n, details={"z": z})
+
+
+def kendall(df: DataFrame, a: str, b: str, most: int = 3000) -> Result:
+    """Kendall's tau-b from the contingency table of two coded columns with at most ``most`` values each."""
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    d = known.agg(F.approx_count_distinct("a").alias("a"), F.approx_count_distinct("b").alias("b")).first()
+    if max(d.a, d.b) > most:
+        raise RecipeError(f"more than {most} different values; use Spearman's correlation")
+    cells = known.groupBy("a", "b").agg(F.count("*").alias("n")).collect()  # at most most ** 2 cells
+    ia, ib = ({v: i for i, v in enumerate(sorted({c[k] for c in cells}))} for k in "ab")
+    t = np.zeros((len(ia), len(ib)))
+    for c in cells:
+        t[ia[c.a], ib[c.b]] = c.n
+    below = np.zeros((t.shape[0] + 1, t.shape[1] + 1))
+    below[1:, 1:] = t.cumsum(0).cumsum(1)
+    total = t.sum()
+    row_upto = below[:-1, -1][:, None]
+    concordant = float((t * below[:-1, :-1]).sum())
+    discordant = float((t * (row_upto - below[:-1, 1:])).sum())
+    pairs = total * (total - 1) / 2
+    ra, rb = t.sum(1), t.sum(0)
+    ta, tb = float((ra * (ra - 1) / 2).sum()), float((rb * (rb - 1) / 2).sum())
+    if pairs in (ta, tb):
+        raise RecipeError("a column is constant")
+    s = concordant - discordant
+    tau = s / math.sqrt((pairs - ta) * (pairs - tb))
+    v0 = total * (total - 1) * (2 * total + 5)
+    va, vb = (float((r * (r - 1) * (2 * r + 5)).sum()) for r in (ra, rb))
+    v1 = 2 * ta * 2 * tb / (2 * total * (total - 1))
+    v2 = float((ra * (ra - 1) * (ra - 2)).sum()) * float((rb * (rb - 1) * (rb - 2)).sum()) / (9 * total * (total - 1) * (total - 2))
+    z = s / math.sqrt((v0 - va - vb) / 18 + v1 + v2)
+    return Result("kendall", tau, "tau_b", sp.normal_two_sided(z), int(total), details={"concordant": concordant, "discordant": discordant})
+
+
+def jarque_bera(df: DataFrame, y: str) -> Result:
+    """Normality from skewness and kurtosis; the effect is the skewness."""
+    s = df.where(F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.skewness(y).alias("s"), F.kurtosis(y).alias("k")).first()
+    if s.s is None or math.isnan(s.s):
+        raise RecipeError("the column is constant")
+    jb = s.n / 6 * (s.s**2 + s.k**2 / 4)
+    return Result("jarque_bera", s.s, "skewness", sp.chi2_sf(jb, 2), s.n, details={"jb": jb, "kurtosis": s.k})

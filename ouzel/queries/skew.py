@@ -30,7 +30,7 @@ QUERIES = {"p4_found": p4_found, "p4_key_stats": p4_key_stats}
 
 SQL = {
     "p4_found": " UNION ALL ".join(
-        f"SELECT '{f}' AS field, {f} AS key_value FROM amazon_books_autokd WHERE trim({f}) <> '' GROUP BY {f} HAVING count(*) >= 0.02 * (SELECT count(*) FROM amazon_books_autokd)" for f in FIELDS
+        f"SELECT '{f}' AS field, {f} AS key_value FROM amazon_books_autokd WHERE regexp_matches({f}, '\\S') GROUP BY {f} HAVING count(*) >= 0.02 * (SELECT count(*) FROM amazon_books_autokd)" for f in FIELDS
     ),
     "p4_key_stats": " UNION ALL ".join(
         f"""SELECT '{f}' AS field, key_value, count(*) AS n_rows, count(v) AS n_values, round(avg(v), 6) AS mean_value, round(stddev_samp(v), 6) AS std_value,

@@ -52,12 +52,12 @@ def dsl_ols_interact(s, d):
 
 def dsl_heterogeneity(s, d):
     x = _run(s, d, "lineitem", "heterogeneity(l_extendedprice ~ l_quantity | l_returnflag)")
-    return x.select("test_method", "n_observations", F.round(F.col("details")["ssr_reduced"] / 1e6, 3).alias("reduced"), F.round((F.col("details")["ssr_reduced"] - F.col("details")["ssr_full"]) / 1e3, 3).alias("gain"))
+    return x.select("test_method", "n_observations", F.round(F.col("details")["ssr_reduced"] / 1e6, 3).alias("reduced"), F.round((F.col("details")["ssr_reduced"] - F.col("details")["ssr_full"]) / 1e3, 1).alias("gain"))
 
 
 def dsl_anova(s, d):
     x = _run(s, d, "lineitem", "diff(l_extendedprice, by=l_returnflag) controlling for l_quantity")
-    return x.select("test_method", "n_observations", F.round(F.col("details")["ssr_reduced"] / 1e6, 3).alias("reduced"), F.round((F.col("details")["ssr_reduced"] - F.col("details")["ssr_full"]) / 1e3, 3).alias("gain"), F.col("omnibus.df_num").alias("df"))
+    return x.select("test_method", "n_observations", F.round(F.col("details")["ssr_reduced"] / 1e6, 3).alias("reduced"), F.round((F.col("details")["ssr_reduced"] - F.col("details")["ssr_full"]) / 1e3, 1).alias("gain"), F.col("omnibus.df_num").alias("df"))
 
 
 def dsl_wls(s, d):
@@ -111,6 +111,16 @@ def paired_t(s, d):
     return s.createDataFrame([(r.n_observations, round(r.details["t"], 4))], "n long, t double")
 
 
+def kendall(s, d):
+    r = recipes.kendall(table(s, d, R), "rating", "review_question_count")
+    return s.createDataFrame([(r.n_observations, int(r.details["concordant"]), int(r.details["discordant"]), round(r.effect_size, 6))], "n long, concordant long, discordant long, tau double")
+
+
+def jarque_bera(s, d):
+    r = recipes.jarque_bera(table(s, d, "orders"), "o_totalprice")
+    return s.createDataFrame([(r.n_observations, round(r.effect_size, 6), round(r.details["kurtosis"], 5))], "n long, skewness double, kurtosis double")
+
+
 def prescan_corr(s, d):
     x = correlations(table(s, d, R), NUMBERS).where("n >= 30 and abs(r) >= 0.03")
     return x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n", F.round("r", 5).alias("r"))
@@ -163,8 +173,8 @@ SQL = {
     "dsl_ols_interact": """WITH c AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b, l_quantity * l_discount AS p FROM lineitem), r AS (SELECT corr(p, y) AS py, corr(p, a) AS pa, corr(p, b) AS pb, corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab, count(*) AS n FROM c),
         f AS (SELECT n, (py - pa * ya) / sqrt((1 - pa * pa) * (1 - ya * ya)) AS py_a, (pb - pa * ab) / sqrt((1 - pa * pa) * (1 - ab * ab)) AS pb_a, (yb - ya * ab) / sqrt((1 - ya * ya) * (1 - ab * ab)) AS yb_a FROM r)
         SELECT 'ols' AS test_method, n AS n_observations, round((py_a - pb_a * yb_a) / sqrt((1 - pb_a * pb_a) * (1 - yb_a * yb_a)), 6) AS effect FROM f""",
-    "dsl_heterogeneity": f"{_GROUPS} SELECT 'ols_anova' AS test_method, sum(n)::bigint AS n_observations, round((sum(syy) - sum(sxy) ** 2 / sum(sxx)) / 1e6, 3) AS reduced, round((sum(syy) - sum(sxy) ** 2 / sum(sxx) - sum(syy - sxy * sxy / sxx)) / 1e3, 3) AS gain FROM g",
-    "dsl_anova": f"{_GROUPS}, t AS (SELECT regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) AS sxy FROM lineitem) SELECT 'ols_anova' AS test_method, sum(n)::bigint AS n_observations, round((t.syy - t.sxy ** 2 / t.sxx) / 1e6, 3) AS reduced, round((t.syy - t.sxy ** 2 / t.sxx - (sum(g.syy) - sum(g.sxy) ** 2 / sum(g.sxx))) / 1e3, 3) AS gain, (count(*) - 1)::double AS df FROM g, t GROUP BY t.syy, t.sxy, t.sxx",
+    "dsl_heterogeneity": f"{_GROUPS} SELECT 'ols_anova' AS test_method, sum(n)::bigint AS n_observations, round((sum(syy) - sum(sxy) ** 2 / sum(sxx)) / 1e6, 3) AS reduced, round((sum(syy) - sum(sxy) ** 2 / sum(sxx) - sum(syy - sxy * sxy / sxx)) / 1e3, 1) AS gain FROM g",
+    "dsl_anova": f"{_GROUPS}, t AS (SELECT regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) AS sxy FROM lineitem) SELECT 'ols_anova' AS test_method, sum(n)::bigint AS n_observations, round((t.syy - t.sxy ** 2 / t.sxx) / 1e6, 3) AS reduced, round((t.syy - t.sxy ** 2 / t.sxx - (sum(g.syy) - sum(g.sxy) ** 2 / sum(g.sxx))) / 1e3, 1) AS gain, (count(*) - 1)::double AS df FROM g, t GROUP BY t.syy, t.sxy, t.sxx",
     "dsl_wls": "WITH m AS (SELECT sum(l_quantity * l_discount) / sum(l_quantity) AS mx, sum(l_quantity * l_extendedprice) / sum(l_quantity) AS my FROM lineitem) SELECT 'wls' AS test_method, count(*) AS n_observations, round(sum(l_quantity * (l_discount - mx) * (l_extendedprice - my)) / sqrt(sum(l_quantity * (l_discount - mx) ** 2) * sum(l_quantity * (l_extendedprice - my) ** 2)), 6) AS effect FROM lineitem, m",
     "dsl_ols_category_control": f"{_GROUPS} SELECT 'ols' AS test_method, sum(n)::bigint AS n_observations, round(sum(sxy) / sqrt(sum(sxx) * sum(syy)), 5) AS effect FROM g",
     "avg_rank": f"SELECT helpful_votes AS value, count(*) AS ties, (sum(count(*)) OVER (ORDER BY helpful_votes) - count(*))::double + (count(*) + 1)::double / 2 AS mid_rank FROM {R} WHERE helpful_votes IS NOT NULL GROUP BY 1",
@@ -174,9 +184,13 @@ SQL = {
     "oneway_f": f"WITH g AS (SELECT product_format, count(*)::double AS n, avg(review_word_count) AS m, var_pop(review_word_count) AS v FROM {R} WHERE product_format IS NOT NULL AND review_word_count IS NOT NULL GROUP BY 1), s AS (SELECT sum(n) AS n, count(*) AS k, sum(n * v) AS w, sum(n * m) AS sm, sum(n * m * m) AS smm FROM g) SELECT n::bigint AS n, round(((smm - sm * sm / n) / (k - 1)) / (w / (n - k)), 5) AS f, (k - 1)::int AS df FROM s",
     "prop_z": f"WITH g AS (SELECT verified_purchase AS g, count(*)::double AS n, avg(has_image) AS m FROM {R} WHERE verified_purchase IS NOT NULL AND has_image IS NOT NULL GROUP BY 1), x AS (SELECT a.n AS n1, b.n AS n2, a.m AS m1, b.m AS m2, (a.n * a.m + b.n * b.m) / (a.n + b.n) AS p FROM g a JOIN g b ON a.g < b.g) SELECT (n1 + n2)::bigint AS n, round((m2 - m1) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 5) AS z, round(m2 - m1, 6) AS difference FROM x",
     "paired_t": f"SELECT count(*) AS n, round(avg(rating - product_avg_rating) / (stddev_samp(rating - product_avg_rating) / sqrt(count(*))), 4) AS t FROM {R} WHERE rating IS NOT NULL AND product_avg_rating IS NOT NULL",
+    "kendall": f"""WITH c AS (SELECT rating::double AS a, review_question_count::double AS b, count(*)::double AS n FROM {R} WHERE rating IS NOT NULL AND review_question_count IS NOT NULL GROUP BY 1, 2), p AS (SELECT sum(CASE WHEN (x.a - y.a) * (x.b - y.b) > 0 THEN x.n * y.n END) / 2 AS con, sum(CASE WHEN (x.a - y.a) * (x.b - y.b) < 0 THEN x.n * y.n END) / 2 AS dis FROM c x, c y),
+        t AS (SELECT (SELECT sum(n) FROM c) AS n, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS ta, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS tb)
+        SELECT n::bigint AS n, con::bigint AS concordant, dis::bigint AS discordant, round((con - dis) / sqrt((n * (n - 1) / 2 - ta) * (n * (n - 1) / 2 - tb)), 6) AS tau FROM p, t""",
+    "jarque_bera": "SELECT count(*) AS n, round(sum((o_totalprice - m) ** 3) / count(*) / v ** 1.5, 6) AS skewness, round(sum((o_totalprice - m) ** 4) / count(*) / v ** 2 - 3, 5) AS kurtosis FROM orders, (SELECT avg(o_totalprice) AS m, var_pop(o_totalprice) AS v FROM orders) GROUP BY m, v",
     "prescan_corr": " UNION ALL ".join(_pair(a, b) for i, a in enumerate(NUMBERS) for b in NUMBERS[i + 1 :]),
     "module_pair_rollup": _rollup_sql(),
     "corr_ci": "SELECT l_returnflag, n, round(r, 6) AS r, round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 6) AS lo, round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 6) AS hi FROM (SELECT l_returnflag, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1)",
 }
 
-QUERIES = {f.__name__: f for f in (dsl_assoc, dsl_diff_welch, dsl_diff_mwu, dsl_diff_kruskal, dsl_ols_control, dsl_ols_interact, dsl_heterogeneity, dsl_anova, dsl_wls, dsl_ols_category_control, dsl_logit, dsl_result, replicate, avg_rank, spearman, chi_square, oneway_f, prop_z, paired_t, prescan_corr, prescan_cap, module_pair_rollup, corr_ci)}
+QUERIES = {f.__name__: f for f in (dsl_assoc, dsl_diff_welch, dsl_diff_mwu, dsl_diff_kruskal, dsl_ols_control, dsl_ols_interact, dsl_heterogeneity, dsl_anova, dsl_wls, dsl_ols_category_control, dsl_logit, dsl_result, replicate, avg_rank, spearman, chi_square, oneway_f, prop_z, paired_t, kendall, jarque_bera, prescan_corr, prescan_cap, module_pair_rollup, corr_ci)}

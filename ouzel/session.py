@@ -87,6 +87,14 @@ def _forget_later(spark: SparkSession, path: str) -> None:
     sc._ouzel_staged.append(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Delete all staged tables of the session; results that read them must have been written before."""
+    sc = spark.sparkContext
+    if hasattr(sc, "_ouzel_staged"):
+        _forget(sc)
+        sc._ouzel_staged.clear()
+
+
 def _forget(sc) -> None:
     for path in sc._ouzel_staged:
         try:

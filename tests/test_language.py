@@ -201,3 +201,19 @@ def test_session(data, tmp_path):
 def test_profile_yaml():
     p = Profile.from_yaml("name: t\nmissing_codes: [-1, -2]\nids: [id]\nderived_pairs: [[a, b]]\nmissing_of: {q: [9]}")
     assert p.codes("q") == (9,) and p.codes("z") == (-1, -2) and p.role("id") == "ids" and frozenset({"a", "b"}) in p.derived_pairs
+
+
+def test_kendall_and_normality(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 5, 80)
+    b = a + rng.integers(-2, 3, 80)
+    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)], "a int, b int")
+    r = recipes.kendall(df, "a", "b")
+    s = np.sign(a[:, None] - a) * np.sign(b[:, None] - b)
+    up = np.triu_indices(80, 1)
+    c, d = (s[up] > 0).sum(), (s[up] < 0).sum()
+    ta, tb = (a[:, None] == a)[up].sum(), (b[:, None] == b)[up].sum()
+    n = 80 * 79 / 2
+    assert (r.details["concordant"], r.details["discordant"]) == (c, d) and r.effect_size == pytest.approx((c - d) / np.sqrt((n - ta) * (n - tb))) and r.p_value < 0.01
+    normal = spark.createDataFrame([(float(x),) for x in rng.normal(size=3000)], "y double")
+    assert recipes.jarque_bera(normal, "y").p_value > 0.001 > recipes.jarque_bera(normal.selectExpr("exp(y) as y"), "y").p_value
