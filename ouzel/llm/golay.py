@@ -22,7 +22,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..session import is_small, stage
-from .words import mix, shingle_hashes, word_hashes
+from .words import mix, pieces, shingle_hashes, word_hashes
 
 #: The generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the code.
 GENERATOR = 0b101011100011
@@ -128,7 +128,7 @@ def keys_of(seg: np.ndarray, anchors: np.ndarray, group: np.ndarray) -> tuple[np
 
 def _fingerprint_stage(segments: int, shingle: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             texts = b["text"].tolist()
             places, counts, seg, anchors, prints = fingerprints(texts, segments, shingle, min_words)
             yield pd.DataFrame({
@@ -164,7 +164,7 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _shingle_stage(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches, "text"):
             flat, sizes = word_hashes(b["text"].tolist())
             grams, counts = shingle_hashes(flat, sizes, shingle)
             parts = np.split((grams >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(counts)[:-1]) if len(counts) else []

@@ -18,7 +18,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from .lookalike import consistent_form
-from .words import mix, word_hashes
+from .words import mix, pieces, word_hashes
 
 BLOCK = 2
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +102,7 @@ class Patterns:
 def _search_stage(patterns):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = patterns.value
-        for b in batches:
+        for b in pieces(batches, "form"):
             flat, sizes = word_hashes([_MARKS.sub("", t) for t in b["form"].tolist()])
             text, item = p.search(flat, sizes)
             hits = pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[text], "item_id": item})

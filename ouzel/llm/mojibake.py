@@ -24,6 +24,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..session import stage
+from .words import pieces
 
 #: Pages that UTF-8 bytes were shown in.
 PAGES = ("cp1252", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "iso8859_15")
@@ -195,9 +196,7 @@ def bigrams(df: DataFrame, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(N * N, np.int64)
-        for b in batches:
-            if not len(b):
-                continue
+        for b in pieces(batches, "t"):
             codes, ends = _flat(b["t"].tolist())
             clean = ~_maybe_units(codes, ends)
             use = np.repeat(clean, np.diff(np.append(0, ends)))
@@ -234,9 +233,7 @@ def suspects(df: DataFrame, text: str, keep: list[str], logp: np.ndarray) -> Dat
     plain = np.array([c.isalpha() and c.isascii() for c in SYMBOLS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
+        for b in pieces(batches, "text"):
             texts = b["text"].tolist()
             codes, ends = _flat(texts)
             starts = np.append(0, ends[:-1])

@@ -170,9 +170,10 @@ def radius_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     out before the edit distance is computed.
     """
     pts = stage(points.select("block", "core").distinct(), "points")
-    order = Window.partitionBy("block").orderBy(F.xxhash64("core"), "core")
-    count = pts.groupBy("block").agg(F.ceil(F.sqrt(F.count("*"))).alias("most"))
-    pivots = stage(pts.join(count, "block").withColumn("pivot", F.row_number().over(order)).where("pivot <= most").select("block", "pivot", F.col("core").alias("centre")), "pivots")
+    h = F.xxhash64("core")
+    size = pts.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct(h, "core")).alias("least"))
+    chosen = (F.pmod(h, F.lit(1_000_000_000)) < 1e9 / F.sqrt("n")) | (F.col("core") == F.col("least.core"))
+    pivots = stage(pts.join(size, "block").where(chosen).select("block", h.alias("pivot"), F.col("core").alias("centre")), "pivots")
     far = pts.join(pivots, "block").select("block", "core", "pivot", F.levenshtein("core", "centre").alias("d"))
     near = far.withColumn("least", F.min("d").over(Window.partitionBy("block", "core"))).where(F.col("d") <= F.col("least") + 2 * radius)
     near = near.withColumn("home", F.row_number().over(Window.partitionBy("block", "core").orderBy("d", "pivot")) == 1)

@@ -15,6 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..session import stage
+from .words import pieces
 
 # Common words of each language.
 COMMON = {
@@ -109,10 +110,9 @@ def letter_counts(df: DataFrame, text: str) -> np.ndarray:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(27**3, np.int64)
-        for b in batches:
-            if len(b):
-                triple, letter = _triples(_codes(b["t"].tolist())[0])
-                total += np.bincount(triple[letter], minlength=27**3)
+        for b in pieces(batches, "t"):
+            triple, letter = _triples(_codes(b["t"].tolist())[0])
+            total += np.bincount(triple[letter], minlength=27**3)
         k = np.nonzero(total)[0]
         yield pd.DataFrame({"k": k, "n": total[k]})
 
@@ -223,11 +223,9 @@ def statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     schema = ", ".join([*cols, "words long", "lines long", "lang string", *(f"{s} double" for s in STATS)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b.pop("_t").tolist()
-            if texts:
-                stats, words, lines, langs = text_statistics(texts, surprise, usual)
-                yield b.assign(words=words, lines=lines, lang=langs, **dict(zip(STATS, stats.T)))
+        for b in pieces(batches, "_t"):
+            stats, words, lines, langs = text_statistics(b.pop("_t").tolist(), surprise, usual)
+            yield b.assign(words=words, lines=lines, lang=langs, **dict(zip(STATS, stats.T)))
 
     return src.mapInPandas(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,22 @@ WORD = re.compile(r"[^\W_]+")
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """Batches cut so that no piece has more than ``most`` characters in ``column``, but for single longer texts.
+
+    Flat arrays take a few hundred bytes a character; this bounds what a task holds however long texts are.
+    """
+    for b in batches:
+        if not len(b):
+            continue
+        upto = np.cumsum(b[column].str.len().fillna(0).to_numpy(np.int64))
+        start, before = 0, 0
+        while start < len(b):
+            end = max(start + 1, int(np.searchsorted(upto, before + most, "right")))
+            yield b.iloc[start:end].reset_index(drop=True)
+            before, start = int(upto[end - 1]), end
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in one array, and the words in each text."""
     per_text = [WORD.findall(t.lower()) for t in texts]

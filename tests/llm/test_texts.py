@@ -144,3 +144,13 @@ def test_statistics_of_a_text():
 def test_quality_of_nothing(spark):
     df = spark.createDataFrame([], "field string, id long, text string")
     assert quality.not_prose(df, "field", "text", ["id"]).count() == 0
+
+
+def test_pieces_bound_batches():
+    import pandas as pd
+
+    from ouzel.llm.words import pieces
+
+    b = pd.DataFrame({"t": ["a" * n for n in (3, 9, 1, 30, 2, 2)], "k": range(6)})
+    got = list(pieces(iter([b, b.iloc[:0]]), "t", 10))
+    assert [list(p.k) for p in got] == [[0], [1, 2], [3], [4, 5]]
