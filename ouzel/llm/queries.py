@@ -132,6 +132,17 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, d, "documents"), "text", ["doc_id"])
 
 
+def _words_sql(c: str) -> str:
+    return f"regexp_extract_all(lower(regexp_replace({lookalike.form_sql(c)}, '[\u0300-\u036f]', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _runs_sql(w: str) -> str:
+    return f"unnest(list_transform(range(1, len({w}) - 10), lambda i: array_to_string({w}[i:i + 11], ' ')))"
+
+
+_LEAK_SQL = f"""SELECT doc_id, query_id FROM (SELECT doc_id, {_runs_sql('w')} AS r FROM (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL))
+ JOIN (SELECT DISTINCT query_id, r FROM (SELECT query_id, {_runs_sql('w')} AS r FROM (SELECT query_id, {_words_sql('query_text')} AS w FROM eval_query UNION ALL SELECT query_id, {_words_sql('gold_claim')} FROM eval_query))) USING (r)"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_review_percentiles, p3_citation_percentiles, p3_combined_days, p5_found, p5_entities, p6_found, p7_found, p7_statistics, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_found, p10_forms)}
 
 SQL = {
@@ -147,6 +158,14 @@ SQL = {
         " UNION ALL SELECT 'normalized_citation', 'loaded_on', loaded_on::varchar, normalized_citation FROM cite_agg",
         "metric, kind, grp",
     ),
+    "p1_found": f"""WITH t AS (SELECT 'review_text' AS field, review_id::varchar AS id, review_text AS text FROM amazon_books_autokd UNION ALL SELECT 'sentence', insight_id, sentence FROM insight),
+        w AS (SELECT field, id, md5(text) AS m, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM t WHERE text IS NOT NULL), d AS (SELECT field, m, list_distinct(list_transform(range(1, len(any_value(w)) - 1), lambda i: any_value(w)[i] || ' ' || any_value(w)[i + 1] || ' ' || any_value(w)[i + 2])) AS s FROM w WHERE len(w) >= 20 GROUP BY field, m),
+        u AS (SELECT field, m, len(s) AS n, unnest(s) AS s FROM d), p AS (SELECT a.field, a.m AS x, b.m AS y, count(*)::double AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.field = b.field AND a.s = b.s AND a.m < b.m GROUP BY 1, 2, 3),
+        q AS (SELECT field, x, y FROM p WHERE c / (na + nb - c) >= 0.6), k AS (SELECT field, id, m FROM w WHERE len(w) >= 20)
+        SELECT q.field, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM q JOIN k a ON a.field = q.field AND a.m = q.x JOIN k b ON b.field = q.field AND b.m = q.y UNION ALL SELECT a.field, a.id, b.id FROM k a JOIN k b ON a.field = b.field AND a.m = b.m AND a.id < b.id""",
+    "p3_combined_days": _percentile_sql("SELECT 'all days' AS grp, CASE WHEN isinf(normalized_citation) THEN normalized_citation ELSE round(normalized_citation / 0.01) * 0.01 END AS value FROM cite_agg", "grp"),
+    "p8_found": f"SELECT DISTINCT doc_id, query_id FROM ({_LEAK_SQL})",
+    "p8_leaked_items": f"SELECT query_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n_windows FROM ({_LEAK_SQL}) GROUP BY 1",
     "p6_found": "SELECT asin, review_id FROM amazon_books_autokd WHERE regexp_matches(asin, '\\S') AND helpful_votes IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asin ORDER BY helpful_votes DESC, review_id) <= 3",
     "p10_found": f"WITH f AS (SELECT doc_id, text, {lookalike.form_sql('text')} AS form FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p10_forms": f"SELECT doc_id, {lookalike.form_sql('text')} AS form FROM documents",
