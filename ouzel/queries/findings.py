@@ -397,6 +397,20 @@ SQL = {
     "tfidf_topk": _TFIDF,
     "citations": "SELECT item, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bQ(\\d+)\\.', 1)) AS item FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "theme_infer": "WITH h AS (SELECT doc_id, theme, hits FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS theme, " + " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in ws) + " AS hits FROM documents WHERE text IS NOT NULL" for k, ws in THEMES.items()) + ") WHERE hits > 0), b AS (SELECT doc_id, theme, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, theme DESC) = 1) SELECT theme, count(*) AS docs, sum(hits)::bigint AS hits FROM b GROUP BY 1",
+    "component_members": f"WITH RECURSIVE {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT a AS n, a AS m FROM u UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a) SELECT n AS node, min(m) AS component FROM r GROUP BY 1",
+    "graph_stats": f"""WITH RECURSIVE {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT insight_id AS n, insight_id AS m FROM insight UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), c AS (SELECT k, count(*) AS n FROM (SELECT n, min(m) AS k FROM r GROUP BY 1) GROUP BY 1)
+        SELECT (SELECT count(*) FROM c) AS clusters, (SELECT max(n) FROM c) AS largest_cluster, (SELECT count(DISTINCT insight_id) FROM insight) AS nodes, count(*) AS edges, {', '.join(f"count(*) FILTER (relation_type = '{t}') AS n_{t}" for t in G.RELATIONS)},
+        (SELECT max(k) FROM (SELECT count(*) AS k FROM e GROUP BY target_id)) AS max_in_degree, round(2.0 * count(*) / (SELECT count(DISTINCT insight_id) FROM insight), 6)::double AS mean_degree FROM e""",
+    "tiered_context": f"""WITH {_E}, s AS (SELECT insight_id AS n FROM insight ORDER BY 1 DESC LIMIT 3), u AS (SELECT source_id AS a, target_id AS b, relation_type AS k FROM e UNION SELECT target_id, source_id, relation_type FROM e),
+        h AS (SELECT b AS node, 0 AS tier, 1 AS hop FROM s JOIN u ON n = a AND k = 'deepens' UNION ALL SELECT y.b, 0, 2 FROM s JOIN u x ON n = x.a AND x.k = 'deepens' JOIN u y ON x.b = y.a AND y.k = 'deepens' UNION ALL SELECT b, CASE k WHEN 'narrows' THEN 1 WHEN 'extends' THEN 2 ELSE 3 END, 1 FROM s JOIN u ON n = a AND k <> 'deepens'),
+        f AS (SELECT node, min((tier, hop)) AS x FROM h WHERE node NOT IN (SELECT n FROM s) GROUP BY 1) SELECT node, x[1] AS tier, x[2] AS hop, row_number() OVER (ORDER BY x, created_at, node) AS rank FROM f JOIN insight ON node = insight_id QUALIFY row_number() OVER (ORDER BY x, created_at, node) <= 10""",
+    "seed_expand": f"""WITH {_E}, v AS (SELECT 'ins_' || (vec_id + 1000000000)::varchar AS node, embedding AS v FROM embeddings), s AS (SELECT vec_id AS query_id, node, round({_SIM.format('embedding', 'v')}, 6) AS sim, validity_score AS val FROM v JOIN insight ON node = insight_id, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0)),
+        f AS (SELECT query_id, node FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node) <= 5), u AS (SELECT source_id AS a, target_id AS b FROM e UNION ALL SELECT target_id, source_id FROM e), p AS (SELECT query_id, node FROM f UNION SELECT query_id, b FROM f JOIN u ON node = a),
+        x AS (SELECT query_id, node, round(0.6 * sim + 0.4 * coalesce(val, 0), 6) AS score FROM p JOIN s USING (query_id, node)) SELECT query_id, node, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS rank FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) <= 10""",
+    "composite_related": f"""WITH {_D}, {_E}, v AS (SELECT 'ins_' || (vec_id + 1000000000)::varchar AS node, embedding AS v FROM embeddings), g AS (SELECT target_id, count(*) AS k FROM e GROUP BY 1),
+        m AS (SELECT a.node AS query_id, b.node AS insight_id, round({_SIM.format('a.v', 'b.v')}, 6) AS s FROM v a JOIN v b ON a.node <> b.node WHERE substr(a.node, 5)::bigint % 20 = 0),
+        x AS (SELECT query_id, m.insight_id, round(0.4 * (s - 0.55) / (0.92 - 0.55) + 0.3 * CASE WHEN len(list_distinct(y.core || z.core)) = 0 THEN 0 ELSE len(list_intersect(y.core, z.core))::double / len(list_distinct(y.core || z.core)) END + 0.3 / (1 + ln(1 + coalesce(k, 0))), 6) AS score FROM m JOIN d y ON query_id = y.insight_id JOIN d z ON m.insight_id = z.insight_id LEFT JOIN g ON target_id = m.insight_id WHERE s >= 0.55 AND s < 0.92 AND coalesce(k, 0) < 15)
+        SELECT query_id, insight_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, insight_id) AS n FROM x QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, insight_id) <= 3""",
     "dup_filter": f"""WITH {_D}, x AS (SELECT *, {_DSL} AS dsl FROM d), a AS (SELECT DISTINCT a.insight_id, 0 AS r FROM x a JOIN x b ON a.dsl = b.dsl AND b.created_at < a.created_at), b AS (SELECT DISTINCT a.insight_id, 2 AS r FROM x a JOIN x b ON b.created_at < a.created_at AND a.rk <= b.rk AND len(a.core) > 0 AND len(b.core) > 0 AND list_has_any(a.core, b.core)
         WHERE len(list_intersect(a.core, b.core))::double / len(list_distinct(a.core || b.core)) >= 0.8) SELECT insight_id, CASE min(r) WHEN 0 THEN 'CROSS_ROUND_DUPLICATE' ELSE 'STRUCTURAL_DUPLICATE' END AS reason FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
     "anchor_sets": f"""WITH {_D}, {_E}, n AS (SELECT source_id AS i, target_id AS o FROM e UNION ALL SELECT target_id, source_id FROM e), m AS (SELECT m, count(*) > 0.25 * (SELECT count(*) FROM d) AS f FROM (SELECT unnest(mods) AS m FROM d) GROUP BY 1)

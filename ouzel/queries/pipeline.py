@@ -268,6 +268,10 @@ SQL = {
     "distinct": f"SELECT DISTINCT product_main_category, product_sub_category, product_format FROM {R}",
     "keep_first": f"SELECT asin, reviewerid, review_unix, ingested_at, review_id, rating FROM {R} WHERE asin IS NOT NULL AND reviewerid IS NOT NULL AND review_unix IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asin, reviewerid, review_unix ORDER BY ingested_at NULLS FIRST, review_id) = 1",
     "column_profile": " UNION ALL ".join(_profile_sql(c, c != "l_returnflag") for c in ["l_quantity", "l_discount", "l_returnflag", "l_linenumber", "l_extendedprice"]),
+    "schema_desc": " UNION ALL ".join(
+        [f"SELECT '{c}' AS \"column\", CASE WHEN bool_and({c} IN (0, 1)) AND count(DISTINCT {c}) = 2 THEN 'binary' WHEN bool_and({c} = floor({c})) THEN 'integer' ELSE 'float' END AS kind, count(DISTINCT {c}) AS n_distinct, CASE WHEN count(DISTINCT {c}) < 2 THEN 'fewer than two levels' WHEN count(DISTINCT {c}) > 30 THEN 'continuous' END AS warning FROM {R}" for c in ("rating", "helpful_votes", "verified_purchase", "review_year", "product_price")]
+        + [f"SELECT '{c}' AS \"column\", CASE WHEN avg(CASE WHEN try_cast({c} AS double) IS NULL THEN 0.0 ELSE 1.0 END) FILTER ({c} IS NOT NULL) >= 0.8 AND count(DISTINCT {c}) <= 50 AND avg(length({c})) <= 6 THEN 'coded' WHEN avg(length({c})) >= 25 THEN 'text' ELSE 'string' END AS kind, count(DISTINCT {c}) AS n_distinct, CASE WHEN count(DISTINCT {c}) < 2 THEN 'fewer than two levels' END AS warning FROM {R}" for c in ("product_format", "review_text")]
+    ),
     "top_values": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::varchar AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}::varchar) AS rank FROM {R} WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY row_number() OVER (ORDER BY count(*) DESC, {c}::varchar) <= 6" for c in ["product_format", "product_main_category", "rating", "review_year"]),
     "module_stats": " UNION ALL ".join(f"SELECT '{m}' AS module, '{c}' AS \"column\", round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing FROM {R}" for m, c in _chosen),
     "substantive_cols": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg(CASE WHEN try_cast({c}::varchar AS double) IS NULL THEN 0.0 ELSE 1.0 END), 6) AS numeric_share, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_share, count(DISTINCT {c}) AS n_distinct FROM {R}" for c in _SKIP_SQL)
