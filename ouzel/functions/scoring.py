@@ -71,6 +71,12 @@ def flags(p: Column, effect: Column, n: Column, coverage: Column, v: Column, lo:
     return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules)))
 
 
+def guarded_effect(effect: Column) -> Column:
+    """Effects that can't be: beyond 10 in size they count as 5; NaN and infinite ones as none."""
+    e = F.when(~F.isnan(effect) & (F.abs(effect) != float("inf")), effect)
+    return F.when(F.abs(e) > 10, F.signum(e) * 5).otherwise(e)
+
+
 def novelty_step(similarity: Column) -> Column:
     """By the similarity (0..1) of the nearest earlier finding; null if there is none."""
     return F.when(similarity.isNull(), 0.9).when(similarity >= 0.85, 0.2).when(similarity >= 0.7, 0.6).otherwise(0.75)

@@ -142,6 +142,19 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
+def hashed_vectors(docs: DataFrame, dims: int = 256, stop: list[str] | None = None) -> DataFrame:
+    """``doc_id, v``: signed term counts in ``dims`` hash buckets, of unit length, where no model gives vectors.
+
+    Documents without terms have a zero vector.
+    """
+    h = F.xxhash64("term")
+    t = docs.select("doc_id", F.explode_outer(terms(F.coalesce("text", F.lit("")), stop)).alias("term"))
+    b = t.select("doc_id", F.pmod(h, F.lit(dims)).cast("int").alias("b"), F.when(F.col("term").isNull(), 0.0).when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("w")).groupBy("doc_id", "b").agg(F.sum("w").alias("w"))
+    m = b.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))  # dims entries at most
+    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("norm")), F.lit(0.0)))
+    return m.select("doc_id", v.alias("v"))
+
+
 def grounding(phrases: DataFrame, cards: DataFrame, top: int = 3, least: float = 0.05, share: float = 0.55) -> DataFrame:
     """``query_id, share, grounded``: the share of a query's phrases with a card among the first ``top`` that
     scores at least ``least``. ``phrases(query_id, phrase_id, text)``."""

@@ -165,7 +165,7 @@ class Engine:
             row = dict.fromkeys(RESULT.names) | {"query": spec.canonical(), "family": spec.family, "status": "execution_error", "error": str(e)}
             return spark.createDataFrame([tuple(row[k] for k in RESULT.names)], RESULT)
         severity = "material" if MATERIAL & set(r.warnings) else "review" if r.warnings or r.flags or pooled else "none"
-        flags = r.flags + r.warnings + (["levels_collapsed"] if pooled else [])
+        flags = r.flags + (["direction_requires_codebook_interpretation"] if self.cautious(spec) else []) + r.warnings + (["levels_collapsed"] if pooled else [])
         omnibus = tuple(None if (v := (r.omnibus or {}).get(k)) is None else (v if isinstance(v, str) else float(v)) for k in ("test", "term", "statistic", "df_num", "df_den", "p_value")) if r.omnibus else None
         details = {k: float(v) for k, v in r.details.items() if isinstance(v, (int, float)) and v is not None}
         ci = tuple(map(float, r.ci)) if r.ci else (None, None)
@@ -173,6 +173,37 @@ class Engine:
                r.formula, r.estimand, r.term, None if r.r_squared is None else float(r.r_squared), omnibus, severity, flags, pooled, details, "valid" if severity == "none" else "valid_with_warning", None)
         return spark.createDataFrame([row], RESULT)
 
+    def feasible(self, query: str | Spec) -> str | None:
+        """Why a query can't be run, or None: too few levels or too many, or too few usable rows."""
+        spec = query if isinstance(query, Spec) else self.parse(query)
+        for c in (c for c in (spec.group, spec.moderator if spec.moderator in self.profile.categorical else None) if c):
+            n = self.distinct(c)
+            if n < 2:
+                return f"{c} has fewer than two levels"
+            if n > MAX_LEVELS * 1.1:  # counted approximately; rare levels may still be pooled
+                x = self.df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where("n >= 30").limit(2).count()
+                if x < 2:
+                    return f"{c} has more than {MAX_LEVELS} levels and no two of 30 rows"
+        rows = prepare(self.df, spec, self.profile)[0].limit(R.MIN_ROWS).count()
+        return None if rows >= R.MIN_ROWS else f"{rows} rows are too few"
+
+    def cautious(self, spec: Spec) -> bool:
+        """Whether the direction needs a codebook: a column's high values are said to mean the reverse, or are unclear."""
+        return any(self.profile.high_means.get(c) in ("less", "unclear") for c in (spec.x, spec.y) if c)
+
+    def audit(self, query: str | Spec) -> str:
+        """Spark SQL that selects the rows a query uses, for the record."""
+        spec = query if isinstance(query, Spec) else self.parse(query)
+        parts = []
+        for c in spec.columns:
+            x = f"`{c}`"
+            if codes := self.profile.codes(c):
+                if c not in self.profile.categorical:
+                    x = f"CASE WHEN {x} NOT IN ({', '.join(map(str, codes))}) THEN {x} END AS `{c}`"
+            parts.append(x)
+        known = " AND ".join(f"`{c}` IS NOT NULL" for c in spec.columns)
+        return f"-- {spec.canonical()}\nSELECT * FROM (SELECT {', '.join(parts)} FROM data) WHERE {known}"
+
     def replicate(self, query: str | Spec, level: float = 0.10, least: int = 40) -> str:
         """Whether both parts of a 70/30 split show the effect: the same sign and p below ``level``."""
         spec = query if isinstance(query, Spec) else self.parse(query)

@@ -89,3 +89,55 @@ def test_answer(spark):
 def test_anchor(spark):
     s = spark.createDataFrame([("a", False, False, True, True, False), ("b", False, False, False, True, False)], "insight_id string, boundary boolean, depth boolean, isolated boolean, underexplored boolean, saturated boolean")
     assert {graph.choose_anchor(s, k) for k in range(20)} <= {"a", "b"} and graph.choose_anchor(s.where("insight_id = 'z'"), 1) is None
+
+
+@pytest.fixture(scope="module")
+def cards(spark):
+    from ouzel.sources.readers import CARD
+
+    rows = [
+        ("Q1", "Values", "Family matters", "How important is family?", [("1", "very"), ("2", "rather"), ("3", "not")], {"-1": "unknown"}), ("Q2", "Values", "Friends matter", "", [("1", "yes"), ("2", "no")], None),
+        ("Q60", "Trust", "Trust in courts", "", [("1", "a"), ("5", "b"), ("9", "c")], None), ("w", "Technical", "Sampling weight", "", None, None), ("idx", "Values", "An index", "", None, None), (None, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, CARD)
+
+
+def test_cards(cards):
+    from ouzel.plans import catalog
+
+    k = {r.var_name: r.kind for r in catalog.kinds(cards).collect()}
+    assert k == {"Q1": "ordinal", "Q2": "binary", "Q60": "nominal", "w": "technical", "idx": "index", None: "index"}
+    names = lambda **a: {r.var_name for r in catalog.candidates(cards, **a).collect()}
+    assert names() == {"Q1", "Q2", "Q60"} and names(module="val") == {"Q1", "Q2"} and names(ranges="Q2-Q70") == {"Q2", "Q60"} and names(only=["Q1"]) == {"Q1"}
+    lines = {r.var_name: r.line for r in catalog.glossary(cards, 2).collect()}
+    assert lines["Q1"] == "Q1: Family matters (1=very; 2=rather; ...)" and lines["w"] == "w: Sampling weight"
+
+
+def test_choice_of_columns(spark, cards):
+    from ouzel.plans import catalog
+
+    needs = spark.createDataFrame([("n", "trust in courts and family")], "query_id string, text string")
+    rows = catalog.choose_columns(cards, needs, always=["w"], covariates=["Q2"], stop=["in", "and"]).orderBy("rank").collect()
+    assert [(r.var_name, r.reason) for r in rows] == [("w", "always"), ("Q60", "module"), ("Q1", "module"), ("Q2", "covariate")]
+
+
+def test_hashed_vectors(spark):
+    from ouzel.operators.retrieval import hashed_vectors
+
+    d = spark.createDataFrame([(1, "red lamp old map"), (2, "red lamp old map"), (3, "quite other words here"), (4, None), (5, "")], "doc_id int, text string")
+    v = {r.doc_id: r.v for r in hashed_vectors(d, 64, []).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    assert cos(1, 2) == pytest.approx(1) and abs(cos(1, 3)) < 0.8 and not any(v[4]) and len(v[5]) == 64
+
+
+def test_feasible_and_audit(spark):
+    from ouzel.plans.planner import Engine
+    from ouzel.plans.profile import Profile
+
+    df = spark.createDataFrame([(i, float(i), "x", f"l{i}") for i in range(200)], "id int, y double, one string, many string")
+    e = Engine(df, Profile(missing_codes=(-1.0,), high_means={"y": "less"}))
+    assert "fewer than two" in e.feasible("diff(y, by=one)") and "no two of 30" in e.feasible("diff(y, by=many)") and e.feasible("assoc(id, y)") is None
+    sql = e.audit("assoc(id, y)")
+    df.createOrReplaceTempView("data")
+    assert spark.sql(sql).count() == 200 and e.cautious(e.parse("assoc(id, y)"))
+    assert "direction_requires_codebook_interpretation" in e.run("assoc(id, y)").first().review_flags
