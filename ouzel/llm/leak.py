@@ -21,6 +21,8 @@ from .lookalike import consistent_form
 from .words import mix, pieces, word_hashes
 
 BLOCK = 2
+#: Places that one strand of the search passes, in words.
+LANE = 2048
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Combining marks that no composed letter holds.
 _MARKS = re.compile("[\u0300-\u036f]")
@@ -74,6 +76,11 @@ class Patterns:
             return none, none
         block = _blocks(flat)
         at, end = ends[text] - sizes[text] + self.length - 1, ends[text]
+        lanes = -(-(end - at) // LANE)  # long texts are searched in several places at once
+        which = np.repeat(np.arange(len(text)), lanes)
+        nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        text, at = text[which], at[which] + nth * LANE
+        end = np.minimum(at + LANE, end[which])
         found_text, found_item = [], []
         while len(text):
             h = block[at]

@@ -154,3 +154,16 @@ def test_pieces_bound_batches():
     b = pd.DataFrame({"t": ["a" * n for n in (3, 9, 1, 30, 2, 2)], "k": range(6)})
     got = list(pieces(iter([b, b.iloc[:0]]), "t", 10))
     assert [list(p.k) for p in got] == [[0], [1, 2], [3], [4, 5]]
+
+
+def test_leaks_in_a_long_text(monkeypatch):
+    from ouzel.llm.words import word_hashes
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(30)}" for _ in range(5000)]
+    items = [" ".join(words[k : k + 12]) for k in (0, 2043, 2048, 2050, 4988)] + ["a b c d e f g h i j k l"]
+    p = leak.Patterns.build(list(range(6)), items, 12)
+    for lane in (7, 2048, 10**6):
+        monkeypatch.setattr(leak, "LANE", lane)
+        text, item = p.search(*word_hashes([" ".join(words), "short", " ".join(words[:12])]))
+        assert {(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (2, 0)} == set(zip(text.tolist(), item.tolist()))
