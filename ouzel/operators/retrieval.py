@@ -95,6 +95,23 @@ def seed_expand(scored: DataFrame, edges: DataFrame, seeds: int = 5, k: int = 10
     return pool.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= k).select("query_id", "node", "score", "rank")
 
 
+def diverse_greedy(items: DataFrame, k: int, most_similar: float) -> list[tuple[str, float]]:
+    """Greedy choice over a whole table ``(node, score, v)``: the best score (of equals the greatest node), then the
+    best whose cosine with all chosen ones is at most ``most_similar``, and so on up to ``k``.
+
+    Each choice is one distributed top-1 over what is left, so only the chosen rows come to the driver.
+    """
+    left, chosen = items.where(F.col("score").isNotNull() & ~F.isnan("score")), []
+    while len(chosen) < k:
+        best = left.orderBy(F.desc("score"), F.desc("node")).first()
+        if best is None:
+            break
+        chosen.append((best.node, best.score))
+        v = F.array(*(F.lit(float(x)) for x in best.v))
+        left = left.where((F.col("node") != best.node) & (cosine(F.col("v"), v) <= most_similar))
+    return chosen
+
+
 def diverse_topk(rows: list[tuple[str, float, np.ndarray]], k: int, most_similar: float) -> list[str]:
     """Greedy choice by falling score (of equals the last one first), skipping what is too like a chosen one.
 

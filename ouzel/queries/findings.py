@@ -61,13 +61,14 @@ def jaccard_cols(s, d):
 
 
 def khop(s, d):
-    """Findings within two edges of the five first ones."""
-    anchors = _insights(s, d).select(F.col("insight_id").alias("node")).orderBy("node").limit(5)
-    return G.k_hop(_edges(s, d), anchors, 2)
+    """What every finding builds on: along deepening, narrowing and contradicting edges, up to two of them."""
+    anchors = _insights(s, d).select(F.col("insight_id").alias("node"))
+    return G.k_hop(_edges(s, d), anchors, 2, "out", ["deepens", "narrows", "contradicts"])
 
 
 def tiered_context(s, d):
-    anchors = _insights(s, d).select(F.col("insight_id").alias("node")).orderBy(F.desc("node")).limit(3)
+    """Context of the three best findings."""
+    anchors = _insights(s, d).where("overall_score is not null and not isnan(overall_score)").orderBy(F.desc("overall_score"), "insight_id").limit(3).select(F.col("insight_id").alias("node"))
     return G.tiered_context(_edges(s, d), anchors, _insights(s, d))
 
 
@@ -250,16 +251,17 @@ def seed_expand(s, d):
 
 
 def diverse_topk(s, d):
-    """Twenty good findings no two of which are alike, from the 500 best."""
+    """Twenty good findings no two of which are alike."""
     x = _insights(s, d).where(SEEDS).select(F.col("insight_id").alias("node"), F.round(S.ranking(F.col("novelty_score"), F.col("validity_score")), 6).alias("score"))
-    rows = x.where("score is not null and not isnan(score)").join(_vectors(s, d), "node").orderBy(F.desc("score"), "node").limit(500).collect()
-    chosen = V.diverse_topk([(r.node, r.score, np.array(r.v)) for r in rows], 20, 0.4)
-    return s.createDataFrame([(i, c) for i, c in enumerate(chosen, 1)], "rank int, node string")
+    chosen = V.diverse_greedy(stage(x.join(_vectors(s, d), "node"), "scored"), 20, 0.4)
+    return s.createDataFrame([(i, *c) for i, c in enumerate(chosen, 1)], "rank int, node string, score double")
 
 
-def pairing(s, d):
-    """The vectors of two labels paired one to one with the greatest total similarity."""
-    e = table(s, d, "embeddings").where("label in (0, 1)").orderBy("vec_id").limit(400).collect()
+def pairing(s, d, most: int = 4000):
+    """The vectors of two labels paired one to one with the greatest total similarity; the solve is bounded."""
+    e = table(s, d, "embeddings").where("label in (0, 1)").orderBy("vec_id").limit(most + 1).collect()
+    if len(e) > most:
+        raise ValueError(f"more than {most} vectors to pair")
     a, b = ([r for r in e if r.label == k] for k in (0, 1))
     unit = lambda rows: np.array([np.array(r.embedding) / (np.linalg.norm(r.embedding) or 1) for r in rows])
     sim = unit(a) @ unit(b).T
@@ -367,8 +369,7 @@ SQL = {
     "classify_pairs": f"WITH {_D}, {_E} SELECT source_id, target_id, CASE WHEN a.est = b.est AND sign(a.eff) <> sign(b.eff) THEN 'contradicts' WHEN a.rk > b.rk AND b.rk > 0 AND len(b.core) > 0 AND len(list_filter(b.core, lambda c: NOT list_contains(a.core, c))) = 0 THEN 'deepens' WHEN len(a.mods) > 0 AND len(b.mods) > 0 AND NOT list_has_any(a.mods, b.mods) THEN 'extends' ELSE 'narrows' END AS relation FROM e JOIN d a ON source_id = a.insight_id JOIN d b ON target_id = b.insight_id",
     "deepening_parents": f"WITH {_D}, p AS (SELECT a.insight_id AS child, b.insight_id AS parent, row_number() OVER (PARTITION BY a.insight_id ORDER BY b.rk DESC, len(b.core) DESC, b.insight_id) AS n FROM d a JOIN d b ON b.rk > 0 AND b.rk < a.rk AND len(b.core) > 0 AND len(b.core) < len(a.core) AND list_has_all(a.core, b.core)) SELECT * FROM p WHERE n <= 3",
     "jaccard_cols": f"WITH {_D}, {_E} SELECT source_id, target_id, round(CASE WHEN len(list_distinct(a.core || b.core)) = 0 THEN 0 ELSE len(list_intersect(a.core, b.core))::double / len(list_distinct(a.core || b.core)) END, 6) AS overlap FROM e JOIN d a ON source_id = a.insight_id JOIN d b ON target_id = b.insight_id",
-    "khop": f"""WITH {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e), s AS (SELECT insight_id AS n FROM insight ORDER BY 1 LIMIT 5),
-        h AS (SELECT n AS anchor, b AS node, 1 AS hop FROM s JOIN u ON n = a UNION ALL SELECT n, y.b, 2 FROM s JOIN u x ON n = x.a JOIN u y ON x.b = y.a) SELECT anchor, node, min(hop)::int AS hop FROM h WHERE node <> anchor GROUP BY 1, 2""",
+    "khop": f"""WITH {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e WHERE relation_type <> 'extends'), h AS (SELECT a AS anchor, b AS node, 1 AS hop FROM u UNION ALL SELECT x.a, y.b, 2 FROM u x JOIN u y ON x.b = y.a) SELECT anchor, node, min(hop)::int AS hop FROM h WHERE node <> anchor GROUP BY 1, 2""",
     "chain": f"WITH {_E}, f AS (SELECT source_id AS a, min(target_id) AS b FROM e WHERE relation_type = 'deepens' GROUP BY 1), c1 AS (SELECT a AS start, 1 AS depth, b AS node FROM f), c2 AS (SELECT start, 2 AS depth, b AS node FROM c1 JOIN f ON node = a WHERE b <> start), c3 AS (SELECT start, 3 AS depth, b AS node FROM c2 JOIN f ON node = a WHERE b <> start) SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3",
     "graph_frontiers": f"WITH {_D}, m AS (SELECT DISTINCT unnest(mods) AS m FROM d), p AS (SELECT a.m AS module_a, b.m AS module_b FROM m a JOIN m b ON a.m < b.m) SELECT module_a, module_b, count(insight_id) AS n FROM p LEFT JOIN d ON list_contains(mods, module_a) AND list_contains(mods, module_b) GROUP BY 1, 2",
     "struct_similar": f"WITH {_D}, q AS (SELECT insight_id AS query_id, core AS qc FROM d WHERE substr(insight_id, 5)::bigint % 20 = 0), x AS (SELECT query_id, insight_id, len(list_intersect(core, qc))::double / len(list_distinct(core || qc)) AS s FROM q JOIN d ON query_id <> insight_id WHERE len(core) > 0 AND len(qc) > 0) SELECT query_id, insight_id, round(s, 6) AS similarity FROM x WHERE s >= 0.5",
@@ -401,7 +402,7 @@ SQL = {
     "graph_stats": f"""WITH RECURSIVE {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT insight_id AS n, insight_id AS m FROM insight UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), c AS (SELECT k, count(*) AS n FROM (SELECT n, min(m) AS k FROM r GROUP BY 1) GROUP BY 1)
         SELECT (SELECT count(*) FROM c) AS clusters, (SELECT max(n) FROM c) AS largest_cluster, (SELECT count(DISTINCT insight_id) FROM insight) AS nodes, count(*) AS edges, {', '.join(f"count(*) FILTER (relation_type = '{t}') AS n_{t}" for t in G.RELATIONS)},
         (SELECT max(k) FROM (SELECT count(*) AS k FROM e GROUP BY target_id)) AS max_in_degree, round(2.0 * count(*) / (SELECT count(DISTINCT insight_id) FROM insight), 6)::double AS mean_degree FROM e""",
-    "tiered_context": f"""WITH {_E}, s AS (SELECT insight_id AS n FROM insight ORDER BY 1 DESC LIMIT 3), u AS (SELECT source_id AS a, target_id AS b, relation_type AS k FROM e UNION SELECT target_id, source_id, relation_type FROM e),
+    "tiered_context": f"""WITH {_E}, s AS (SELECT insight_id AS n FROM insight WHERE isfinite(overall_score) ORDER BY overall_score DESC, insight_id LIMIT 3), u AS (SELECT source_id AS a, target_id AS b, relation_type AS k FROM e UNION SELECT target_id, source_id, relation_type FROM e),
         h AS (SELECT b AS node, 0 AS tier, 1 AS hop FROM s JOIN u ON n = a AND k = 'deepens' UNION ALL SELECT y.b, 0, 2 FROM s JOIN u x ON n = x.a AND x.k = 'deepens' JOIN u y ON x.b = y.a AND y.k = 'deepens' UNION ALL SELECT b, CASE k WHEN 'narrows' THEN 1 WHEN 'extends' THEN 2 ELSE 3 END, 1 FROM s JOIN u ON n = a AND k <> 'deepens'),
         f AS (SELECT node, min((tier, hop)) AS x FROM h WHERE node NOT IN (SELECT n FROM s) GROUP BY 1) SELECT node, x[1] AS tier, x[2] AS hop, row_number() OVER (ORDER BY x, created_at, node) AS rank FROM f JOIN insight ON node = insight_id QUALIFY row_number() OVER (ORDER BY x, created_at, node) <= 10""",
     "seed_expand": f"""WITH {_E}, v AS (SELECT 'ins_' || (vec_id + 1000000000)::varchar AS node, embedding AS v FROM embeddings), s AS (SELECT vec_id AS query_id, node, round({_SIM.format('embedding', 'v')}, 6) AS sim, validity_score AS val FROM v JOIN insight ON node = insight_id, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0)),

@@ -149,6 +149,14 @@ def test_diverse_topk():
     assert retrieval.diverse_topk([("a", 1.0, v[0]), ("b", 1.0, v[1]), ("c", 0.5, v[2])], 2, 0.9) == ["b", "c"]
 
 
+def test_diverse_greedy_agrees(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"n{i:02d}", float(rng.integers(0, 5)), rng.normal(size=4)) for i in range(40)]
+    df = spark.createDataFrame([(n, s, v.tolist()) for n, s, v in rows] + [("z", None, [1.0, 0.0, 0.0, 0.0])], "node string, score double, v array<double>")
+    assert [n for n, _ in retrieval.diverse_greedy(df, 8, 0.5)] == retrieval.diverse_topk(rows, 8, 0.5)
+    assert retrieval.diverse_greedy(df.where("node = 'q'"), 3, 0.5) == []
+
+
 def test_kappa(spark):
     rows = [(i, r) for i, rs in enumerate(["xxx", "xxy", "yyy", "xyy"]) for r in rs]
     df = spark.createDataFrame(rows, "item int, r string")
