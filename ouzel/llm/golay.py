@@ -173,7 +173,7 @@ def _shingle_stage(shingle: int):
     return run
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 5, error_share: float = 0.22) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 6, error_share: float = 0.22) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near copies among ``docs(field string, id string, text string)``, within each field.
 
     Returns ``members(u, field, id, rep)``: one row per text of at least ``min_words`` words, ``rep``
