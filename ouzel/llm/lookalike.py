@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from .words import refuse_clash
+
 # Characters that a reader doesn't see.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\uffa0"
 # Blanks of any width.
@@ -61,6 +63,7 @@ def consistent_form(df: DataFrame, text: str, keep: list[str], name: str = "form
     Null gives null, empty gives empty, texts are taken whole, repeated rows stay. Columns not kept are
     left out, whatever their names.
     """
+    refuse_clash(keep, (name, "_text"))
     src = df.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` string"])
     cols = "".join(f'"{c}", ' for c in keep)

@@ -10,6 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from ..session import stage
+from .words import refuse_clash
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Hash buckets per source in the search for the cut of a fractional repetition.
@@ -54,6 +55,7 @@ def token_counts(df: DataFrame, text: str, keep: list[str], tokenizer: str = TOK
 
     The file must lie at that path on every executor. A null text has 0 tokens.
     """
+    refuse_clash(keep, ("tokens", "_text"))
     src = df.select(*keep, F.col(text).alias("_text"))
     schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep), "tokens long"])
 

@@ -24,7 +24,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..session import stage
-from .words import pieces
+from .words import pieces, refuse_clash
 
 #: Pages that UTF-8 bytes were shown in.
 PAGES = ("cp1252", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "iso8859_15")
@@ -392,6 +392,7 @@ def garbled(df: DataFrame, text: str, keep: list[str], least_gain: float = GAIN)
     Foreign letters, signs and emoji that fit the bigrams of clean texts aren't affected. Null, empty and
     plain ASCII texts never are. Repeated rows each give a row; empty tables give none.
     """
+    refuse_clash(keep, ("text", "restored", "gain", "source", "lost", "kind", "_t"))
     src = df.select(*keep, F.col(text).alias("_t"))
     logp = log_probabilities(bigrams(src, "_t"))
     found = stage(suspects(src, "_t", keep, logp), "suspects")

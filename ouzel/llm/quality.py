@@ -15,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..session import stage
-from .words import pieces
+from .words import pieces, refuse_clash
 
 # Common words of each language.
 COMMON = {
@@ -217,6 +217,7 @@ def statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     null. Null and blank texts give no rows, whole texts are read, repeated rows stay. Signs and letters
     beyond ASCII count as letters, so that prose read with a wrong encoding stays prose.
     """
+    refuse_clash(keep, (*STATS, *(f"part_{s}" for s in STATS), "words", "lines", "lang", "distance2", "_t"))
     src = df.select(*keep, F.regexp_replace(F.col(text).cast("string"), "\r\n?", "\n").alias("_t")).where(F.col("_t").rlike(r"\S"))
     surprise, usual = surprises(letter_counts(df, text))
     cols = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep]

@@ -13,6 +13,12 @@ WORD = re.compile(r"[^\W_]+")
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
 
+def refuse_clash(keep: list[str], reserved: tuple[str, ...]) -> None:
+    """Raise ``ValueError`` if a column to keep has the name of one that the operator adds."""
+    if clash := {k.lower() for k in keep} & {r.lower() for r in reserved}:
+        raise ValueError(f"rename the columns {sorted(clash)}")
+
+
 def pieces(batches: Iterator[pd.DataFrame], column: str, most: int = 1 << 21) -> Iterator[pd.DataFrame]:
     """Batches cut so that no piece has more than ``most`` characters in ``column``, but for single longer texts.
 

@@ -167,3 +167,12 @@ def test_leaks_in_a_long_text(monkeypatch):
         monkeypatch.setattr(leak, "LANE", lane)
         text, item = p.search(*word_hashes([" ".join(words), "short", " ".join(words[:12])]))
         assert {(0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (2, 0)} == set(zip(text.tolist(), item.tolist()))
+
+
+def test_clashing_names_are_refused(spark):
+    from ouzel.llm import mojibake
+
+    df = spark.createDataFrame([(1, "a")], "tokens long, text string").withColumns({"lang": F.lit("x"), "source": F.lit("y"), "form": F.lit("z")})
+    for call in (lambda: mixing.token_counts(df, "text", ["tokens"]), lambda: quality.statistics(df, "text", ["lang"]), lambda: mojibake.garbled(df, "text", ["source"]), lambda: lookalike.consistent_form(df, "text", ["form"])):
+        with pytest.raises(ValueError):
+            call()
