@@ -8,7 +8,8 @@ than 3s bits over s segments, the pigeonhole principle gives a segment with at m
 a shared codeword index there. Each index is joined with a minimum hash over the text's shingles (one
 per segment) so that the key has more than 12 bits and buckets stay small when the collection grows.
 
-Texts that share a key are compared by their whole fingerprints inside the join, then exactly.
+Texts that share a key are compared inside the join by an upper bound of their similarity, which no true
+pair can fall below, then exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..session import is_small, stage
 from .words import mix, pieces, shingle_hashes, word_hashes
@@ -27,6 +28,8 @@ from .words import mix, pieces, shingle_hashes, word_hashes
 #: The generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the code.
 GENERATOR = 0b101011100011
 BITS = 23
+#: Bits of a print, and the greatest number of shingles that it holds.
+PLACES, MOST = 116, 4095
 
 
 def _remainder(x: int) -> int:
@@ -90,10 +93,39 @@ def _minima(values: np.ndarray, starts: np.ndarray, count: int, seed: int) -> It
         yield np.minimum.reduceat(h, starts)
 
 
+def _prints(grams: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low 64 bits of each text's print, and the others with the number of different shingles below them."""
+    h = grams >> np.uint64(32)  # what shingles are compared by
+    row = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    each = np.bincount((np.unique(row << np.uint64(32) | h) >> np.uint64(32)).astype(np.int64), minlength=len(counts))
+    place = (mix(h) >> np.uint64(40)) % np.uint64(PLACES)
+    low = np.where(place < 64, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
+    high = np.where(place < 64, np.uint64(0), np.uint64(1) << (place - np.uint64(64) + np.uint64(12) & np.uint64(63)))
+    halves = [np.bitwise_or.reduceat(x, starts) for x in (low, high)]
+    return halves[0].view(np.int64), (halves[1] | np.minimum(each, MOST).astype(np.uint64)).view(np.int64)
+
+
+def may_reach(threshold: float) -> Column:
+    """Whether texts with the prints ``f_a, g_a`` and ``f_b, g_b`` may have a similarity of ``threshold``.
+
+    A bit that only one print has stands for at least one shingle that only this text has. So many at least are
+    missing from what both have in common, and a pair that is ruled out lies below the threshold for certain.
+    """
+    most = F.lit(MOST).cast("long")
+    n_a, n_b = (F.col(c).bitwiseAND(most) for c in ("g_a", "g_b"))
+
+    def own(x: str, y: str) -> Column:
+        high = F.col(f"g_{x}").bitwiseAND(F.bitwise_not(F.col(f"g_{y}"))).bitwiseAND(F.lit(~MOST).cast("long"))
+        return F.bit_count(F.col(f"f_{x}").bitwiseAND(F.bitwise_not(F.col(f"f_{y}")))) + F.bit_count(high)
+
+    common = F.least(n_a - own("a", "b"), n_b - own("b", "a"))
+    return (n_a == MOST) | (n_b == MOST) | ((1 + threshold) * common >= threshold * (n_a + n_b) - 1e-6)
+
+
 def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts with at least ``min_words`` words: their places, shingle counts, segments, anchors and prints.
+    """Of texts with at least ``min_words`` words: their places, segments, anchors and two halves of a print.
 
-    The print has the low bits of 64 minimum hashes over the shingles.
+    The print is the set of the text's shingles hashed to ``PLACES`` bits, and their number (``MOST`` stands for more).
     """
     flat, sizes = word_hashes(texts)
     keep = sizes >= max(min_words, shingle)
@@ -101,7 +133,7 @@ def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int)
     sizes, places = sizes[keep], np.nonzero(keep)[0]
     if not len(places):
         none = np.zeros((0, segments), np.int64)
-        return places, sizes, none, none, none[:, 0]
+        return places, none, none, none[:, 0], none[:, 0]
     grams, counts = shingle_hashes(flat, sizes, shingle)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     gram_starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -109,10 +141,7 @@ def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int)
     for i, least in enumerate(_minima(mix(flat), starts, segments * BITS, 11)):
         seg[:, i // BITS] |= ((least >> np.uint32(9)) & np.uint32(1)).astype(np.int64) << (i % BITS)
     anchors = np.stack(list(_minima(grams, gram_starts, segments, 29)), 1).astype(np.int64)
-    prints = np.zeros(len(places), np.int64)
-    for i, least in enumerate(_minima(grams, gram_starts, 64, 53)):
-        prints |= ((least >> np.uint32(9)) & np.uint32(1)).astype(np.int64) << i
-    return places, counts, seg, anchors, prints
+    return places, seg, anchors, *_prints(grams, counts, gram_starts)
 
 
 def keys_of(seg: np.ndarray, anchors: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +159,15 @@ def _fingerprint_stage(segments: int, shingle: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pieces(batches, "text"):
             texts = b["text"].tolist()
-            places, counts, seg, anchors, prints = fingerprints(texts, segments, shingle, min_words)
+            places, seg, anchors, low, high = fingerprints(texts, segments, shingle, min_words)
             yield pd.DataFrame({
                 "field": b["field"].to_numpy()[places],
                 "id": b["id"].to_numpy()[places],
                 "digest": b["digest"].to_numpy()[places],
-                "shingles": counts.astype(np.int32),
                 "seg": list(seg.astype(np.int32)),
                 "anchor": list(anchors),
-                "print": prints,
+                "f": low,
+                "g": high,
             })
 
     return run
@@ -155,11 +184,7 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = {f: xxhash.xxh64_intdigest(f) for f in b["field"].unique()}
         group = b["field"].map(names).to_numpy(np.uint64)
         rows, keys = keys_of(seg, anchors, group)
-        print_ = np.zeros(len(b), np.int64)  # the first 64 bits
-        for k in range(min(3, seg.shape[1])):
-            print_ |= seg[:, k] << (BITS * k)
-        u = b["u"].to_numpy()
-        yield pd.DataFrame({"u": u[rows], "f": print_[rows], "key": keys})
+        yield pd.DataFrame({c: b[c].to_numpy()[rows] for c in ("u", "f", "g")} | {"key": keys})
 
 
 def _shingle_stage(shingle: int):
@@ -173,7 +198,7 @@ def _shingle_stage(shingle: int):
     return run
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 6, error_share: float = 0.22) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near copies among ``docs(field string, id string, text string)``, within each field.
 
     Returns ``members(u, field, id, rep)``: one row per text of at least ``min_words`` words, ``rep``
@@ -181,33 +206,23 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     texts whose sets of ``shingle`` consecutive words have a Jaccard similarity of at least
     ``threshold``; and ``copies(rep, n)``: texts that occur ``n`` > 1 times. Null texts, texts with
     fewer words and empty tables give no rows. Word order and case follow the text; a text of any
-    length is read whole. ``segments`` (at most 6) fixes recall, ``error_share`` the largest share of
-    differing bits, of the fingerprint's first 64, at which a shared key is followed up (0.22 lies more than
-    three standard deviations beyond pairs at a similarity of two thirds).
+    length is read whole. ``segments`` (at most 6) fixes recall: each pair that shares a key is compared exactly,
+    unless its prints prove that it lies below the threshold.
     """
     if not 1 <= segments <= 6:
         raise ValueError("segments must be 1..6")
     present = docs.where(F.col("text").isNotNull()).select("field", F.col("id").cast("string").alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
     prints = stage(
-        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, shingles int, seg array<int>, anchor array<long>, print long")
+        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, seg array<int>, anchor array<long>, f long, g long")
         .withColumn("u", F.monotonically_increasing_id()),
         "fingerprints",
     )
     copies = stage(prints.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     members = prints.select("u", "field", "id", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").select("u", "field", "id", F.coalesce("rep", "u").alias("rep"))
     reps = prints.join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").where("rep is null or rep = u")
-    keys = reps.select("u", "field", "seg", "anchor").mapInPandas(_expand, "u long, f long, key long")
+    keys = reps.select("u", "field", "seg", "anchor", "f", "g").mapInPandas(_expand, "u long, f long, g long, key long")
     a, b = (keys.select(*(F.col(c).alias(f"{c}_{side}") for c in keys.columns)) for side in "ab")
-    differ = F.bit_count(F.col("f_a").bitwiseXOR(F.col("f_b")))
-    most = int(error_share * min(64, segments * BITS))
-    found = stage(a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("u_a") < F.col("u_b")) & (differ <= most)).select("u_a", "u_b").distinct(), "candidates")
-    # What shares a key by chance is dropped by the whole fingerprints before texts are read again.
-    by_uid = prints.select("u", "seg", "print")
-    pa, pb = (by_uid.select(*(F.col(c).alias(f"{c}_{side}") for c in by_uid.columns)) for side in "ab")
-    unequal = sum((F.bit_count(F.col("seg_a")[i].bitwiseXOR(F.col("seg_b")[i])) for i in range(1, segments)), F.bit_count(F.col("seg_a")[0].bitwiseXOR(F.col("seg_b")[0])))
-    p = (1 - threshold) / 2  # chance that a bit of the print differs at the threshold
-    likely = (unequal <= int(error_share * segments * BITS)) & (F.bit_count(F.col("print_a").bitwiseXOR(F.col("print_b"))) <= int(64 * p + 2.5 * (64 * p * (1 - p)) ** 0.5))
-    found = stage(found.join(pa, "u_a").join(pb, "u_b").where(likely).select("u_a", "u_b"), "likely")
+    found = stage(a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("u_a") < F.col("u_b")) & may_reach(threshold)).select("u_a", "u_b").distinct(), "candidates")
     involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")
     texts = present.join(F.broadcast(involved) if is_small(involved) else involved, ["field", "id", "digest"]).select("u", "text")
     sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<int>").dropDuplicates(["u"]), "shingles")

@@ -90,3 +90,28 @@ def test_repeated_rows_and_empty(spark):
     none = spark.createDataFrame([], "field string, id string, text string")
     assert G.near_copy_rows(none, threshold=0.6, shingle=3).count() == 0
     assert G.near_copy_groups(none).count() == 0
+
+
+def _reposts(rng, n):
+    """Texts, and the same with a block of other words after them or with their halves swapped."""
+    out = []
+    for i in range(n):
+        own, other = ([f"{side}{i}x{k}" for k in range(rng.randint(40, 90))] for side in "pq")
+        more = other[: int(len(own) * rng.uniform(0.2, 0.6))]
+        out += [" ".join(own), " ".join(own + more) if i % 2 else " ".join(own[len(own) // 2 :] + own[: len(own) // 2] + more[: len(more) // 2])]
+    return out
+
+
+def test_all_that_share_a_key_are_compared_exactly(spark):
+    docs = _reposts(random.Random(8), 1000)
+    df = spark.createDataFrame([("f", f"{i:04d}", t) for i, t in enumerate(docs)], "field string, id string, text string")
+    got = {(r.id_a, r.id_b) for r in G.near_copy_rows(df, threshold=0.6, shingle=3).collect()}
+    _, seg, anchors, *_ = G.fingerprints(docs, 6, 3, 20)
+    rows, keys = G.keys_of(seg, anchors, np.zeros(len(docs), np.uint64))
+    of = [set() for _ in docs]
+    for r, k in zip(rows, keys):
+        of[r].add(int(k))
+    true = [i for i in range(0, len(docs), 2) if _jaccard(docs[i], docs[i + 1], 3) >= 0.6]
+    sharing = {(f"{i:04d}", f"{i + 1:04d}") for i in true if of[i] & of[i + 1]}
+    assert len(sharing) > 500 and sharing - got == set()
+    assert got <= {(f"{i:04d}", f"{i + 1:04d}") for i in true}
