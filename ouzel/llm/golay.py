@@ -8,6 +8,10 @@ than 3s bits over s segments, the pigeonhole principle gives a segment with at m
 a shared codeword index there. Each index is joined with a minimum hash over the text's shingles (one
 per segment) so that the key has more than 12 bits and buckets stay small when the collection grows.
 
+Words in common don't bound shingles in common, so these keys alone promise nothing for a text with a block
+added or moved. Each text therefore has bands of minimum hashes over its shingles too, as many as miss a pair
+at the threshold in at most ``MISS`` of cases, whatever its words are; closer pairs are missed much less.
+
 Texts that share a key are compared inside the join by an upper bound of their similarity, which no true
 pair can fall below, then exactly.
 """
@@ -15,6 +19,7 @@ pair can fall below, then exactly.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +35,11 @@ GENERATOR = 0b101011100011
 BITS = 23
 #: Bits of a print, and the greatest number of shingles that it holds.
 PLACES, MOST = 116, 4095
+#: 64-bit words of the wide print, which candidates are compared by.
+WIDE = 4
+#: The greatest chance that bands miss a pair at the threshold.
+MISS = 0.001
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _remainder(x: int) -> int:
@@ -93,6 +103,26 @@ def _minima(values: np.ndarray, starts: np.ndarray, count: int, seed: int) -> It
         yield np.minimum.reduceat(h, starts)
 
 
+def bands_for(threshold: float) -> tuple[int, int]:
+    """The number of bands and of minimum hashes in each."""
+    width = 3 if threshold >= 0.5 else 2 if threshold >= 0.3 else 1
+    return (1 if threshold >= 1 else math.ceil(math.log(MISS) / math.log1p(-(threshold**width)))), width
+
+
+def _wide(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    place = mix((grams >> np.uint64(32)) ^ _SALT) % np.uint64(64 * WIDE)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    return np.stack([np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(WIDE)], 1).view(np.int64)
+
+
+def _bands(grams: np.ndarray, starts: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """A 32-bit hash of each band's minimum hashes."""
+    out = np.zeros((len(starts), bands), np.uint64)
+    for i, least in enumerate(_minima(grams, starts, bands * width, 71)):
+        out[:, i // width] = mix(out[:, i // width] * np.uint64(3) + least + np.uint64(1))
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _prints(grams: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The low 64 bits of each text's print, and the others with the number of different shingles below them."""
     h = grams >> np.uint64(32)  # what shingles are compared by
@@ -111,19 +141,30 @@ def may_reach(threshold: float) -> Column:
     A bit that only one print has stands for at least one shingle that only this text has. So many at least are
     missing from what both have in common, and a pair that is ruled out lies below the threshold for certain.
     """
-    most = F.lit(MOST).cast("long")
-    n_a, n_b = (F.col(c).bitwiseAND(most) for c in ("g_a", "g_b"))
+    return _reaches(threshold, _own([("f", None), ("g", ~MOST)], "a", "b"), _own([("f", None), ("g", ~MOST)], "b", "a"))
 
-    def own(x: str, y: str) -> Column:
-        high = F.col(f"g_{x}").bitwiseAND(F.bitwise_not(F.col(f"g_{y}"))).bitwiseAND(F.lit(~MOST).cast("long"))
-        return F.bit_count(F.col(f"f_{x}").bitwiseAND(F.bitwise_not(F.col(f"f_{y}")))) + F.bit_count(high)
 
-    common = F.least(n_a - own("a", "b"), n_b - own("b", "a"))
+def may_reach_wide(threshold: float) -> Column:
+    """The same by the wide prints ``wide_a`` and ``wide_b``."""
+    own = [sum((F.bit_count(F.col(f"wide_{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"wide_{y}")[k]))) for k in range(WIDE)), F.lit(0)) for x, y in ("ab", "ba")]
+    return _reaches(threshold, *own)
+
+
+def _own(halves: list[tuple[str, int | None]], x: str, y: str) -> Column:
+    """The bits that only text ``x`` has."""
+    bits = [(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{y}"))), mask) for c, mask in halves]
+    return sum((F.bit_count(b if mask is None else b.bitwiseAND(F.lit(mask).cast("long"))) for b, mask in bits), F.lit(0))
+
+
+def _reaches(threshold: float, own_a: Column, own_b: Column) -> Column:
+    most = F.lit(MOST).cast("long")
+    n_a, n_b = (F.col(c).bitwiseAND(most) for c in ("g_a", "g_b"))
+    common = F.least(n_a - own_a, n_b - own_b)
     return (n_a == MOST) | (n_b == MOST) | ((1 + threshold) * common >= threshold * (n_a + n_b) - 1e-6)
 
 
-def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts with at least ``min_words`` words: their places, segments, anchors and two halves of a print.
+def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int, bands: int = 0, width: int = 3) -> tuple[np.ndarray, ...]:
+    """Of texts with at least ``min_words`` words: their places, segments, anchors, two halves of a print, wide prints, bands.
 
     The print is the set of the text's shingles hashed to ``PLACES`` bits, and their number (``MOST`` stands for more).
     """
@@ -133,7 +174,7 @@ def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int)
     sizes, places = sizes[keep], np.nonzero(keep)[0]
     if not len(places):
         none = np.zeros((0, segments), np.int64)
-        return places, none, none, none[:, 0], none[:, 0]
+        return places, none, none, none[:, 0], none[:, 0], none, none
     grams, counts = shingle_hashes(flat, sizes, shingle)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     gram_starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -141,7 +182,7 @@ def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int)
     for i, least in enumerate(_minima(mix(flat), starts, segments * BITS, 11)):
         seg[:, i // BITS] |= ((least >> np.uint32(9)) & np.uint32(1)).astype(np.int64) << (i % BITS)
     anchors = np.stack(list(_minima(grams, gram_starts, segments, 29)), 1).astype(np.int64)
-    return places, seg, anchors, *_prints(grams, counts, gram_starts)
+    return places, seg, anchors, *_prints(grams, counts, gram_starts), _wide(grams, gram_starts), _bands(grams, gram_starts, bands, width)
 
 
 def keys_of(seg: np.ndarray, anchors: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,11 +196,18 @@ def keys_of(seg: np.ndarray, anchors: np.ndarray, group: np.ndarray) -> tuple[np
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _fingerprint_stage(segments: int, shingle: int, min_words: int):
+def band_keys(bands: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and 64-bit keys: (band's number, its hash, group) mixed."""
+    n, m = bands.shape
+    raw = bands.view(np.uint32).astype(np.uint64) | (np.arange(m, dtype=np.uint64) + np.uint64(1) << np.uint64(48))
+    return np.repeat(np.arange(n), m), mix(raw ^ group[:, None]).ravel().view(np.int64)
+
+
+def _fingerprint_stage(segments: int, shingle: int, min_words: int, bands: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pieces(batches, "text"):
             texts = b["text"].tolist()
-            places, seg, anchors, low, high = fingerprints(texts, segments, shingle, min_words)
+            places, seg, anchors, low, high, wide, band = fingerprints(texts, segments, shingle, min_words, bands, width)
             yield pd.DataFrame({
                 "field": b["field"].to_numpy()[places],
                 "id": b["id"].to_numpy()[places],
@@ -168,6 +216,8 @@ def _fingerprint_stage(segments: int, shingle: int, min_words: int):
                 "anchor": list(anchors),
                 "f": low,
                 "g": high,
+                "wide": list(wide),
+                "band": list(band),
             })
 
     return run
@@ -183,7 +233,8 @@ def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchors = np.stack(b["anchor"].to_numpy()).astype(np.int64)
         names = {f: xxhash.xxh64_intdigest(f) for f in b["field"].unique()}
         group = b["field"].map(names).to_numpy(np.uint64)
-        rows, keys = keys_of(seg, anchors, group)
+        more = band_keys(np.stack(b["band"].to_numpy()).astype(np.int32), group)
+        rows, keys = (np.concatenate(x) for x in zip(keys_of(seg, anchors, group), more))
         yield pd.DataFrame({c: b[c].to_numpy()[rows] for c in ("u", "f", "g")} | {"key": keys})
 
 
@@ -206,23 +257,27 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     texts whose sets of ``shingle`` consecutive words have a Jaccard similarity of at least
     ``threshold``; and ``copies(rep, n)``: texts that occur ``n`` > 1 times. Null texts, texts with
     fewer words and empty tables give no rows. Word order and case follow the text; a text of any
-    length is read whole. ``segments`` (at most 6) fixes recall: each pair that shares a key is compared exactly,
-    unless its prints prove that it lies below the threshold.
+    length is read whole. Each pair that shares a key is compared exactly, unless its prints prove that it lies
+    below the threshold. Bands alone find a pair with a chance of at least 1 - ``MISS``; ``segments`` (at most 6) add to it.
     """
     if not 1 <= segments <= 6:
         raise ValueError("segments must be 1..6")
     present = docs.where(F.col("text").isNotNull()).select("field", F.col("id").cast("string").alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
     prints = stage(
-        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, seg array<int>, anchor array<long>, f long, g long")
+        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words, *bands_for(threshold)), "field string, id string, digest binary, seg array<int>, anchor array<long>, f long, g long, wide array<long>, band array<int>")
         .withColumn("u", F.monotonically_increasing_id()),
         "fingerprints",
     )
     copies = stage(prints.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     members = prints.select("u", "field", "id", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").select("u", "field", "id", F.coalesce("rep", "u").alias("rep"))
     reps = prints.join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").where("rep is null or rep = u")
-    keys = reps.select("u", "field", "seg", "anchor", "f", "g").mapInPandas(_expand, "u long, f long, g long, key long")
+    keys = reps.select("u", "field", "seg", "anchor", "band", "f", "g").mapInPandas(_expand, "u long, f long, g long, key long")
     a, b = (keys.select(*(F.col(c).alias(f"{c}_{side}") for c in keys.columns)) for side in "ab")
     found = stage(a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("u_a") < F.col("u_b")) & may_reach(threshold)).select("u_a", "u_b").distinct(), "candidates")
+    # Wide prints drop most long texts that a print can't tell apart, before texts are read again.
+    wide = prints.select("u", "g", "wide")
+    wa, wb = (wide.select(*(F.col(c).alias(f"{c}_{side}") for c in wide.columns)) for side in "ab")
+    found = stage(found.join(wa, "u_a").join(wb, "u_b").where(may_reach_wide(threshold)).select("u_a", "u_b"), "likely")
     involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")
     texts = present.join(F.broadcast(involved) if is_small(involved) else involved, ["field", "id", "digest"]).select("u", "text")
     sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<int>").dropDuplicates(["u"]), "shingles")

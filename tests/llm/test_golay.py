@@ -115,3 +115,18 @@ def test_all_that_share_a_key_are_compared_exactly(spark):
     sharing = {(f"{i:04d}", f"{i + 1:04d}") for i in true if of[i] & of[i + 1]}
     assert len(sharing) > 500 and sharing - got == set()
     assert got <= {(f"{i:04d}", f"{i + 1:04d}") for i in true}
+
+
+def test_added_and_moved_blocks_are_found(spark):
+    docs = _reposts(random.Random(21), 3000)
+    df = spark.createDataFrame([("f", f"{i:04d}", t) for i, t in enumerate(docs)], "field string, id string, text string")
+    got = {(r.id_a, r.id_b) for r in G.near_copy_rows(df, threshold=0.6, shingle=3).collect()}
+    true = {(f"{i:04d}", f"{i + 1:04d}") for i in range(0, len(docs), 2) if _jaccard(docs[i], docs[i + 1], 3) >= 0.6}
+    assert len(true) > 1500 and got <= true
+    assert len(true - got) <= G.MISS * len(true)
+
+
+def test_bands_bound_the_chance_of_a_miss():
+    for t in (0.05, 0.2, 0.3, 0.45, 0.6, 0.8, 0.99, 1.0):
+        n, width = G.bands_for(t)
+        assert (1 - t**width) ** n <= G.MISS * 1.001
