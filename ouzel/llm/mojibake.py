@@ -37,6 +37,10 @@ GAIN = 1.0
 GAIN_EACH = 1.2
 #: Mean log-likelihood of a letter (nats) below which a Cyrillic or accented text is looked at as a cipher.
 ODD = -3.6
+#: How far (nats) the letters of the oddest stretch of a text lie below ``ODD`` in all for it to be looked at.
+STRETCH = 8.0
+#: What a change between parts read as they are and parts deciphered costs (nats).
+TURN = 4.0
 _LOST = re.compile("[�\x80-\x9f]")
 _PRIVATE = 0xF0000
 
@@ -162,16 +166,9 @@ def sources() -> list[Source]:
 
 
 @cache
-def _suspect_tables() -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each page, the characters that open units and those that go on."""
-    out = []
-    for p in PAGES:
-        first, rest = np.zeros(0x10000, bool), np.zeros(0x10000, bool)
-        for u in (*_units(p), *_units(p, 2)):
-            first[min(ord(u[0]), 0xFFFF)] = True
-            rest[[min(ord(c), 0xFFFF) for c in u[1:]]] = True
-        out.append((first, rest))
-    return out
+def _openings() -> np.ndarray:
+    """The first two characters of all units of all pages, as sorted numbers."""
+    return np.unique([min(ord(u[0]), 0xFFFF) << 16 | min(ord(u[1]), 0xFFFF) for p in PAGES for u in (*_units(p), *_units(p, 2))])
 
 
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,12 +177,12 @@ def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _maybe_units(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Texts in which two characters follow each other as in a unit of some page."""
+    """Texts in which two characters follow each other as at the start of a unit of some page."""
     high = codes > 127
     at = np.nonzero(high[:-1] & high[1:])[0]
-    hit = np.zeros(len(at), bool)
-    for first, rest in _suspect_tables():
-        hit |= first[codes[at]] & rest[codes[at + 1]]
+    pair = codes[at].astype(np.int64) << 16 | codes[at + 1]
+    place = np.minimum(np.searchsorted(_openings(), pair), len(_openings()) - 1)
+    hit = _openings()[place] == pair
     out = np.zeros(len(ends), bool)
     out[np.searchsorted(ends, at[hit], "right")] = True
     return out
@@ -226,11 +223,44 @@ def _scripts() -> tuple[np.ndarray, np.ndarray]:
     return cyr, western
 
 
+def _odd_scores(s: np.ndarray, ll: np.ndarray, script: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """For each symbol, how much less likely than ``ODD`` it is as a letter of the script after another."""
+    mine = script[s] & np.append(False, script[s[:-1]])
+    return np.where(mine, np.clip(ODD - ll, -4, 3), np.where(plain[s], -0.2, 0.0))
+
+
+def _oddest(score: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The greatest sum of a stretch within each text."""
+    starts = np.append(0, ends[:-1])
+    upto = np.cumsum(score)
+    before = upto - score
+    # each text lies wholly below the one before, so that running minima start anew
+    low = np.repeat(np.arange(len(ends)) * (2 * np.abs(score).sum() + 1), ends - starts)
+    least = np.minimum.accumulate(before - low) + low
+    return np.maximum.reduceat(upto - least, starts)
+
+
+def odd_part(text: str, logp: np.ndarray, script: np.ndarray, plain: np.ndarray) -> str:
+    """The words of the oddest stretch of a text."""
+    s = indices(" " + text + " ")
+    score = _odd_scores(s, np.append(0, logp[s[:-1], s[1:]]), script, plain)
+    upto = np.append(0, np.cumsum(score))
+    least = np.minimum.accumulate(upto)
+    end = int(np.argmax(upto - least))
+    start = int(np.argmin(upto[: end + 1]))
+    padded = " " + text + " "
+    return padded[padded.rfind(" ", 0, start + 1) + 1 : (padded + " ").find(" ", max(end - 1, 0))]
+
+
+def _plain() -> np.ndarray:
+    return np.array([c.isalpha() and c.isascii() for c in SYMBOLS])
+
+
 def suspects(df: DataFrame, text: str, keep: list[str], logp: np.ndarray) -> DataFrame:
-    """The ``keep`` columns, ``text`` and ``kind`` (bits: 1 units, 2 lost, 4 and 8 odd letters of a script)."""
+    """The ``keep`` columns, ``text`` and ``kind`` (bits: 1 units, 2 lost, 4 and 8 odd letters of a script, 16 and 32 in a part)."""
     src = df.select(*keep, F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]"))
     cyr, western = _scripts()
-    plain = np.array([c.isalpha() and c.isascii() for c in SYMBOLS])
+    plain = _plain()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pieces(batches, "text"):
@@ -247,7 +277,9 @@ def suspects(df: DataFrame, text: str, keep: list[str], logp: np.ndarray) -> Dat
                 count = np.add.reduceat(mine, starts, dtype=np.int64)
                 mean = np.add.reduceat(np.where(mine, ll, 0), starts) / np.maximum(count, 1)
                 alpha = np.add.reduceat(script[s] | plain[s], starts, dtype=np.int64)
-                kind |= bit * ((count >= 4) & (mean < ODD) & (count >= least * alpha * 0.5))
+                whole = (count >= 4) & (mean < ODD) & (count >= least * alpha * 0.5)
+                part = _oddest(_odd_scores(s, ll, script, plain), ends) >= STRETCH
+                kind |= np.where(whole, bit, np.where(part, bit * 4, 0))
             yield b[kind > 0].assign(kind=kind[kind > 0])
 
     cols = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
@@ -255,11 +287,16 @@ def suspects(df: DataFrame, text: str, keep: list[str], logp: np.ndarray) -> Dat
 
 
 def _for_kind(all_: list[Source], kind: int) -> list[Source]:
-    return [s for s in all_ if (not s.single and kind & 1) or (s.name == "single cyrillic" and kind & 4) or (s.name == "single western" and kind & 8)]
+    return [s for s in all_ if (not s.single and kind & 1) or (s.name == "single cyrillic" and kind & 20) or (s.name == "single western" and kind & 40)]
 
 
-def neighbours(found: DataFrame) -> pd.DataFrame:
-    """Counts of what stands before and after each unit of each source, over all suspects."""
+def neighbours(found: DataFrame, logp: np.ndarray) -> pd.DataFrame:
+    """Counts of what stands before and after each unit of each source, over all suspects.
+
+    A cipher of single characters uses letters of clean texts, so of a text that isn't odd as a whole only the oddest part tells of it.
+    """
+    scripts = dict(zip(("single cyrillic", "single western"), _scripts()))
+    plain = _plain()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_ = sources()
@@ -269,8 +306,11 @@ def neighbours(found: DataFrame) -> pd.DataFrame:
         for b in batches:
             for t, kind in zip(b["text"], b["kind"]):
                 for s in _for_kind(all_, kind):
-                    f = " " + s.folded(t) + " "
-                    if f.strip() == t.strip():
+                    part = t
+                    if s.single and not kind & (4 if s.name == "single cyrillic" else 8):
+                        part = odd_part(t, logp, scripts[s.name], plain)
+                    f = " " + s.folded(part) + " "
+                    if f.strip() == part.strip():
                         continue
                     acc.update({(s.name, -1, int(k)): int(n) for k, n in zip(*np.unique(indices(f), return_counts=True))})
                     for m in re.finditer(f"[{chr(_PRIVATE)}-{chr(_PRIVATE + 0xFFFD)}]", f):
@@ -364,6 +404,35 @@ def likelihood(text: str, logp: np.ndarray) -> float:
     return float(logp[s[:-1], s[1:]].sum())
 
 
+def by_parts(text: str, other: str, logp: np.ndarray) -> tuple[str, float]:
+    """The likeliest mixture of two readings of the same length, word by word, and its gain over ``text``.
+
+    Each changed letter has to gain ``GAIN_EACH`` on average, and each deciphered part ``TURN`` besides, but for
+    one that is the whole text.
+    """
+    a, b = indices(" " + text + " "), indices(" " + other + " ")
+    gain = logp[b[:-1], b[1:]] - logp[a[:-1], a[1:]]
+    changed = np.append(np.array([x != y for x, y in zip(text, other)], bool), False)
+    net = gain - GAIN_EACH * changed
+    first = np.append(0, np.nonzero(a[1:-1] == 0)[0] + 1)  # a word goes from after a blank through the next one
+    first = first[first <= len(text)]
+    reward, gains = np.add.reduceat(net, first), np.add.reduceat(gain, first)
+    clean, odd, back = 0.0, -TURN, []
+    for r in reward:
+        back.append((odd > clean, odd >= clean - TURN))
+        clean, odd = max(clean, odd), max(odd, clean - TURN) + r
+    take, state = np.zeros(len(first), bool), bool(odd > clean)
+    for i in range(len(first) - 1, -1, -1):
+        take[i] = state
+        state = back[i][1] if state else back[i][0]
+    if reward.sum() > 0 and reward.sum() >= reward[take].sum() - TURN:
+        take[:] = True
+    if not take.any():
+        return text, 0.0
+    use = np.repeat(take, np.diff(np.append(first, len(text) + 1)))[: len(text)]
+    return "".join(y if u else x for x, y, u in zip(text, other, use)), float(gains[take].sum())
+
+
 def restore(text: str, learnt: list[tuple[Source, dict[int, str]]], kind: int, logp: np.ndarray) -> tuple[str, float, str]:
     """The likeliest reading, its gain in log-likelihood and the sources that gave it (at most 3)."""
     gain, names = 0.0, []
@@ -373,8 +442,11 @@ def restore(text: str, learnt: list[tuple[Source, dict[int, str]]], kind: int, l
         best = None
         for s, table in learnt:
             if s in mine and (t := s.decode(text, table)) != text:
-                x = likelihood(t, logp)
-                least = GAIN_EACH * sum(a != b for a, b in zip(t, text)) if s.single else 1.0
+                if s.single and len(t) == len(text):
+                    t, more = by_parts(text, t, logp)
+                    x, least = now + more, 0.0
+                else:
+                    x, least = likelihood(t, logp), 1.0
                 if x > now + least and (best is None or x > best[0]):
                     best = x, t, s.name
         if best is None:
@@ -396,7 +468,7 @@ def garbled(df: DataFrame, text: str, keep: list[str], least_gain: float = GAIN)
     src = df.select(*keep, F.col(text).alias("_t"))
     logp = log_probabilities(bigrams(src, "_t"))
     found = stage(suspects(src, "_t", keep, logp), "suspects")
-    counts = neighbours(found)
+    counts = neighbours(found, logp)
     learnt = []
     for s in sources():
         learn(s, counts[counts["source"] == s.name], logp)

@@ -72,3 +72,23 @@ def test_units_are_alike_in_all_processes():
     code = "from ouzel.llm import mojibake as M; import hashlib; print(hashlib.md5('|'.join(u for s in M.sources() for u in s.units).encode('utf-8', 'surrogatepass')).hexdigest())"
     out = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={"PYTHONHASHSEED": str(k), "PYTHONPATH": ":".join(sys.path)}).stdout for k in (1, 2)}
     assert len(out) == 1 and out != {""}
+
+
+def test_part_of_a_text_is_enough(spark):
+    """A garbled sentence in a long clean Russian text, and a garbled Russian title in an English one."""
+    rng = random.Random(5)
+    long_ = lambda t, n: " ".join(rng.choices(t.split(), k=n))
+    rows, truth = [], {}
+    for i, t in enumerate(texts(4000, 7)):
+        if i % 80 == 0:
+            bit = long_(RU, 6)
+            bad = bit.encode("cp1251").decode("cp1252") if i % 160 else bit.encode("koi8_r").decode("cp1251")
+            around = (EN if i % 160 else RU)
+            before, after = long_(around, 60), long_(around, 60)
+            truth[i] = f"{before} {bit} {after}"
+            t = f"{before} {bad} {after}"
+        rows.append((i, t))
+    got = {r.id: r for r in M.garbled(spark.createDataFrame(rows, "id long, text string"), "text", ["id"]).collect()}
+    assert len(set(truth) & set(got)) >= 0.9 * len(truth)
+    assert len(set(got) - set(truth)) <= 0.02 * len(truth)
+    assert sum(got[i].restored == t for i, t in truth.items() if i in got) >= 0.5 * len(truth)
