@@ -13,6 +13,7 @@ bigrams become much likelier that way, or if it holds characters that only faile
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,6 +40,10 @@ GAIN_EACH = 1.2
 ODD = -3.6
 #: How far (nats) the letters of the oddest stretch of a text lie below ``ODD`` in all for it to be looked at.
 STRETCH = 8.0
+#: What a character outside the alphabet costs (nats) besides what the alphabet's one symbol for all of them does:
+#: less for signs of Latin-1, nothing for scripts and emoji that texts have, and this for all others.
+RARE, SIGN = 8.0, -4.0
+_USED = ((0x100, 0x180), (0x370, 0x530), (0x2010, 0x2300), (0x2500, 0x27C0), (0x3000, 0xA000), (0xAC00, 0xD7B0), (0xFE0F, 0xFE10), (0xFF00, 0xFFF0), (0x1F000, 0x1FB00))
 #: What a change between parts read as they are and parts deciphered costs (nats).
 TURN = 4.0
 _LOST = re.compile("[�\x80-\x9f]")
@@ -103,6 +108,45 @@ def _units(page: str, depth: int = 1) -> dict[str, str]:
     return out
 
 
+def _rareness(text: str) -> float:
+    outside = [ord(c) for c, i in zip(text, indices(text)) if i == _OTHER and ord(c) > 127]
+    return sum(SIGN if c < 0x100 else 0.0 if any(a <= c < b for a, b in _USED) else RARE for c in outside)
+
+
+@cache
+def _bytes_of(page: str) -> dict[str, int]:
+    """The byte that each shown character stands for."""
+    out = {_shown(page, b): b for b in range(0x80, 0x100)}
+    return out | {chr(b): b for b in range(0x80, 0x100) if chr(b) not in out} if page == "cp1252" else out
+
+
+@cache
+def _sequence(page: str) -> re.Pattern:
+    """A pattern of what may be one letter's UTF-8 bytes shown in the page."""
+    of = lambda lo, hi: "[" + re.escape("".join(c for c, b in _bytes_of(page).items() if lo <= b < hi)) + "]"
+    go = of(0x80, 0xC0)
+    return re.compile(f"{of(0xC2, 0xE0)}{go}|{of(0xE0, 0xF0)}{go}{{2}}|{of(0xF0, 0xF5)}{go}{{3}}")
+
+
+def structural(text: str, page: str, known: dict[str, str]) -> str:
+    """``text`` with every assigned letter or sign whose UTF-8 bytes the page shows, but for ``known`` units.
+
+    Rare Latin letters, phonetic and modifying signs are left, as plain texts show their bytes more often.
+    """
+
+    def read(m: re.Match) -> str:
+        if m[0] in known:
+            return m[0]
+        try:
+            c = bytes(_bytes_of(page)[x] for x in m[0]).decode()
+        except UnicodeDecodeError:
+            return m[0]
+        odd = unicodedata.category(c) in ("Cn", "Co", "Cc", "Cf", "Mn") and c != "\ufe0f" or 0x180 <= ord(c) < 0x370 or 0x27C0 <= ord(c) < 0x3000
+        return m[0] if odd else c
+
+    return _sequence(page).sub(read, text)
+
+
 def _pattern(units: dict[str, str]) -> re.Pattern:
     """A pattern of all units, longest first, by their first character."""
     by: dict[str, list[str]] = {}
@@ -171,21 +215,39 @@ def _openings() -> np.ndarray:
     return np.unique([min(ord(u[0]), 0xFFFF) << 16 | min(ord(u[1]), 0xFFFF) for p in PAGES for u in (*_units(p), *_units(p, 2))])
 
 
+@cache
+def _structure() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each page, how long a UTF-8 sequence that opens with a character is, and the characters that go on."""
+    out = []
+    for p in PAGES:
+        length, more = np.zeros(0x10000, np.int8), np.zeros(0x10000, bool)
+        for c, b in _bytes_of(p).items():
+            length[ord(c)] = 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 4 if 0xF0 <= b < 0xF5 else 0
+            more[ord(c)] = b < 0xC0
+        out.append((length, more))
+    return out
+
+
 def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.minimum(codes, 0xFFFF), np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
 
 
-def _maybe_units(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Texts in which two characters follow each other as at the start of a unit of some page."""
+def _maybe_units(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in which two characters follow each other as at the start of a unit of some page, and texts with what may be any UTF-8 sequence."""
     high = codes > 127
     at = np.nonzero(high[:-1] & high[1:])[0]
+    third, fourth = (codes[np.minimum(at + k, len(codes) - 1)] for k in (2, 3))
+    whole = np.zeros(len(at), bool)
+    for length, more in _structure():
+        n = length[codes[at]]
+        whole |= (n > 0) & more[codes[at + 1]] & ((n < 3) | more[third]) & ((n < 4) | more[fourth])
     pair = codes[at].astype(np.int64) << 16 | codes[at + 1]
     place = np.minimum(np.searchsorted(_openings(), pair), len(_openings()) - 1)
     hit = _openings()[place] == pair
     out = np.zeros(len(ends), bool)
     out[np.searchsorted(ends, at[hit], "right")] = True
-    return out
+    return out, np.bincount(np.searchsorted(ends, at[whole], "right"), minlength=len(ends)) > 0
 
 
 def bigrams(df: DataFrame, text: str) -> np.ndarray:
@@ -195,7 +257,8 @@ def bigrams(df: DataFrame, text: str) -> np.ndarray:
         total = np.zeros(N * N, np.int64)
         for b in pieces(batches, "t"):
             codes, ends = _flat(b["t"].tolist())
-            clean = ~_maybe_units(codes, ends)
+            units, whole = _maybe_units(codes, ends)
+            clean = ~(units | whole)
             use = np.repeat(clean, np.diff(np.append(0, ends)))
             s = _symbol_table()[codes]
             total += np.bincount((s[:-1] * N + s[1:])[use[1:]], minlength=N * N)
@@ -269,7 +332,8 @@ def suspects(df: DataFrame, text: str, keep: list[str], logp: np.ndarray) -> Dat
             starts = np.append(0, ends[:-1])
             s = _symbol_table()[codes]
             ll = np.append(0, logp[s[:-1], s[1:]])
-            kind = _maybe_units(codes, ends).astype(np.int64)
+            units, whole = _maybe_units(codes, ends)
+            kind = (units | whole).astype(np.int64)
             lost = (codes == 0xFFFD) | ((codes >= 0x80) & (codes < 0xA0))
             kind |= 2 * (np.add.reduceat(lost, starts, dtype=np.int64) > 0)
             for bit, script, least in ((4, cyr, 0.3), (8, western, 0.5)):
@@ -449,6 +513,13 @@ def restore(text: str, learnt: list[tuple[Source, dict[int, str]]], kind: int, l
                     x, least = likelihood(t, logp), 1.0
                 if x > now + least and (best is None or x > best[0]):
                     best = x, t, s.name
+        if best is None and kind & 1:  # what the learnt ciphers leave
+            for page in PAGES:
+                t = structural(text, page, _units(page))
+                if t != text:
+                    x = likelihood(t, logp)
+                    if x > now + 1.0 + max(_rareness(t) - _rareness(text), 0.0) and (best is None or x > best[0]):
+                        best = x, t, f"{page} by structure"
         if best is None:
             break
         gain, now, text = gain + best[0] - now, best[0], best[1]

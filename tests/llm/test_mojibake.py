@@ -92,3 +92,15 @@ def test_part_of_a_text_is_enough(spark):
     assert len(set(truth) & set(got)) >= 0.9 * len(truth)
     assert len(set(got) - set(truth)) <= 0.02 * len(truth)
     assert sum(got[i].restored == t for i, t in truth.items() if i in got) >= 0.5 * len(truth)
+
+
+def test_any_letter_or_sign_in_utf8(spark):
+    signs = ["º", "ª", "´", "·", "±", "×", "αβγ", "日本語", "😡", "🎉", "λόγος"]
+    clean = [(i, t) for i, t in enumerate(texts(1500, 3))]
+    rows = [(5000 + 10 * i + k, f"the story {garble(c, p)} was long") for i, c in enumerate(signs) for k, p in enumerate(("cp1252", "mac_roman"))]
+    right = [(7000 + i, f"the story {c} was long") for i, c in enumerate(signs)] + [(7100, "ein GRÜ» und CAFÉ® “DÉJÀ” auf 5 °C ±2"), (7101, "герой живёт в старом городе».")]
+    got = {r.id: r for r in M.garbled(spark.createDataFrame(clean + rows + right, "id long, text string"), "text", ["id"]).collect()}
+    want = {r: f"the story {c} was long" for i, c in enumerate(signs) for r in (5000 + 10 * i, 5001 + 10 * i)}
+    assert {r: got[r].restored for r in want if r in got} == want
+    assert [got[i].restored for i, _ in right if i in got] == []
+    assert len({i for i, _ in clean} & set(got)) <= 0.01 * len(clean)
