@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +45,38 @@ def cosine_topk(queries: DataFrame, items: DataFrame, k: int, least: float | Non
     return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def near_pairs(items: DataFrame, least: float, block: int = 1000) -> DataFrame:
+    """``item_a, item_b, similarity``: all pairs of ``items(item_id long, v)``, ``item_a`` < ``item_b``, at a (cosine + 1) / 2 of ``least`` or more.
+
+    Vectors are cut by hash into blocks of about ``block``; each pair of blocks is one product of matrices, so that
+    no task holds more however many there are. Null vectors have no pairs; work grows with the square of their number.
+    """
+    x = items.where("item_id is not null and v is not null").select("item_id", "v")
+    n = max(1, -(-x.count() // block))
+    x = x.withColumn("b", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cells = x.withColumn("o", other).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") <= F.col("o")).alias("left"), (F.col("b") >= F.col("o")).alias("right"), "item_id", "v")
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for side in ("left", "right"):
+            part = cell[cell[side]]
+            m = np.stack(part["v"].to_numpy()).astype(float) if len(part) else np.zeros((0, 0))
+            norm = np.sqrt((m * m).sum(1, keepdims=True)) if len(part) else m
+            sides.append((part["item_id"].to_numpy(np.int64), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)))
+        (ids, a), (jds, b) = sides
+        if not len(ids) or not len(jds):
+            return pd.DataFrame({"item_a": ids[:0], "item_b": jds[:0], "similarity": np.zeros(0)})
+        s = (a @ b.T + 1) / 2
+        r, c = np.nonzero(s >= least)
+        x, y = ids[r], jds[c]
+        # within one block each pair comes up twice, and each vector meets itself
+        use = x < y if cell["i"].iloc[0] == cell["j"].iloc[0] else x != y
+        return pd.DataFrame({"item_a": np.minimum(x, y)[use], "item_b": np.maximum(x, y)[use], "similarity": s[r, c][use]})
+
+    return cells.groupBy("i", "j").applyInPandas(compare, "item_a long, item_b long, similarity double")
+
+
 def terms(text: Column, stop: list[str] | None = None) -> Column:
     """Words of two letters or more without stop words, and pairs of neighbours."""
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop is None else stop

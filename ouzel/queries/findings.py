@@ -269,12 +269,21 @@ def pairing(s, d, most: int = 4000):
 
 
 def embedding_dedup(s, d):
-    """Near pairs of vectors: each whose id is divisible by 20 with all at a similarity of 0.65 or more."""
+    """A search for near vectors: each whose id is divisible by 20 with the five nearest at a similarity of 0.65 or more.
+
+    All links are in ``embedding_links``.
+    """
     e = table(s, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
     return V.cosine_topk(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v")), 5, least=0.65).select("query_id", "item_id", F.round("similarity", 5).alias("similarity"))
 
 
+def embedding_links(s, d):
+    """All pairs of vectors at a similarity of 0.65 or more."""
+    e = table(s, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    return V.near_pairs(e, 0.65).select("item_a", "item_b", F.round("similarity", 5).alias("similarity"))
+
+
 def citations(s, d):
     """Numbers of references in documents, such as "Q12."."""
     t = table(s, d, "documents").where("text is not null")
@@ -395,6 +404,7 @@ SQL = {
     "quality_reorder": "SELECT insight_id, round(0.7 * CASE WHEN is_seed IS TRUE THEN 1.0 ELSE 0.5 END + 0.3 * (0.6 * coalesce(overall_score, 0) + 0.4 * coalesce(validity_score, 0)), 6) AS quality FROM insight ORDER BY 2 DESC, 1 LIMIT 50",
     "cosine_topk": f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_SIM.format('a.embedding', 'b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s) SELECT query_id, item_id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 5",
     "embedding_dedup": f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, {_SIM.format('a.embedding', 'b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT query_id, item_id, round(s, 5) AS similarity FROM s WHERE s >= 0.65 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) <= 5",
+    "embedding_links": f"WITH s AS (SELECT a.vec_id AS item_a, b.vec_id AS item_b, {_SIM.format('a.embedding', 'b.embedding')} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) SELECT item_a, item_b, round(s, 5) AS similarity FROM s WHERE s >= 0.65",
     "tfidf_topk": _TFIDF,
     "citations": "SELECT item, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bQ(\\d+)\\.', 1)) AS item FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "theme_infer": "WITH h AS (SELECT doc_id, theme, hits FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS theme, " + " + ".join(f"len(regexp_extract_all(lower(text), '{w}'))" for w in ws) + " AS hits FROM documents WHERE text IS NOT NULL" for k, ws in THEMES.items()) + ") WHERE hits > 0), b AS (SELECT doc_id, theme, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, theme DESC) = 1) SELECT theme, count(*) AS docs, sum(hits)::bigint AS hits FROM b GROUP BY 1",
@@ -420,4 +430,4 @@ SQL = {
     "components": f"WITH RECURSIVE {_E}, u AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e), r AS (SELECT insight_id AS n, insight_id AS m FROM insight UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), c AS (SELECT n, min(m) AS component FROM r GROUP BY 1) SELECT component, count(*) AS n FROM c GROUP BY 1",
 }
 
-QUERIES = {f.__name__: f for f in (graph_load, discovered, core_cols, estimand, conflict_pairs, classify_pairs, deepening_parents, jaccard_cols, khop, tiered_context, chain, components, component_members, graph_stats, graph_frontiers, struct_similar, struct_novelty, seed_edges, merge_repeats, dsl_normalize, reject_anti, rediscovery, bounded_log, graduate, reject_stats, ablation_metrics, coverage, cooldown, validity_score, flags, decide, novelty, rank_score, quality_topk, quality_reorder, cosine_topk, tfidf_topk, grounding, seed_expand, diverse_topk, pairing, embedding_dedup, citations, theme_infer, dup_filter, anchor_sets, composite_related, findings_text)}
+QUERIES = {f.__name__: f for f in (graph_load, discovered, core_cols, estimand, conflict_pairs, classify_pairs, deepening_parents, jaccard_cols, khop, tiered_context, chain, components, component_members, graph_stats, graph_frontiers, struct_similar, struct_novelty, seed_edges, merge_repeats, dsl_normalize, reject_anti, rediscovery, bounded_log, graduate, reject_stats, ablation_metrics, coverage, cooldown, validity_score, flags, decide, novelty, rank_score, quality_topk, quality_reorder, cosine_topk, tfidf_topk, grounding, seed_expand, diverse_topk, pairing, embedding_dedup, embedding_links, citations, theme_infer, dup_filter, anchor_sets, composite_related, findings_text)}

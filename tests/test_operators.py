@@ -180,3 +180,15 @@ def test_cleaning(spark):
     assert {(r.k, r.n) for r in cleaning.keep_first(df, ["k"], ["v"]).collect()} == {(1, "2"), (2, "3")}
     assert cleaning.select_columns(["Q1", "Q2", "x"], ["^Q"], ["2"]) == ["Q1"]
     assert cleaning.derive_key(df, ["k", "b"], "z").where("z is null").count() == 1
+
+
+def test_near_pairs_have_no_cap(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.ones((12, 8)) + rng.normal(0, 0.05, (12, 8)), rng.normal(size=(60, 8)), np.zeros((1, 8))])
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)] + [(99, None)], "item_id long, v array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    s = (unit @ unit.T + 1) / 2
+    want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] >= 0.65}
+    for block in (1000, 7):
+        got = [(r.item_a, r.item_b) for r in retrieval.near_pairs(df, 0.65, block).collect()]
+        assert len(got) == len(want) and set(got) == want
