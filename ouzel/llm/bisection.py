@@ -42,12 +42,13 @@ def _same(group: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(f"s.{g}").eqNullSafe(F.col(f"i.{g}")) for g in group])
 
 
-def percentiles(state: DataFrame, group: list[str], shares: list[float], tolerance: float = 0.0) -> DataFrame:
+def percentiles(state: DataFrame, group: list[str], shares: list[float], tolerance: float = 0.0, resolution: float = 0.0) -> DataFrame:
     """``group`` columns, ``percentile``, ``n_rows``, ``value``, ``error_bound`` from a state.
 
     ``value`` is the least value v such that at least ``percentile`` of the group's rows are <= v. With a
     ``tolerance`` > 0, passes end once an interval is that narrow, and the true value lies within
-    ``error_bound`` below ``value``; with 0 it is exact. Null group values form a group. Groups without any
+    ``error_bound`` below ``value``; with 0 it is exact. A state's ``resolution`` has to be given here too: finite
+    values are then off by half of it besides, to either side, which ``error_bound`` holds. Null group values form a group. Groups without any
     counted value and empty tables give no rows.
     """
     if not all(0 <= p <= 1 for p in shares):
@@ -79,4 +80,4 @@ def percentiles(state: DataFrame, group: list[str], shares: list[float], toleran
         intervals = stage(pick.select(*group, "percentile", "n_rows", "rank", "x.*"), "intervals").select(*shape)
     done = reduce(DataFrame.unionAll, closed)
     value = F.when(F.col("hi") >= EDGE, float("inf")).when(F.col("hi") <= -EDGE, float("-inf")).otherwise(F.col("hi"))
-    return done.select(*group, "percentile", "n_rows", value.alias("value"), (F.col("hi") - F.col("lo")).alias("error_bound"))
+    return done.select(*group, "percentile", "n_rows", value.alias("value"), (F.col("hi") - F.col("lo") + F.when(F.abs("hi") < EDGE, resolution / 2).otherwise(0.0)).alias("error_bound"))

@@ -69,10 +69,22 @@ def p3_citation_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles over all days from states kept per day of loading (here: per ``loaded_on``)."""
+    """Percentiles over all days from states kept per day of loading (here: per ``loaded_on``), exact for the rounded values.
+
+    ``p3_combined_days_bounds`` states how far they may be from those of the values as they are.
+    """
+    return bisection.percentiles(_combined_days(spark, d), ["grp"], SHARES)
+
+
+def p3_combined_days_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with half the resolution of the states in the bound of the error."""
+    return bisection.percentiles(_combined_days(spark, d), ["grp"], SHARES, resolution=0.01)
+
+
+def _combined_days(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "cite_agg").select(F.col("loaded_on").alias("day"), "normalized_citation").withColumn("grp", F.lit("all days"))
     daily = bisection.value_counts(c, ["day", "grp"], "normalized_citation", resolution=0.01)
-    return bisection.percentiles(bisection.combine([daily.drop("day")], ["grp"]), ["grp"], SHARES)
+    return bisection.combine([daily.drop("day")], ["grp"])
 
 
 def _percentile_sql(rows: str, keys: str) -> str:
@@ -143,7 +155,7 @@ def _runs_sql(w: str) -> str:
 _LEAK_SQL = f"""SELECT doc_id, query_id FROM (SELECT doc_id, {_runs_sql('w')} AS r FROM (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL))
  JOIN (SELECT DISTINCT query_id, r FROM (SELECT query_id, {_runs_sql('w')} AS r FROM (SELECT query_id, {_words_sql('query_text')} AS w FROM eval_query UNION ALL SELECT query_id, {_words_sql('gold_claim')} FROM eval_query))) USING (r)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_review_percentiles, p3_citation_percentiles, p3_combined_days, p5_found, p5_entities, p6_found, p7_found, p7_statistics, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_found, p10_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_restored, p3_review_percentiles, p3_citation_percentiles, p3_combined_days, p3_combined_days_bounds, p5_found, p5_entities, p6_found, p7_found, p7_statistics, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_found, p10_forms)}
 
 SQL = {
     "p3_review_percentiles": _percentile_sql(
@@ -164,6 +176,7 @@ SQL = {
         q AS (SELECT field, x, y FROM p WHERE c / (na + nb - c) >= 0.6), k AS (SELECT field, id, m FROM w WHERE len(w) >= 20)
         SELECT q.field, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM q JOIN k a ON a.field = q.field AND a.m = q.x JOIN k b ON b.field = q.field AND b.m = q.y UNION ALL SELECT a.field, a.id, b.id FROM k a JOIN k b ON a.field = b.field AND a.m = b.m AND a.id < b.id""",
     "p3_combined_days": _percentile_sql("SELECT 'all days' AS grp, CASE WHEN isinf(normalized_citation) THEN normalized_citation ELSE round(normalized_citation / 0.01) * 0.01 END AS value FROM cite_agg", "grp"),
+    "p3_combined_days_bounds": _percentile_sql("SELECT 'all days' AS grp, CASE WHEN isinf(normalized_citation) THEN normalized_citation ELSE round(normalized_citation / 0.01) * 0.01 END AS value FROM cite_agg", "grp").replace("0::double AS error_bound", "CASE WHEN isinf(min(value)) THEN 0 ELSE 0.01 / 2 END::double AS error_bound"),
     "p8_found": f"SELECT DISTINCT doc_id, query_id FROM ({_LEAK_SQL})",
     "p8_leaked_items": f"SELECT query_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n_windows FROM ({_LEAK_SQL}) GROUP BY 1",
     "p6_found": "SELECT asin, review_id FROM amazon_books_autokd WHERE regexp_matches(asin, '\\S') AND helpful_votes IS NOT NULL QUALIFY row_number() OVER (PARTITION BY asin ORDER BY helpful_votes DESC, review_id) <= 3",

@@ -75,3 +75,13 @@ def test_top_n_edges(spark):
     assert [r.id for r in topn.top_n(twice, ["g"], "s", ["id"], 2).collect()] == [1, 1]
     with pytest.raises(ValueError):
         topn.top_n(twice.withColumnRenamed("g", "rank"), ["rank"], "s", ["id"], 2)
+
+
+def test_resolution_is_in_the_bound(spark):
+    values = [0.001, 0.004, 0.0049, 0.012, 0.0151, 0.3333, 7.7777, float("inf")]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    shares = [0.1, 0.25, 0.5, 0.75, 1.0]
+    exact = {r.percentile: r.value for r in B.percentiles(B.value_counts(df, ["g"], "v"), ["g"], shares).collect()}
+    for r in B.percentiles(B.value_counts(df, ["g"], "v", resolution=0.01), ["g"], shares, resolution=0.01).collect():
+        assert r.value == exact[r.percentile] or 0 < abs(r.value - exact[r.percentile]) <= r.error_bound + 1e-12
+        assert r.error_bound == (0 if r.value == float("inf") else 0.005)
