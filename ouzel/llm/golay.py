@@ -2,18 +2,21 @@
 
 The code is perfect: each 23-bit vector lies within three bits of exactly one of 4096 codewords. A
 vector and its 23 neighbours therefore decode to one or six codewords, and two vectors that differ in
-at most two bits always share one of them. A text's fingerprint has several 23-bit segments; each bit
-is the low bit of a minimum hash over the text's words. If two texts' fingerprints differ in fewer
-than 3s bits over s segments, the pigeonhole principle gives a segment with at most two errors, hence
-a shared codeword index there. Each index is joined with a minimum hash over the text's shingles (one
-per segment) so that the key has more than 12 bits and buckets stay small when the collection grows.
-
-Words in common don't bound shingles in common, so these keys alone promise nothing for a text with a block
-added or moved. Each text therefore has bands of minimum hashes over its shingles too, as many as miss a pair
-at the threshold in at most ``MISS`` of cases, whatever its words are; closer pairs are missed much less.
-
-Texts that share a key are compared inside the join by an upper bound of their similarity, which no true
-pair can fall below, then exactly.
+at most two bits always share one of them.
+
+A text's fingerprint has several segments. A segment stands for two anchors, the least of the text's shingles by
+two hash functions, and holds two 23-bit vectors of one-bit minimum hashes: one over the words around the first
+anchor, which a block added elsewhere leaves alone, and one over all words, which moved parts leave alone. Two texts
+are candidates if a segment has equal anchors and either vector shares a codeword index. By the pigeonhole principle,
+fewer than 3 * s errors in the s segments with equal anchors leave one that does. A codeword index alone has 12 bits,
+too few for large collections, and anchors alone gather all texts with a common phrase; together they keep
+buckets small.
+
+Rows are shuffled by anchors and decoded where they meet, so that a segment is sent once and not once for each of its
+indices. Anchors that a sample shows to be common are spread over their codeword indices before the shuffle, and
+these, if still large, over pairs of blocks; that changes where a pair is found, not which pairs are.
+
+Candidates are compared by an upper bound of their similarity, which no true pair can fall below, then exactly.
 """
 
 from __future__ import annotations
@@ -33,12 +36,14 @@ from .words import mix, pieces, shingle_hashes, word_hashes
 #: The generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the code.
 GENERATOR = 0b101011100011
 BITS = 23
-#: Bits of a print, and the greatest number of shingles that it holds.
-PLACES, MOST = 116, 4095
-#: 64-bit words of the wide print, which candidates are compared by.
+#: 64-bit words of the print that candidates are compared by.
 WIDE = 4
-#: The greatest chance that bands miss a pair at the threshold.
-MISS = 0.001
+#: The greatest chance that segments miss a pair at the threshold, if vectors with equal anchors share an index in at least ``SHARE`` of cases.
+MISS, SHARE = 0.001, 0.9
+#: Words on each side of an anchor that its vector is drawn from, and how many vectors over all words there are.
+AROUND, WHOLE = 8, 3
+#: A text in ``SAMPLED`` is counted to find common anchors, which ``COMMON`` of these share; a bucket is compared in blocks of ``BLOCK`` texts.
+SAMPLED, COMMON, BLOCK = 16, 8, 8192
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,153 +94,210 @@ def _odd_constants(count: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(seed * 2 + 1)) | np.uint64(1)
 
 
-def _minima(values: np.ndarray, starts: np.ndarray, count: int, seed: int) -> Iterator[np.ndarray]:
-    """For each of ``count`` hash functions, the least 32-bit hash within each text."""
+
+def _hashes(values: np.ndarray, count: int, seed: int) -> Iterator[np.ndarray]:
+    """``count`` 32-bit hash functions of 64-bit values."""
     narrow = (values >> np.uint64(32)).astype(np.uint32)
     other = values.astype(np.uint32)
     for c in _odd_constants(count, seed):
-        a, b = np.uint32(int(c) & 0xFFFFFFFF | 1), np.uint32(int(c) >> 32 | 1)
-        h = narrow * a
+        h = narrow * np.uint32(int(c) & 0xFFFFFFFF | 1)
         h ^= h >> np.uint32(15)
-        h += other * b
+        h += other * np.uint32(int(c) >> 32 | 1)
         h ^= h >> np.uint32(13)
         h *= np.uint32(0x85EBCA6B)
-        yield np.minimum.reduceat(h, starts)
-
-
-def bands_for(threshold: float) -> tuple[int, int]:
-    """The number of bands and of minimum hashes in each."""
-    width = 3 if threshold >= 0.5 else 2 if threshold >= 0.3 else 1
-    return (1 if threshold >= 1 else math.ceil(math.log(MISS) / math.log1p(-(threshold**width)))), width
+        yield h
 
 
-def _wide(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    place = mix((grams >> np.uint64(32)) ^ _SALT) % np.uint64(64 * WIDE)
-    bit = np.uint64(1) << (place & np.uint64(63))
-    return np.stack([np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(WIDE)], 1).view(np.int64)
+def segments_for(threshold: float) -> int:
+    """How many segments miss a pair at ``threshold`` in at most ``MISS`` of cases."""
+    hit = SHARE * threshold**2
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-hit)))
 
 
-def _bands(grams: np.ndarray, starts: np.ndarray, bands: int, width: int) -> np.ndarray:
-    """A 32-bit hash of each band's minimum hashes."""
-    out = np.zeros((len(starts), bands), np.uint64)
-    for i, least in enumerate(_minima(grams, starts, bands * width, 71)):
-        out[:, i // width] = mix(out[:, i // width] * np.uint64(3) + least + np.uint64(1))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def _vectors(least: Iterator[np.ndarray], count: int, n: int) -> np.ndarray:
+    """``count`` 23-bit vectors of one-bit minimum hashes for each of ``n`` texts."""
+    out = np.zeros((n, count), np.int32)
+    for i, h in enumerate(least):
+        out[:, i // BITS] |= ((h >> np.uint32(9)) & np.uint32(1)).astype(np.int32) << np.int32(i % BITS)
+    return out
 
 
-def _prints(grams: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The low 64 bits of each text's print, and the others with the number of different shingles below them."""
+def _print(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's set of shingles hashed to 64 * ``WIDE`` bits, and the number of different shingles."""
     h = grams >> np.uint64(32)  # what shingles are compared by
     row = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
     each = np.bincount((np.unique(row << np.uint64(32) | h) >> np.uint64(32)).astype(np.int64), minlength=len(counts))
-    place = (mix(h) >> np.uint64(40)) % np.uint64(PLACES)
-    low = np.where(place < 64, np.uint64(1) << (place & np.uint64(63)), np.uint64(0))
-    high = np.where(place < 64, np.uint64(0), np.uint64(1) << (place - np.uint64(64) + np.uint64(12) & np.uint64(63)))
-    halves = [np.bitwise_or.reduceat(x, starts) for x in (low, high)]
-    return halves[0].view(np.int64), (halves[1] | np.minimum(each, MOST).astype(np.uint64)).view(np.int64)
+    place = mix(h ^ _SALT) % np.uint64(64 * WIDE)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    wide = np.stack([np.bitwise_or.reduceat(np.where(place >> np.uint64(6) == k, bit, np.uint64(0)), starts) for k in range(WIDE)], 1)
+    return wide.view(np.int64), each
 
 
 def may_reach(threshold: float) -> Column:
-    """Whether texts with the prints ``f_a, g_a`` and ``f_b, g_b`` may have a similarity of ``threshold``.
+    """Whether texts with the prints ``wide_a, n_a`` and ``wide_b, n_b`` may have a similarity of ``threshold``.
 
     A bit that only one print has stands for at least one shingle that only this text has. So many at least are
     missing from what both have in common, and a pair that is ruled out lies below the threshold for certain.
     """
-    return _reaches(threshold, _own([("f", None), ("g", ~MOST)], "a", "b"), _own([("f", None), ("g", ~MOST)], "b", "a"))
-
-
-def may_reach_wide(threshold: float) -> Column:
-    """The same by the wide prints ``wide_a`` and ``wide_b``."""
-    own = [sum((F.bit_count(F.col(f"wide_{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"wide_{y}")[k]))) for k in range(WIDE)), F.lit(0)) for x, y in ("ab", "ba")]
-    return _reaches(threshold, *own)
-
-
-def _own(halves: list[tuple[str, int | None]], x: str, y: str) -> Column:
-    """The bits that only text ``x`` has."""
-    bits = [(F.col(f"{c}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{c}_{y}"))), mask) for c, mask in halves]
-    return sum((F.bit_count(b if mask is None else b.bitwiseAND(F.lit(mask).cast("long"))) for b, mask in bits), F.lit(0))
+    own_a, own_b = (sum((F.bit_count(F.col(f"wide_{x}")[k].bitwiseAND(F.bitwise_not(F.col(f"wide_{y}")[k]))) for k in range(WIDE)), F.lit(0)) for x, y in ("ab", "ba"))
+    common = F.least(F.col("n_a") - own_a, F.col("n_b") - own_b)
+    return (1 + threshold) * common >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
 
 
-def _reaches(threshold: float, own_a: Column, own_b: Column) -> Column:
-    most = F.lit(MOST).cast("long")
-    n_a, n_b = (F.col(c).bitwiseAND(most) for c in ("g_a", "g_b"))
-    common = F.least(n_a - own_a, n_b - own_b)
-    return (n_a == MOST) | (n_b == MOST) | ((1 + threshold) * common >= threshold * (n_a + n_b) - 1e-6)
-
-
-def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int, bands: int = 0, width: int = 3) -> tuple[np.ndarray, ...]:
-    """Of texts with at least ``min_words`` words: their places, segments, anchors, two halves of a print, wide prints, bands.
-
-    The print is the set of the text's shingles hashed to ``PLACES`` bits, and their number (``MOST`` stands for more).
-    """
+def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of texts with at least ``min_words`` words: their places, anchors (64 bits for both of a segment), vectors around them, vectors over all words, prints, shingles."""
     flat, sizes = word_hashes(texts)
     keep = sizes >= max(min_words, shingle)
     flat = flat[np.repeat(keep, sizes)]
     sizes, places = sizes[keep], np.nonzero(keep)[0]
-    if not len(places):
-        none = np.zeros((0, segments), np.int64)
-        return places, none, none, none[:, 0], none[:, 0], none, none
+    n = len(places)
+    if not n:
+        return places, np.zeros((0, segments), np.int64), np.zeros((0, segments), np.int32), np.zeros((0, WHOLE), np.int32), np.zeros((0, WIDE), np.int64), places
     grams, counts = shingle_hashes(flat, sizes, shingle)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    gram_starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    seg = np.zeros((len(places), segments), np.int64)
-    for i, least in enumerate(_minima(mix(flat), starts, segments * BITS, 11)):
-        seg[:, i // BITS] |= ((least >> np.uint32(9)) & np.uint32(1)).astype(np.int64) << (i % BITS)
-    anchors = np.stack(list(_minima(grams, gram_starts, segments, 29)), 1).astype(np.int64)
-    return places, seg, anchors, *_prints(grams, counts, gram_starts), _wide(grams, gram_starts), _bands(grams, gram_starts, bands, width)
-
-
-def keys_of(seg: np.ndarray, anchors: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and 64-bit keys: (segment's number, codeword index, anchor, group) mixed."""
-    rows, keys = [], []
-    for s in range(seg.shape[1]):
-        r, index = golay().indices(seg[:, s])
-        raw = (anchors[r, s].astype(np.uint64) << np.uint64(16)) | (index.astype(np.uint64) << np.uint64(4)) | np.uint64(s)
-        rows.append(r)
-        keys.append(mix(raw ^ group[r]).view(np.int64))
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def band_keys(bands: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and 64-bit keys: (band's number, its hash, group) mixed."""
-    n, m = bands.shape
-    raw = bands.view(np.uint32).astype(np.uint64) | (np.arange(m, dtype=np.uint64) + np.uint64(1) << np.uint64(48))
-    return np.repeat(np.arange(n), m), mix(raw ^ group[:, None]).ravel().view(np.int64)
-
-
-def _fingerprint_stage(segments: int, shingle: int, min_words: int, bands: int, width: int):
+    ends = np.cumsum(sizes)
+    starts, gram_starts = ends - sizes, np.cumsum(counts) - counts
+    mixed = mix(flat)
+    whole = _vectors((np.minimum.reduceat(h, starts) for h in _hashes(mixed, WHOLE * BITS, 11)), WHOLE, n)
+    keys, near = np.zeros((n, segments), np.uint64), np.zeros((n, segments), np.int32)
+    window = np.arange(-AROUND, shingle + AROUND)
+    # Like texts have like words around, which ``mixed`` words stand for; all segments may use the same hash functions.
+    for i, h in enumerate(_hashes(grams, 2 * segments, 29)):
+        least = np.minimum.reduceat(h, gram_starts)
+        s = i // 2
+        keys[:, s] = mix(keys[:, s] * np.uint64(3) + least + np.uint64(s + 1 << 40))
+        if i % 2 == 0:
+            at = np.nonzero(h == np.repeat(least, counts))[0]
+            at = at[np.searchsorted(at, gram_starts)] - gram_starts + starts
+            place = at[:, None] + window
+            inside = (place >= starts[:, None]) & (place < ends[:, None])
+            around = mixed[np.where(inside, place, at[:, None])].T
+            near[:, s] = _vectors((x.min(axis=0) for x in _hashes(around, BITS, 47)), 1, n)[:, 0]
+    wide, each = _print(grams, gram_starts, counts)
+    return places, keys.view(np.int64), near, whole, wide, each
+
+
+def _fingerprint_stage(segments: int, shingle: int, min_words: int):
+    import xxhash
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pieces(batches, "text"):
-            texts = b["text"].tolist()
-            places, seg, anchors, low, high, wide, band = fingerprints(texts, segments, shingle, min_words, bands, width)
+            places, keys, near, whole, wide, each = fingerprints(b["text"].tolist(), segments, shingle, min_words)
+            b = b.iloc[places]
+            names = {f: xxhash.xxh64_intdigest(f or "") for f in b["field"].unique()}
+            group = b["field"].map(names).to_numpy(np.uint64)[:, None]
             yield pd.DataFrame({
-                "field": b["field"].to_numpy()[places],
-                "id": b["id"].to_numpy()[places],
-                "digest": b["digest"].to_numpy()[places],
-                "seg": list(seg.astype(np.int32)),
-                "anchor": list(anchors),
-                "f": low,
-                "g": high,
+                "field": b["field"].to_numpy(),
+                "id": b["id"].to_numpy(),
+                "digest": b["digest"].to_numpy(),
+                "key": list(mix(keys.view(np.uint64) ^ group).view(np.int64)),
+                "near": list(near),
+                "whole": list(whole),
                 "wide": list(wide),
-                "band": list(band),
+                "n": each,
             })
 
     return run
 
 
-def _expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import xxhash
+def _indices_of(near: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and codeword indices of both vectors of each row, those over all words with a 13th bit."""
+    (r, i), (q, j) = golay().indices(near.astype(np.int64)), golay().indices(whole.astype(np.int64))
+    return np.concatenate([r, q]), np.concatenate([i, j | 4096])
+
+
+def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with common anchors, one for each codeword index and, in large buckets, pair of blocks.
 
+    A text of block b goes to the pairs (b, j) and (j, b) of blocks; ``side`` tells its place there, 2 standing for (b, b).
+    """
     for b in batches:
         if not len(b):
             continue
-        seg = np.stack(b["seg"].to_numpy()).astype(np.int64)
-        anchors = np.stack(b["anchor"].to_numpy()).astype(np.int64)
-        names = {f: xxhash.xxh64_intdigest(f) for f in b["field"].unique()}
-        group = b["field"].map(names).to_numpy(np.uint64)
-        more = band_keys(np.stack(b["band"].to_numpy()).astype(np.int32), group)
-        rows, keys = (np.concatenate(x) for x in zip(keys_of(seg, anchors, group), more))
-        yield pd.DataFrame({c: b[c].to_numpy()[rows] for c in ("u", "f", "g")} | {"key": keys})
+        rows, index = _indices_of(b["near"].to_numpy(), b["whole"].to_numpy())
+        u, key = b["u"].to_numpy()[rows], b["key"].to_numpy().view(np.uint64)[rows]
+        key = mix(key ^ mix(index.astype(np.uint64) + np.uint64(1)))
+        blocks = -(-b["common"].to_numpy()[rows] * SAMPLED // BLOCK)
+        own = (mix(u.view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        many = np.repeat(np.arange(len(u)), blocks)
+        other = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        own = own[many]
+        pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
+        side = np.where(own == other, 2, np.where(own < other, 0, 1))
+        yield pd.DataFrame({"key": mix(key[many] ^ mix(pair + _SALT)).view(np.int64), "u": u[many], "near": np.int32(0), "whole": np.int32(0), "side": side.astype(np.int8)})
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.nonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))[0] if len(sorted_values) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(sorted_values)))
+
+
+def _within(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of entries of ``order`` within each run, some ``most`` at once."""
+    for size in np.unique(sizes[sizes > 1]):
+        first = starts[sizes == size]
+        if size <= 512:
+            i, j = np.triu_indices(size, 1)
+            step = max(1, most // len(i))
+            for k in range(0, len(first), step):
+                m = order[first[k : k + step, None] + np.arange(size)]
+                yield m[:, i].ravel(), m[:, j].ravel()
+        else:
+            step = max(1, most // int(size))
+            for f in first:
+                m = order[f : f + size]
+                for k in range(0, size, step):
+                    i, j = np.meshgrid(np.arange(k, min(k + step, size)), np.arange(size), indexing="ij")
+                    ok = i < j
+                    yield m[i[ok]], m[j[ok]]
+
+
+def _across(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, side: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of an entry of side 0 and one of side 1 within each run."""
+    for f, size in zip(starts[sizes > 1], sizes[sizes > 1]):
+        m = order[f : f + size]
+        x, y = m[side[m] == 0], m[side[m] == 1]
+        step = max(1, most // max(len(y), 1))
+        for k in range(0, len(x) if len(y) else 0, step):
+            yield np.repeat(x[k : k + step], len(y)), np.tile(y, len(x[k : k + step]))
+
+
+def _pairs_of(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Candidates among rows sorted by key, whose last key is whole."""
+    key, u, side = b["key"].to_numpy(), b["u"].to_numpy(), b["side"].to_numpy()
+    starts, sizes = _runs(key)
+    shared = np.repeat(sizes > 1, sizes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    plain = np.nonzero(shared & (side < 0))[0]
+    found = []
+    if len(plain):
+        rows, index = _indices_of(b["near"].to_numpy()[plain], b["whole"].to_numpy()[plain])
+        code = group[plain][rows] << 13 | index
+        by = np.argsort(code, kind="stable")
+        found.append(_within(plain[rows[by]], *_runs(code[by])))
+    order = np.arange(len(key))
+    block = sizes * (side[starts] >= 0) if len(starts) else sizes
+    whole = side[starts] == 2 if len(starts) else np.zeros(0, bool)
+    found.append(_within(order, starts, block * whole))
+    found.append(_across(order, starts, block * ~whole, side))
+    for i, j in itertools.chain(*found):
+        x, y = np.minimum(u[i], u[j]), np.maximum(u[i], u[j])
+        yield pd.DataFrame({"u_a": x, "u_b": y})[x != y].drop_duplicates()
+
+
+def _candidate_stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append(b)
+            if sum(map(len, held)) < 200_000:
+                continue
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        key = rows["key"].to_numpy()
+        cut = len(rows) if b is None or not len(rows) else int(np.searchsorted(key, key[-1]))  # the last key may go on
+        yield from _pairs_of(rows[:cut])
+        held = [rows[cut:]] if cut < len(rows) else []
 
 
 def _shingle_stage(shingle: int):
@@ -249,7 +311,18 @@ def _shingle_stage(shingle: int):
     return run
 
 
-def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs ``(u_a, u_b)``, ``u_a`` < ``u_b``, of ``prints(u, key, near, whole)`` with equal anchors and a codeword index in common there."""
+    rows = prints.select("u", "whole", F.posexplode(F.arrays_zip("key", "near")).alias("s", "e")).select("u", F.col("e.key").alias("key"), F.col("e.near").alias("near"), F.col("whole")[F.col("s") % WHOLE].alias("whole"))
+    common = stage(rows.where(F.pmod(F.xxhash64("u"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("common")).where(F.col("common") >= COMMON), "common")
+    every = rows.select("key", "u", "near", "whole", F.lit(-1).cast("tinyint").alias("side"))
+    if not common.isEmpty():
+        spread = rows.join(common, "key").mapInPandas(_spread, "key long, u long, near int, whole int, side tinyint")
+        every = every.join(common, "key", "left_anti").unionAll(spread)
+    return every.repartition("key").sortWithinPartitions("key").mapInPandas(_candidate_stage, "u_a long, u_b long").distinct()
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Near copies among ``docs(field string, id string, text string)``, within each field.
 
     Returns ``members(u, field, id, rep)``: one row per text of at least ``min_words`` words, ``rep``
@@ -257,27 +330,21 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     texts whose sets of ``shingle`` consecutive words have a Jaccard similarity of at least
     ``threshold``; and ``copies(rep, n)``: texts that occur ``n`` > 1 times. Null texts, texts with
     fewer words and empty tables give no rows. Word order and case follow the text; a text of any
-    length is read whole. Each pair that shares a key is compared exactly, unless its prints prove that it lies
-    below the threshold. Bands alone find a pair with a chance of at least 1 - ``MISS``; ``segments`` (at most 6) add to it.
+    length is read whole. Each pair of candidates is compared exactly, unless its prints prove that it lies
+    below the threshold. There are as many segments as ``segments_for`` says, unless ``segments`` is given.
     """
-    if not 1 <= segments <= 6:
-        raise ValueError("segments must be 1..6")
+    segments = segments or segments_for(threshold)
     present = docs.where(F.col("text").isNotNull()).select("field", F.col("id").cast("string").alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
     prints = stage(
-        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words, *bands_for(threshold)), "field string, id string, digest binary, seg array<int>, anchor array<long>, f long, g long, wide array<long>, band array<int>")
-        .withColumn("u", F.monotonically_increasing_id()),
+        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, key array<long>, near array<int>, whole array<int>, wide array<long>, n int").withColumn("u", F.monotonically_increasing_id()),
         "fingerprints",
     )
     copies = stage(prints.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     members = prints.select("u", "field", "id", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").select("u", "field", "id", F.coalesce("rep", "u").alias("rep"))
-    reps = prints.join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").where("rep is null or rep = u")
-    keys = reps.select("u", "field", "seg", "anchor", "band", "f", "g").mapInPandas(_expand, "u long, f long, g long, key long")
-    a, b = (keys.select(*(F.col(c).alias(f"{c}_{side}") for c in keys.columns)) for side in "ab")
-    found = stage(a.join(b, (F.col("key_a") == F.col("key_b")) & (F.col("u_a") < F.col("u_b")) & may_reach(threshold)).select("u_a", "u_b").distinct(), "candidates")
-    # Wide prints drop most long texts that a print can't tell apart, before texts are read again.
-    wide = prints.select("u", "g", "wide")
-    wa, wb = (wide.select(*(F.col(c).alias(f"{c}_{side}") for c in wide.columns)) for side in "ab")
-    found = stage(found.join(wa, "u_a").join(wb, "u_b").where(may_reach_wide(threshold)).select("u_a", "u_b"), "likely")
+    later = members.where("rep <> u").select("u")
+    found = stage(candidates(prints.join(later, "u", "left_anti").select("u", "key", "near", "whole")), "candidates")
+    wa, wb = (prints.select(*(F.col(c).alias(f"{c}_{side}") for c in ("u", "n", "wide"))) for side in "ab")
+    found = stage(found.join(wa, "u_a").join(wb, "u_b").where(may_reach(threshold)).select("u_a", "u_b"), "likely")
     involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")
     texts = present.join(F.broadcast(involved) if is_small(involved) else involved, ["field", "id", "digest"]).select("u", "text")
     sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<int>").dropDuplicates(["u"]), "shingles")

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 import pytest
 
@@ -106,11 +107,11 @@ def test_all_that_share_a_key_are_compared_exactly(spark):
     docs = _reposts(random.Random(8), 1000)
     df = spark.createDataFrame([("f", f"{i:04d}", t) for i, t in enumerate(docs)], "field string, id string, text string")
     got = {(r.id_a, r.id_b) for r in G.near_copy_rows(df, threshold=0.6, shingle=3).collect()}
-    _, seg, anchors, *_ = G.fingerprints(docs, 6, 3, 20)
-    rows, keys = G.keys_of(seg, anchors, np.zeros(len(docs), np.uint64))
+    _, keys, near, whole, *_ = G.fingerprints(docs, G.segments_for(0.6), 3, 20)
     of = [set() for _ in docs]
-    for r, k in zip(rows, keys):
-        of[r].add(int(k))
+    for s in range(keys.shape[1]):
+        for r, index in zip(*G._indices_of(near[:, s], whole[:, s % G.WHOLE])):
+            of[r].add((int(keys[r, s]), int(index)))
     true = [i for i in range(0, len(docs), 2) if _jaccard(docs[i], docs[i + 1], 3) >= 0.6]
     sharing = {(f"{i:04d}", f"{i + 1:04d}") for i in true if of[i] & of[i + 1]}
     assert len(sharing) > 500 and sharing - got == set()
@@ -126,7 +127,87 @@ def test_added_and_moved_blocks_are_found(spark):
     assert len(true - got) <= G.MISS * len(true)
 
 
-def test_bands_bound_the_chance_of_a_miss():
+def test_segments_bound_the_chance_of_a_miss():
     for t in (0.05, 0.2, 0.3, 0.45, 0.6, 0.8, 0.99, 1.0):
-        n, width = G.bands_for(t)
-        assert (1 - t**width) ** n <= G.MISS * 1.001
+        assert (1 - G.SHARE * t**2) ** G.segments_for(t) <= G.MISS * 1.001
+
+
+ZIPF = [f"z{i}" for i in range(20000)]
+_WEIGHTS = list(itertools.accumulate(1 / (i + 3) for i in range(20000)))
+
+
+def _text(rng, n):
+    return rng.choices(ZIPF, cum_weights=_WEIGHTS, k=n)
+
+
+def _changed(rng, w, n):
+    """Words changed, added and left out."""
+    out = []
+    for x in w:
+        if rng.random() < n / 2:
+            out.append(rng.choice(ZIPF))
+        if rng.random() >= n / 2:
+            out.append(rng.choice(ZIPF) if rng.random() < n / 2 else x)
+    return out
+
+
+def _put_in(rng, w, share):
+    k = rng.randrange(len(w))
+    return w[:k] + _text(rng, int(len(w) * share)) + w[k:]
+
+
+def _reordered(rng, w):
+    n = rng.randint(9, 25)
+    parts = [w[i : i + n] for i in range(0, len(w), n)]
+    rng.shuffle(parts)
+    return [x for p in parts for x in p]
+
+
+EDITS = {
+    "words": lambda rng, w: _changed(rng, w, rng.uniform(0.01, 0.1)),
+    "block after": lambda rng, w: w + _text(rng, int(len(w) * rng.uniform(0.05, 0.6))),
+    "block within": lambda rng, w: _put_in(rng, w, rng.uniform(0.05, 0.6)),
+    "end cut off": lambda rng, w: w[: int(len(w) * rng.uniform(0.6, 0.95))],
+    "parts reordered": _reordered,
+}
+
+
+@pytest.mark.parametrize("shingle,threshold", [(3, 0.6), (5, 0.8)])
+def test_recall_by_kind_of_edit_and_similarity(spark, shingle, threshold):
+    rng = random.Random(17)
+    docs, kind = [], []
+    for name, edit in EDITS.items():
+        for _ in range(500):
+            own = _text(rng, rng.choice([25, 40, 70, 150]))
+            docs += [" ".join(own), " ".join(edit(rng, own))]
+            kind.append(name)
+    df = spark.createDataFrame([("f", f"{i:05d}", t) for i, t in enumerate(docs)], "field string, id string, text string")
+    got = {(r.id_a, r.id_b) for r in G.near_copy_rows(df, threshold=threshold, shingle=shingle).collect()}
+    true, lost = {}, {}
+    for i in range(0, len(docs), 2):
+        if min(len(docs[i].split()), len(docs[i + 1].split())) >= 20 and (j := _jaccard(docs[i], docs[i + 1], shingle)) >= threshold:
+            for band in (kind[i // 2], min(int(j * 10), 9)):
+                true[band] = true.get(band, 0) + 1
+                lost[band] = lost.get(band, 0) + ((f"{i:05d}", f"{i + 1:05d}") not in got)
+    assert set(EDITS) < set(true) and len(true) >= len(EDITS) + 2
+    for band, n in true.items():
+        assert n > 20 and lost[band] <= max(1, 0.01 * n), (band, n, lost[band])
+
+
+def test_spread_rows_give_the_same_candidates():
+    rng = np.random.default_rng(5)
+    u = np.arange(600, dtype=np.int64)
+    vectors = rng.integers(0, 1 << 23, 6)
+    flips = lambda: np.array([sum({1 << int(p) for p in rng.integers(0, 23, 3)}) for _ in u])
+    near, whole = ((vectors[rng.integers(0, 6, len(u))] ^ flips()).astype(np.int32) for _ in "ab")
+    rows = pd.DataFrame({"key": np.sort(rng.integers(0, 2, len(u))), "u": u, "near": near, "whole": whole})
+    pairs = lambda b: {(x, y) for p in G._pairs_of(b.sort_values("key", ignore_index=True)) for x, y in zip(p["u_a"], p["u_b"])}
+    want = pairs(rows.assign(side=np.int8(-1)))
+    assert len(want) > 1000
+    for common in (10, 3 * G.BLOCK // G.SAMPLED):
+        (spread,) = G._spread(iter([rows.assign(common=common)]))
+        assert pairs(spread) == want
+    # batches that cut a key apart give what whole ones do
+    many = pd.concat([rows.assign(key=rows["key"] + 2 * k, u=rows["u"] + 600 * k) for k in range(4)], ignore_index=True).assign(side=np.int8(-1))
+    cut = [many.iloc[i : i + 97] for i in range(0, len(many), 97)]
+    assert len(pd.concat(G._candidate_stage(iter(cut))).drop_duplicates()) == 4 * len(want)
