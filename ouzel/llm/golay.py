@@ -13,8 +13,9 @@ too few for large collections, and anchors alone gather all texts with a common
 buckets small.
 
 Rows are shuffled by anchors and decoded where they meet, so that a segment is sent once and not once for each of its
-indices. Anchors that a sample shows to be common are spread over their codeword indices before the shuffle, and
-these, if still large, over pairs of blocks; that changes where a pair is found, not which pairs are.
+indices. Anchors that a sample shows to be common take a third anchor, from each of ``THIRDS`` other segments in turn;
+``segments_for`` reckons with what that may miss. Buckets that are large even so are spread over their codeword
+indices and pairs of blocks before the shuffle, which changes where a pair is found, not which pairs are.
 
 Candidates are compared by an upper bound of their similarity, which no true pair can fall below, then exactly.
 """
@@ -43,7 +44,7 @@ MISS, SHARE = 0.001, 0.9
 #: Words on each side of an anchor that its vector is drawn from, and how many vectors over all words there are.
 AROUND, WHOLE = 8, 3
 #: A text in ``SAMPLED`` is counted to find common anchors, which ``COMMON`` of these share; a bucket is compared in blocks of ``BLOCK`` texts.
-SAMPLED, COMMON, BLOCK = 16, 8, 8192
+SAMPLED, COMMON, THIRDS, BLOCK = 4, 4, 3, 8192
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,8 +110,8 @@ def _hashes(values: np.ndarray, count: int, seed: int) -> Iterator[np.ndarray]:
 
 
 def segments_for(threshold: float) -> int:
-    """How many segments miss a pair at ``threshold`` in at most ``MISS`` of cases."""
-    hit = SHARE * threshold**2
+    """How many segments miss a pair at ``threshold`` in at most ``MISS`` of cases, even if all their anchors are common."""
+    hit = SHARE * threshold**2 * (1 - (1 - threshold) ** THIRDS)
     return max(1, math.ceil(math.log(MISS) / math.log1p(-hit)))
 
 
@@ -145,51 +146,45 @@ def may_reach(threshold: float) -> Column:
 
 
 def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int) -> tuple[np.ndarray, ...]:
-    """Of texts with at least ``min_words`` words: their places, anchors (64 bits for both of a segment), vectors around them, vectors over all words, prints, shingles."""
+    """Of texts with at least ``min_words`` words: their places, anchors (two for each segment), vectors around them, vectors over all words, prints, shingles."""
     flat, sizes = word_hashes(texts)
     keep = sizes >= max(min_words, shingle)
     flat = flat[np.repeat(keep, sizes)]
     sizes, places = sizes[keep], np.nonzero(keep)[0]
     n = len(places)
     if not n:
-        return places, np.zeros((0, segments), np.int64), np.zeros((0, segments), np.int32), np.zeros((0, WHOLE), np.int32), np.zeros((0, WIDE), np.int64), places
+        return places, np.zeros((0, 2 * segments), np.int32), np.zeros((0, segments), np.int32), np.zeros((0, WHOLE), np.int32), np.zeros((0, WIDE), np.int64), places
     grams, counts = shingle_hashes(flat, sizes, shingle)
     ends = np.cumsum(sizes)
     starts, gram_starts = ends - sizes, np.cumsum(counts) - counts
     mixed = mix(flat)
     whole = _vectors((np.minimum.reduceat(h, starts) for h in _hashes(mixed, WHOLE * BITS, 11)), WHOLE, n)
-    keys, near = np.zeros((n, segments), np.uint64), np.zeros((n, segments), np.int32)
+    anchors, near = np.zeros((n, 2 * segments), np.uint32), np.zeros((n, segments), np.int32)
     window = np.arange(-AROUND, shingle + AROUND)
     # Like texts have like words around, which ``mixed`` words stand for; all segments may use the same hash functions.
     for i, h in enumerate(_hashes(grams, 2 * segments, 29)):
-        least = np.minimum.reduceat(h, gram_starts)
-        s = i // 2
-        keys[:, s] = mix(keys[:, s] * np.uint64(3) + least + np.uint64(s + 1 << 40))
+        anchors[:, i] = least = np.minimum.reduceat(h, gram_starts)
         if i % 2 == 0:
             at = np.nonzero(h == np.repeat(least, counts))[0]
             at = at[np.searchsorted(at, gram_starts)] - gram_starts + starts
             place = at[:, None] + window
             inside = (place >= starts[:, None]) & (place < ends[:, None])
             around = mixed[np.where(inside, place, at[:, None])].T
-            near[:, s] = _vectors((x.min(axis=0) for x in _hashes(around, BITS, 47)), 1, n)[:, 0]
+            near[:, i // 2] = _vectors((x.min(axis=0) for x in _hashes(around, BITS, 47)), 1, n)[:, 0]
     wide, each = _print(grams, gram_starts, counts)
-    return places, keys.view(np.int64), near, whole, wide, each
+    return places, anchors.view(np.int32), near, whole, wide, each
 
 
 def _fingerprint_stage(segments: int, shingle: int, min_words: int):
-    import xxhash
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in pieces(batches, "text"):
-            places, keys, near, whole, wide, each = fingerprints(b["text"].tolist(), segments, shingle, min_words)
+            places, anchors, near, whole, wide, each = fingerprints(b["text"].tolist(), segments, shingle, min_words)
             b = b.iloc[places]
-            names = {f: xxhash.xxh64_intdigest(f or "") for f in b["field"].unique()}
-            group = b["field"].map(names).to_numpy(np.uint64)[:, None]
             yield pd.DataFrame({
                 "field": b["field"].to_numpy(),
                 "id": b["id"].to_numpy(),
                 "digest": b["digest"].to_numpy(),
-                "key": list(mix(keys.view(np.uint64) ^ group).view(np.int64)),
+                "anchor": list(anchors),
                 "near": list(near),
                 "whole": list(whole),
                 "wide": list(wide),
@@ -311,14 +306,29 @@ def _shingle_stage(shingle: int):
     return run
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """Pairs ``(u_a, u_b)``, ``u_a`` < ``u_b``, of ``prints(u, key, near, whole)`` with equal anchors and a codeword index in common there."""
-    rows = prints.select("u", "whole", F.posexplode(F.arrays_zip("key", "near")).alias("s", "e")).select("u", F.col("e.key").alias("key"), F.col("e.near").alias("near"), F.col("whole")[F.col("s") % WHOLE].alias("whole"))
-    common = stage(rows.where(F.pmod(F.xxhash64("u"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("common")).where(F.col("common") >= COMMON), "common")
-    every = rows.select("key", "u", "near", "whole", F.lit(-1).cast("tinyint").alias("side"))
-    if not common.isEmpty():
-        spread = rows.join(common, "key").mapInPandas(_spread, "key long, u long, near int, whole int, side tinyint")
-        every = every.join(common, "key", "left_anti").unionAll(spread)
+def candidates(prints: DataFrame, segments: int) -> DataFrame:
+    """Pairs ``(u_a, u_b)``, ``u_a`` < ``u_b``, of ``prints(u, field, anchor, near, whole)`` with equal anchors in a segment and a codeword index in common there."""
+    s, anchor = F.col("s"), F.col("anchor")
+    rows = prints.select("u", "field", "anchor", "whole", F.posexplode("near").alias("s", "near")).select(
+        "u", "near", F.col("whole")[s % WHOLE].alias("whole"), F.xxhash64("field", "s", anchor[2 * s], anchor[2 * s + 1]).alias("key"), "s", "anchor"
+    )
+
+    def common(rows: DataFrame, least: int) -> DataFrame:
+        counted = rows.where(F.pmod(F.xxhash64("u"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("common"))
+        return stage(counted.where(F.col("common") >= least), "common")
+
+    plain = F.lit(-1).cast("tinyint").alias("side")
+    every = rows.select("key", "u", "near", "whole", plain)
+    often = common(rows, COMMON)
+    if not often.isEmpty():
+        thirds = F.array(*(F.xxhash64("key", F.lit(j), anchor[2 * ((s + j) % segments)]) for j in range(1, THIRDS + 1)))
+        fine = rows.join(often, "key").select("u", "near", "whole", F.explode(thirds).alias("key"))
+        every = every.join(often, "key", "left_anti")
+        large = common(fine, BLOCK // SAMPLED)
+        if not large.isEmpty():
+            every = every.unionAll(fine.join(large, "key").mapInPandas(_spread, every.schema))
+            fine = fine.join(large, "key", "left_anti")
+        every = every.unionAll(fine.select("key", "u", "near", "whole", plain))
     return every.repartition("key").sortWithinPartitions("key").mapInPandas(_candidate_stage, "u_a long, u_b long").distinct()
 
 
@@ -336,13 +346,13 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     segments = segments or segments_for(threshold)
     present = docs.where(F.col("text").isNotNull()).select("field", F.col("id").cast("string").alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
     prints = stage(
-        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, key array<long>, near array<int>, whole array<int>, wide array<long>, n int").withColumn("u", F.monotonically_increasing_id()),
+        present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, anchor array<int>, near array<int>, whole array<int>, wide array<long>, n int").withColumn("u", F.monotonically_increasing_id()),
         "fingerprints",
     )
     copies = stage(prints.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     members = prints.select("u", "field", "id", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").select("u", "field", "id", F.coalesce("rep", "u").alias("rep"))
-    later = members.where("rep <> u").select("u")
-    found = stage(candidates(prints.join(later, "u", "left_anti").select("u", "key", "near", "whole")), "candidates")
+    later = stage(members.where("rep <> u").select("u"), "later")
+    found = stage(candidates(prints.join(later, "u", "left_anti").select("u", "field", "anchor", "near", "whole"), segments), "candidates")
     wa, wb = (prints.select(*(F.col(c).alias(f"{c}_{side}") for c in ("u", "n", "wide"))) for side in "ab")
     found = stage(found.join(wa, "u_a").join(wb, "u_b").where(may_reach(threshold)).select("u_a", "u_b"), "likely")
     involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")

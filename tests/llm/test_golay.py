@@ -107,11 +107,11 @@ def test_all_that_share_a_key_are_compared_exactly(spark):
     docs = _reposts(random.Random(8), 1000)
     df = spark.createDataFrame([("f", f"{i:04d}", t) for i, t in enumerate(docs)], "field string, id string, text string")
     got = {(r.id_a, r.id_b) for r in G.near_copy_rows(df, threshold=0.6, shingle=3).collect()}
-    _, keys, near, whole, *_ = G.fingerprints(docs, G.segments_for(0.6), 3, 20)
+    _, anchors, near, whole, *_ = G.fingerprints(docs, G.segments_for(0.6), 3, 20)
     of = [set() for _ in docs]
-    for s in range(keys.shape[1]):
+    for s in range(near.shape[1]):
         for r, index in zip(*G._indices_of(near[:, s], whole[:, s % G.WHOLE])):
-            of[r].add((int(keys[r, s]), int(index)))
+            of[r].add((s, *anchors[r, 2 * s : 2 * s + 2].tolist(), int(index)))
     true = [i for i in range(0, len(docs), 2) if _jaccard(docs[i], docs[i + 1], 3) >= 0.6]
     sharing = {(f"{i:04d}", f"{i + 1:04d}") for i in true if of[i] & of[i + 1]}
     assert len(sharing) > 500 and sharing - got == set()
