@@ -13,9 +13,9 @@ too few for large collections, and anchors alone gather all texts with a common
 buckets small.
 
 Rows are shuffled by anchors and decoded where they meet, so that a segment is sent once and not once for each of its
-indices. Anchors that a sample shows to be common take a third anchor, from each of ``THIRDS`` other segments in turn;
-``segments_for`` reckons with what that may miss. Buckets that are large even so are spread over their codeword
-indices and pairs of blocks before the shuffle, which changes where a pair is found, not which pairs are.
+indices. Anchors that a sample shows to be common take a third anchor, from each of ``MORE`` other segments in turn, and
+a fourth where these are common too; ``segments_for`` reckons with what that may miss. Buckets that are large even so are
+spread over their codeword indices and pairs of blocks before the shuffle, which changes where a pair is found, not which pairs are.
 
 Candidates are compared by an upper bound of their similarity, which no true pair can fall below, then exactly.
 """
@@ -42,9 +42,11 @@ WIDE = 4
 #: The greatest chance that segments miss a pair at the threshold, if vectors with equal anchors share an index in at least ``SHARE`` of cases.
 MISS, SHARE = 0.001, 0.9
 #: Words on each side of an anchor that its vector is drawn from, and how many vectors over all words there are.
-AROUND, WHOLE = 8, 3
+AROUND, WHOLE = 12, 3
 #: A text in ``SAMPLED`` is counted to find common anchors, which ``COMMON`` of these share; a bucket is compared in blocks of ``BLOCK`` texts.
-SAMPLED, COMMON, THIRDS, BLOCK = 4, 4, 3, 8192
+SAMPLED, COMMON, BLOCK = 8, 3, 8192
+#: How often common anchors take one more, and from how many segments.
+DEPTH, MORE = 2, 3
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,7 +113,7 @@ def _hashes(values: np.ndarray, count: int, seed: int) -> Iterator[np.ndarray]:
 
 def segments_for(threshold: float) -> int:
     """How many segments miss a pair at ``threshold`` in at most ``MISS`` of cases, even if all their anchors are common."""
-    hit = SHARE * threshold**2 * (1 - (1 - threshold) ** THIRDS)
+    hit = SHARE * threshold**2 * (1 - (1 - threshold) ** MORE) ** DEPTH
     return max(1, math.ceil(math.log(MISS) / math.log1p(-hit)))
 
 
@@ -194,21 +196,22 @@ def _fingerprint_stage(segments: int, shingle: int, min_words: int):
     return run
 
 
-def _indices_of(near: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and codeword indices of both vectors of each row, those over all words with a 13th bit."""
-    (r, i), (q, j) = golay().indices(near.astype(np.int64)), golay().indices(whole.astype(np.int64))
+def _indices_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and codeword indices of the two packed vectors of each row, those over all words with a 13th bit."""
+    (r, i), (q, j) = golay().indices(vectors & (1 << BITS) - 1), golay().indices(vectors >> BITS)
     return np.concatenate([r, q]), np.concatenate([i, j | 4096])
 
 
 def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows with common anchors, one for each codeword index and, in large buckets, pair of blocks.
 
-    A text of block b goes to the pairs (b, j) and (j, b) of blocks; ``side`` tells its place there, 2 standing for (b, b).
+    A text of block b goes to the pairs (b, j) and (j, b) of blocks; the place of the vectors, which are used up, tells
+    by -1 or -2 its place there, or by -3 that it is (b, b).
     """
     for b in batches:
         if not len(b):
             continue
-        rows, index = _indices_of(b["near"].to_numpy(), b["whole"].to_numpy())
+        rows, index = _indices_of(b["vectors"].to_numpy())
         u, key = b["u"].to_numpy()[rows], b["key"].to_numpy().view(np.uint64)[rows]
         key = mix(key ^ mix(index.astype(np.uint64) + np.uint64(1)))
         blocks = -(-b["common"].to_numpy()[rows] * SAMPLED // BLOCK)
@@ -217,8 +220,8 @@ def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         other = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         own = own[many]
         pair = (np.minimum(own, other) << 32 | np.maximum(own, other)).astype(np.uint64)
-        side = np.where(own == other, 2, np.where(own < other, 0, 1))
-        yield pd.DataFrame({"key": mix(key[many] ^ mix(pair + _SALT)).view(np.int64), "u": u[many], "near": np.int32(0), "whole": np.int32(0), "side": side.astype(np.int8)})
+        side = np.where(own == other, -3, np.where(own < other, -1, -2))
+        yield pd.DataFrame({"key": mix(key[many] ^ mix(pair + _SALT)).view(np.int64), "u": u[many], "vectors": side})
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +250,10 @@ def _within(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int
 
 
 def _across(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, side: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of an entry of side 0 and one of side 1 within each run."""
+    """All pairs of an entry of side -1 and one of side -2 within each run."""
     for f, size in zip(starts[sizes > 1], sizes[sizes > 1]):
         m = order[f : f + size]
-        x, y = m[side[m] == 0], m[side[m] == 1]
+        x, y = m[side[m] == -1], m[side[m] == -2]
         step = max(1, most // max(len(y), 1))
         for k in range(0, len(x) if len(y) else 0, step):
             yield np.repeat(x[k : k + step], len(y)), np.tile(y, len(x[k : k + step]))
@@ -258,22 +261,18 @@ def _across(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, side: np.n
 
 def _pairs_of(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Candidates among rows sorted by key, whose last key is whole."""
-    key, u, side = b["key"].to_numpy(), b["u"].to_numpy(), b["side"].to_numpy()
+    key, u, vectors = b["key"].to_numpy(), b["u"].to_numpy(), b["vectors"].to_numpy()
     starts, sizes = _runs(key)
-    shared = np.repeat(sizes > 1, sizes)
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    plain = np.nonzero(shared & (side < 0))[0]
+    plain = np.nonzero(np.repeat(sizes > 1, sizes) & (vectors >= 0))[0]
     found = []
     if len(plain):
-        rows, index = _indices_of(b["near"].to_numpy()[plain], b["whole"].to_numpy()[plain])
-        code = group[plain][rows] << 13 | index
+        rows, index = _indices_of(vectors[plain])
+        code = np.repeat(np.arange(len(sizes)), sizes)[plain][rows] << 13 | index
         by = np.argsort(code, kind="stable")
         found.append(_within(plain[rows[by]], *_runs(code[by])))
-    order = np.arange(len(key))
-    block = sizes * (side[starts] >= 0) if len(starts) else sizes
-    whole = side[starts] == 2 if len(starts) else np.zeros(0, bool)
-    found.append(_within(order, starts, block * whole))
-    found.append(_across(order, starts, block * ~whole, side))
+    first = vectors[starts]
+    found.append(_within(np.arange(len(key)), starts, np.where(first == -3, sizes, 0)))
+    found.append(_across(np.arange(len(key)), starts, np.where((first < 0) & (first > -3), sizes, 0), vectors))
     for i, j in itertools.chain(*found):
         x, y = np.minimum(u[i], u[j]), np.maximum(u[i], u[j])
         yield pd.DataFrame({"u_a": x, "u_b": y})[x != y].drop_duplicates()
@@ -307,28 +306,37 @@ def _shingle_stage(shingle: int):
 
 
 def candidates(prints: DataFrame, segments: int) -> DataFrame:
-    """Pairs ``(u_a, u_b)``, ``u_a`` < ``u_b``, of ``prints(u, field, anchor, near, whole)`` with equal anchors in a segment and a codeword index in common there."""
+    """Pairs ``(u_a, u_b)``, ``u_a`` < ``u_b``, of ``prints(u, field, anchor, near, whole)`` with equal anchors in a segment and a codeword index in common there.
+
+    Where the first two anchors are common, so must be a third and fourth one, of any of ``MORE`` segments each.
+    """
     s, anchor = F.col("s"), F.col("anchor")
     rows = prints.select("u", "field", "anchor", "whole", F.posexplode("near").alias("s", "near")).select(
-        "u", "near", F.col("whole")[s % WHOLE].alias("whole"), F.xxhash64("field", "s", anchor[2 * s], anchor[2 * s + 1]).alias("key"), "s", "anchor"
+        "u", F.shiftleft(F.col("whole")[s % WHOLE].cast("long"), BITS).bitwiseOR(F.col("near").cast("long")).alias("vectors"), F.xxhash64("field", "s", anchor[2 * s], anchor[2 * s + 1]).alias("key"), "s", "anchor"
     )
 
     def common(rows: DataFrame, least: int) -> DataFrame:
         counted = rows.where(F.pmod(F.xxhash64("u"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("common"))
         return stage(counted.where(F.col("common") >= least), "common")
 
-    plain = F.lit(-1).cast("tinyint").alias("side")
-    every = rows.select("key", "u", "near", "whole", plain)
-    often = common(rows, COMMON)
-    if not often.isEmpty():
-        thirds = F.array(*(F.xxhash64("key", F.lit(j), anchor[2 * ((s + j) % segments)]) for j in range(1, THIRDS + 1)))
-        fine = rows.join(often, "key").select("u", "near", "whole", F.explode(thirds).alias("key"))
-        every = every.join(often, "key", "left_anti")
-        large = common(fine, BLOCK // SAMPLED)
-        if not large.isEmpty():
-            every = every.unionAll(fine.join(large, "key").mapInPandas(_spread, every.schema))
-            fine = fine.join(large, "key", "left_anti")
-        every = every.unionAll(fine.select("key", "u", "near", "whole", plain))
+    found = None
+    for depth in range(DEPTH + 1):
+        often = common(rows, COMMON if depth < DEPTH else BLOCK // SAMPLED)
+        if often.isEmpty():
+            break
+        rare = rows.join(often, "key", "left_anti").select("key", "u", "vectors")
+        found = rare if found is None else found.unionAll(rare)
+        if is_small(often):
+            rows = rows.join(F.broadcast(often), "key")
+        else:  # anchors follow the rows that need them, so that no join sends them with every row
+            rows = rows.drop("anchor").join(often, "key").join(prints.select("u", "anchor"), "u")
+        if depth < DEPTH:
+            other = F.array(*(F.xxhash64("key", anchor[2 * ((s + MORE * depth + j) % segments)]) for j in range(1, MORE + 1)))
+            rows = rows.select("u", "vectors", F.explode(other).alias("key"), "s", "anchor")
+        else:
+            rows = rows.mapInPandas(_spread, found.schema)
+    rows = rows.select("key", "u", "vectors")
+    every = rows if found is None else found.unionAll(rows)
     return every.repartition("key").sortWithinPartitions("key").mapInPandas(_candidate_stage, "u_a long, u_b long").distinct()
 
 

@@ -110,7 +110,7 @@ def test_all_that_share_a_key_are_compared_exactly(spark):
     _, anchors, near, whole, *_ = G.fingerprints(docs, G.segments_for(0.6), 3, 20)
     of = [set() for _ in docs]
     for s in range(near.shape[1]):
-        for r, index in zip(*G._indices_of(near[:, s], whole[:, s % G.WHOLE])):
+        for r, index in zip(*G._indices_of(near[:, s].astype(np.int64) | whole[:, s % G.WHOLE].astype(np.int64) << G.BITS)):
             of[r].add((s, *anchors[r, 2 * s : 2 * s + 2].tolist(), int(index)))
     true = [i for i in range(0, len(docs), 2) if _jaccard(docs[i], docs[i + 1], 3) >= 0.6]
     sharing = {(f"{i:04d}", f"{i + 1:04d}") for i in true if of[i] & of[i + 1]}
@@ -129,7 +129,7 @@ def test_added_and_moved_blocks_are_found(spark):
 
 def test_segments_bound_the_chance_of_a_miss():
     for t in (0.05, 0.2, 0.3, 0.45, 0.6, 0.8, 0.99, 1.0):
-        assert (1 - G.SHARE * t**2) ** G.segments_for(t) <= G.MISS * 1.001
+        assert (1 - G.SHARE * t**2 * (1 - (1 - t) ** G.MORE) ** G.DEPTH) ** G.segments_for(t) <= G.MISS * 1.001
 
 
 ZIPF = [f"z{i}" for i in range(20000)]
@@ -199,15 +199,15 @@ def test_spread_rows_give_the_same_candidates():
     u = np.arange(600, dtype=np.int64)
     vectors = rng.integers(0, 1 << 23, 6)
     flips = lambda: np.array([sum({1 << int(p) for p in rng.integers(0, 23, 3)}) for _ in u])
-    near, whole = ((vectors[rng.integers(0, 6, len(u))] ^ flips()).astype(np.int32) for _ in "ab")
-    rows = pd.DataFrame({"key": np.sort(rng.integers(0, 2, len(u))), "u": u, "near": near, "whole": whole})
+    near, whole = (vectors[rng.integers(0, 6, len(u))] ^ flips() for _ in "ab")
+    rows = pd.DataFrame({"key": np.sort(rng.integers(0, 2, len(u))), "u": u, "vectors": whole << G.BITS | near})
     pairs = lambda b: {(x, y) for p in G._pairs_of(b.sort_values("key", ignore_index=True)) for x, y in zip(p["u_a"], p["u_b"])}
-    want = pairs(rows.assign(side=np.int8(-1)))
+    want = pairs(rows)
     assert len(want) > 1000
     for common in (10, 3 * G.BLOCK // G.SAMPLED):
         (spread,) = G._spread(iter([rows.assign(common=common)]))
         assert pairs(spread) == want
     # batches that cut a key apart give what whole ones do
-    many = pd.concat([rows.assign(key=rows["key"] + 2 * k, u=rows["u"] + 600 * k) for k in range(4)], ignore_index=True).assign(side=np.int8(-1))
+    many = pd.concat([rows.assign(key=rows["key"] + 2 * k, u=rows["u"] + 600 * k) for k in range(4)], ignore_index=True)
     cut = [many.iloc[i : i + 97] for i in range(0, len(many), 97)]
     assert len(pd.concat(G._candidate_stage(iter(cut))).drop_duplicates()) == 4 * len(want)
