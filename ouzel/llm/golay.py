@@ -38,7 +38,9 @@ from .words import mix, pieces, shingle_hashes, word_hashes
 GENERATOR = 0b101011100011
 BITS = 23
 #: 64-bit words of the print that candidates are compared by.
-WIDE = 4
+WIDE = 3
+#: Steps of a text's size (as ``SIZES`` times a logarithm) that go with its vectors.
+SIZES = 64
 #: The greatest chance that segments miss a pair at the threshold, if vectors with equal anchors share an index in at least ``SHARE`` of cases.
 MISS, SHARE = 0.001, 0.9
 #: Words on each side of an anchor that its vector is drawn from, and how many vectors over all words there are.
@@ -198,7 +200,7 @@ def _fingerprint_stage(segments: int, shingle: int, min_words: int):
 
 def _indices_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and codeword indices of the two packed vectors of each row, those over all words with a 13th bit."""
-    (r, i), (q, j) = golay().indices(vectors & (1 << BITS) - 1), golay().indices(vectors >> BITS)
+    (r, i), (q, j) = golay().indices(vectors & (1 << BITS) - 1), golay().indices(vectors >> BITS & (1 << BITS) - 1)
     return np.concatenate([r, q]), np.concatenate([i, j | 4096])
 
 
@@ -259,8 +261,8 @@ def _across(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, side: np.n
             yield np.repeat(x[k : k + step], len(y)), np.tile(y, len(x[k : k + step]))
 
 
-def _pairs_of(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Candidates among rows sorted by key, whose last key is whole."""
+def _pairs_of(b: pd.DataFrame, apart: int) -> Iterator[pd.DataFrame]:
+    """Candidates among rows sorted by key, whose last key is whole, with sizes at most ``apart`` steps apart."""
     key, u, vectors = b["key"].to_numpy(), b["u"].to_numpy(), b["vectors"].to_numpy()
     starts, sizes = _runs(key)
     plain = np.nonzero(np.repeat(sizes > 1, sizes) & (vectors >= 0))[0]
@@ -273,25 +275,34 @@ def _pairs_of(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
     first = vectors[starts]
     found.append(_within(np.arange(len(key)), starts, np.where(first == -3, sizes, 0)))
     found.append(_across(np.arange(len(key)), starts, np.where((first < 0) & (first > -3), sizes, 0), vectors))
+    size = vectors >> 2 * BITS
     for i, j in itertools.chain(*found):
+        like = np.nonzero((np.abs(size[i] - size[j]) <= apart) | (vectors[i] < 0))[0]
+        i, j = i[like], j[like]
         x, y = np.minimum(u[i], u[j]), np.maximum(u[i], u[j])
         yield pd.DataFrame({"u_a": x, "u_b": y})[x != y].drop_duplicates()
 
 
-def _candidate_stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[pd.DataFrame] = []
-    for b in itertools.chain(batches, [None]):
-        if b is not None:
-            held.append(b)
-            if sum(map(len, held)) < 200_000:
-                continue
-        if not held:
-            return
-        rows = pd.concat(held, ignore_index=True)
-        key = rows["key"].to_numpy()
-        cut = len(rows) if b is None or not len(rows) else int(np.searchsorted(key, key[-1]))  # the last key may go on
-        yield from _pairs_of(rows[:cut])
-        held = [rows[cut:]] if cut < len(rows) else []
+def _candidate_stage(threshold: float):
+    # Two rounded logarithms may differ by one step more than the logarithms do.
+    apart = math.ceil(-SIZES * math.log(threshold)) + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                if sum(map(len, held)) < 200_000:
+                    continue
+            if not held:
+                return
+            rows = pd.concat(held, ignore_index=True)
+            key = rows["key"].to_numpy()
+            cut = len(rows) if b is None or not len(rows) else int(np.searchsorted(key, key[-1]))  # the last key may go on
+            yield from _pairs_of(rows[:cut], apart)
+            held = [rows[cut:]] if cut < len(rows) else []
+
+    return run
 
 
 def _shingle_stage(shingle: int):
@@ -305,14 +316,16 @@ def _shingle_stage(shingle: int):
     return run
 
 
-def candidates(prints: DataFrame, segments: int) -> DataFrame:
-    """Pairs ``(u_a, u_b)``, ``u_a`` < ``u_b``, of ``prints(u, field, anchor, near, whole)`` with equal anchors in a segment and a codeword index in common there.
+def candidates(prints: DataFrame, segments: int, threshold: float) -> DataFrame:
+    """Pairs ``(u_a, u_b)``, ``u_a`` < ``u_b``, of ``prints(u, field, anchor, near, whole, n)`` with equal anchors in a segment and a codeword index in common there.
 
-    Where the first two anchors are common, so must be a third and fourth one, of any of ``MORE`` segments each.
+    Where the first two anchors are common, so must be a third and fourth one, of any of ``MORE`` segments each. Pairs of
+    which one has too few shingles for a similarity of ``threshold`` are left out.
     """
     s, anchor = F.col("s"), F.col("anchor")
-    rows = prints.select("u", "field", "anchor", "whole", F.posexplode("near").alias("s", "near")).select(
-        "u", F.shiftleft(F.col("whole")[s % WHOLE].cast("long"), BITS).bitwiseOR(F.col("near").cast("long")).alias("vectors"), F.xxhash64("field", "s", anchor[2 * s], anchor[2 * s + 1]).alias("key"), "s", "anchor"
+    size = F.floor(SIZES * F.log(F.col("n"))).cast("long")
+    rows = prints.select("u", "field", "anchor", "whole", size.alias("size"), F.posexplode("near").alias("s", "near")).select(
+        "u", F.shiftleft("size", 2 * BITS).bitwiseOR(F.shiftleft(F.col("whole")[s % WHOLE].cast("long"), BITS)).bitwiseOR(F.col("near").cast("long")).alias("vectors"), F.xxhash64("field", "s", anchor[2 * s], anchor[2 * s + 1]).alias("key"), "s", "anchor"
     )
 
     def common(rows: DataFrame, least: int) -> DataFrame:
@@ -337,7 +350,7 @@ def candidates(prints: DataFrame, segments: int) -> DataFrame:
             rows = rows.mapInPandas(_spread, found.schema)
     rows = rows.select("key", "u", "vectors")
     every = rows if found is None else found.unionAll(rows)
-    return every.repartition("key").sortWithinPartitions("key").mapInPandas(_candidate_stage, "u_a long, u_b long").distinct()
+    return every.repartition("key").sortWithinPartitions("key").mapInPandas(_candidate_stage(threshold), "u_a long, u_b long").distinct()
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -360,7 +373,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     copies = stage(prints.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
     members = prints.select("u", "field", "id", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").select("u", "field", "id", F.coalesce("rep", "u").alias("rep"))
     later = stage(members.where("rep <> u").select("u"), "later")
-    found = stage(candidates(prints.join(later, "u", "left_anti").select("u", "field", "anchor", "near", "whole"), segments), "candidates")
+    found = stage(candidates(prints.join(later, "u", "left_anti").select("u", "field", "anchor", "near", "whole", "n"), segments, threshold), "candidates")
     wa, wb = (prints.select(*(F.col(c).alias(f"{c}_{side}") for c in ("u", "n", "wide"))) for side in "ab")
     found = stage(found.join(wa, "u_a").join(wb, "u_b").where(may_reach(threshold)).select("u_a", "u_b"), "likely")
     involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")

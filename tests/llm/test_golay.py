@@ -201,7 +201,7 @@ def test_spread_rows_give_the_same_candidates():
     flips = lambda: np.array([sum({1 << int(p) for p in rng.integers(0, 23, 3)}) for _ in u])
     near, whole = (vectors[rng.integers(0, 6, len(u))] ^ flips() for _ in "ab")
     rows = pd.DataFrame({"key": np.sort(rng.integers(0, 2, len(u))), "u": u, "vectors": whole << G.BITS | near})
-    pairs = lambda b: {(x, y) for p in G._pairs_of(b.sort_values("key", ignore_index=True)) for x, y in zip(p["u_a"], p["u_b"])}
+    pairs = lambda b: {(x, y) for p in G._pairs_of(b.sort_values("key", ignore_index=True), 0) for x, y in zip(p["u_a"], p["u_b"])}
     want = pairs(rows)
     assert len(want) > 1000
     for common in (10, 3 * G.BLOCK // G.SAMPLED):
@@ -210,4 +210,4 @@ def test_spread_rows_give_the_same_candidates():
     # batches that cut a key apart give what whole ones do
     many = pd.concat([rows.assign(key=rows["key"] + 2 * k, u=rows["u"] + 600 * k) for k in range(4)], ignore_index=True)
     cut = [many.iloc[i : i + 97] for i in range(0, len(many), 97)]
-    assert len(pd.concat(G._candidate_stage(iter(cut))).drop_duplicates()) == 4 * len(want)
+    assert len(pd.concat(G._candidate_stage(0.6)(iter(cut))).drop_duplicates()) == 4 * len(want)
