@@ -1,3 +1,4 @@
+import pyspark.sql.functions as F
 import math
 
 import numpy as np
@@ -85,3 +86,11 @@ def test_resolution_is_in_the_bound(spark):
     for r in B.percentiles(B.value_counts(df, ["g"], "v", resolution=0.01), ["g"], shares, resolution=0.01).collect():
         assert r.value == exact[r.percentile] or 0 < abs(r.value - exact[r.percentile]) <= r.error_bound + 1e-12
         assert r.error_bound == (0 if r.value == float("inf") else 0.005)
+
+
+def test_top_n_beyond_the_limit_of_spark(spark, monkeypatch):
+    monkeypatch.setattr(topn, "LIMITED", 5)
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.lit(1.0).alias("s"), "id")
+    got = topn.top_n(df, ["g"], "s", ["id"], 7)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") >= 2
+    assert {(r.g, r.id, r["rank"]) for r in got.collect()} == {(i % 3, i, i // 3 + 1) for i in range(21)}
