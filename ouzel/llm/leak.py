@@ -11,12 +11,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import stage
 from .lookalike import consistent_form
 from .words import mix, pieces, word_hashes
 
@@ -108,12 +110,12 @@ class Patterns:
 
 def _search_stage(patterns):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = patterns.value
+        p, names = patterns.value
         for b in pieces(batches, "form"):
             flat, sizes = word_hashes([_MARKS.sub("", t) for t in b["form"].tolist()])
             text, item = p.search(flat, sizes)
-            hits = pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[text], "item_id": item})
-            yield hits.groupby(["doc_id", "item_id"]).size().reset_index(name="windows")
+            hits = pd.DataFrame({"row": text, "item": item}).groupby(["row", "item"]).size().reset_index(name="windows")
+            yield pd.DataFrame({"doc_id": b["doc_id"].take(hits["row"]).reset_index(drop=True), "item_id": names.take(hits["item"]).reset_index(drop=True), "windows": hits["windows"]})
 
     return run
 
@@ -124,27 +126,35 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     ``windows`` counts occurrences of such runs. Words are compared in lower case after
     ``consistent_form``. The protected passages are sent out in blocks of at most ``block_chars``
     characters, each searched by a pass of its own, so what is sent has a bound however many items there
-    are. Null and short texts and passages and empty tables give no rows; a repeated document id gives its
-    row once per physical row. Texts are searched whole.
+    are; if there are several, forms of the corpus are staged once and each pass's findings too. Ids may be of any
+    type. Null and short texts and passages and empty tables give no rows; a repeated document id counts as one
+    document, with the windows of all its rows. Texts are searched whole.
     """
     spark: SparkSession = docs.sparkSession
-    own = items.select(F.col(item_id).cast("long").alias("item"), F.explode(F.array(*passages)).alias("passage")).where("passage is not null")
-    corpus = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = items.select(F.col(item_id).alias("item"), F.explode(F.array(*passages)).alias("passage")).where("passage is not null")
+    corpus = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kinds = [d.schema[0].dataType for d in (corpus, own)]
+    schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, windows long"
     forms = consistent_form(corpus, "text", ["doc_id"])
-    found = None
-    for ids, texts in _in_blocks(consistent_form(own, "passage", ["item"]).toLocalIterator(), block_chars):
-        patterns = spark.sparkContext.broadcast(Patterns.build(ids, texts, length))
-        part = forms.mapInPandas(_search_stage(patterns), "doc_id long, item_id long, windows long")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, windows long")
-    return found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"))
+    blocks = _in_blocks(consistent_form(own, "passage", ["item"]).toLocalIterator(), block_chars)
+    block, found = next(blocks, None), []
+    while block is not None:
+        after = next(blocks, None)
+        if after is not None and not found:
+            forms = stage(forms, "forms")
+        ids, texts = block
+        at = {x: i for i, x in enumerate(dict.fromkeys(ids))}
+        patterns = spark.sparkContext.broadcast((Patterns.build([at[x] for x in ids], texts, length), pd.Series(list(at), dtype=object)))
+        part = forms.mapInPandas(_search_stage(patterns), schema).groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"))
+        found.append(stage(part, "leaks") if found or after is not None else part)
+        block = after
+    if not found:
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows")) if len(found) > 1 else found[0]
 
 
 def _in_blocks(rows, most: int):
-    ids: list[int] = []
-    texts: list[str] = []
-    size = 0
+    ids, texts, size = [], [], 0
     for r in rows:
         if size and size + len(r[1]) > most:
             yield ids, texts
