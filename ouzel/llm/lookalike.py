@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyspark.sql.functions as F
@@ -19,9 +23,44 @@ ALIKE = (
     ("АВЕКМНОРСТУХЅІЈԚԜаеорсухѕіјһԁԛԝӏЁёЇї", "ABEKMHOPCTYXSIJQWaeopcyxsijhdqwlËëÏï"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"),
     ("\u212a\u212b\u2010\u2011", "K\u00c5--"),
+    ("ѴѵҮӀӔӕ", "VvYlÆæ"),
+    ("αγικνρυχϲϳͿϹ", "ayikvpuxcjJC"),
+    ("ՏՍՕԼօսհոցյզ", "SUOLouhngjq"),
+    ("ɑɡ", "ag"),
 )
-# Ligatures.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+# Ways of decomposition (as Unicode calls them) that keep a character's look.
+SAME_LOOK = ("<font>", "<wide>", "<narrow>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>")
+# Characters with such a decomposition that look otherwise.
+OTHER_LOOK = "\u017f\u2024"
+
+
+@cache
+def compatibility() -> dict[str, str]:
+    """Letters, numbers and points that Unicode calls compatibility forms of others of the same look: their plain forms.
+
+    Full-width ASCII and blanks have mappings of their own. Raised, lowered and circled signs look otherwise and stay.
+    """
+    out = {}
+    for i in range(0xA0, min(0x30000, sys.maxunicode)):
+        c = chr(i)
+        way = unicodedata.decomposition(c)
+        if way.startswith(SAME_LOOK) and c not in OTHER_LOOK and unicodedata.category(c)[0] in "LNP" and not 0xFF01 <= i < 0xFF5F:
+            plain = unicodedata.normalize("NFKC", c)
+            if plain.isascii() or not plain.startswith(" "):
+                out[c] = plain
+    return out
+
+
+def _class(characters: str) -> str:
+    """A regular expression's class of characters, as ranges."""
+    codes = sorted(map(ord, characters))
+    runs: list[list[int]] = []
+    for x in codes:
+        if runs and x == runs[-1][1] + 1:
+            runs[-1][1] = x
+        else:
+            runs.append([x, x])
+    return "[" + "".join(f"\\x{{{a:X}}}" + (f"-\\x{{{b:X}}}" if b > a else "") for a, b in runs) + "]"
 
 
 def _quoted(s: str) -> str:
@@ -31,16 +70,25 @@ def _quoted(s: str) -> str:
 def form_sql(column: str) -> str:
     """The DuckDB expression of the consistent form of ``column``.
 
-    Invisible characters go; full-width forms, blanks and ligatures become plain; accents are composed;
+    Invisible characters go; compatibility forms of the same look (full-width and half-width forms, blanks, ligatures,
+    mathematical letters, Roman numerals, dots in one sign) become plain; accents are composed;
     look-alike letters become Latin throughout, in words of any script, so that equal looks give equal
     forms. Case, accents, digits, line breaks and the number of blanks stay. Null stays null.
+
+    Forms are mapped only in texts that have any, as ``translate`` reads its tables anew for each text.
     """
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     plain = "".join(map(chr, range(0x21, 0x7F)))
+    forms = compatibility()
+    one = {c: p for c, p in forms.items() if len(p) == 1}
+    many = {c: p for c, p in forms.items() if len(p) > 1 and (p.isascii() or re.fullmatch(r"[\w]{2,3}", p) and ord(c) < 0x600)}
     x = f"regexp_replace({column}, '[{INVISIBLE}]', '', 'g')"
-    for many, few in LIGATURES.items():
-        x = f"replace({x}, {_quoted(many)}, {_quoted(few)})"
     x = f"translate({x}, {_quoted(wide + BLANKS)}, {_quoted(plain + ' ' * len(BLANKS))})"
+    longer = "_x"
+    for c, p in many.items():
+        longer = f"replace({longer}, {_quoted(c)}, {_quoted(p)})"
+    longer = f"translate({longer}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+    x = f"list_transform([{x}], lambda _x: CASE WHEN regexp_matches(_x, '{_class(''.join([*one, *many]))}') THEN {longer} ELSE _x END)[1]"
     x = f"nfc_normalize({x})"
     x = f"translate({x}, {_quoted(''.join(a for a, _ in ALIKE))}, {_quoted(''.join(b for _, b in ALIKE))})"
     return f"nfc_normalize({x})"

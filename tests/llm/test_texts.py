@@ -176,3 +176,31 @@ def test_clashing_names_are_refused(spark):
     for call in (lambda: mixing.token_counts(df, "text", ["tokens"]), lambda: quality.statistics(df, "text", ["lang"]), lambda: mojibake.garbled(df, "text", ["source"]), lambda: lookalike.consistent_form(df, "text", ["form"])):
         with pytest.raises(ValueError):
             call()
+
+
+def test_leaks_with_ids_of_any_type_in_several_blocks(spark):
+    run = [f"word{i}" for i in range(14)]
+    docs = spark.createDataFrame([("a", " ".join(run)), ("a", "x " + " ".join(run[:12])), ("b", " ".join(run[1:13])), ("c", " ".join(run[:11])), ("d", None)], "doc string, t string")
+    items = spark.createDataFrame([("i", " ".join(run)), ("j", " ".join(run[1:13])), ("k", None)], "item string, p string")
+    want = {("a", "i", 4), ("a", "j", 1), ("b", "i", 1), ("b", "j", 1)}
+    for block in (1, 1 << 20):
+        assert {tuple(r) for r in leak.leaked(docs, "doc", "t", items, "item", ["p"], 12, block).collect()} == want
+
+
+# What a reader takes for the same, written out here and not taken from the operator.
+LOOKS = {
+    "ρaper": "paper", "νiew": "view", "αlpha": "alpha", "𝐇𝐞𝐥𝐥𝐨": "Hello", "Ⅷ": "VIII", "ⅼ": "l", "ｶﾞｷﾞ": "ガギ", "wait…": "wait...",
+    "ﬁne ﬅyle": "fine style", "Ａ１！": "A1!", "µm": "μm", "ﻙ": "ك", "e\u0301": "é", "օne": "one", "ѵiew": "view", "а\u0301": "á", "со\u00adde": "code", "a\u3000b": "a b",
+}
+DIFFER = ["①", "1", "²", "2", "½", "ſ", "s", "é", "e", "A", "a", "end", "end.", "a b", "ab", "m³", "m3"]
+
+
+def test_looks_against_a_list(spark):
+    pairs = list(LOOKS.items())
+    df = spark.createDataFrame([(i, x) for i, (a, b) in enumerate(pairs) for x in (a, b)], "id long, text string")
+    forms = {}
+    for r in lookalike.consistent_form(df, "text", ["id"]).collect():
+        forms.setdefault(r.id, set()).add(r.form)
+    assert [pairs[i] for i, f in forms.items() if len(f) > 1] == []
+    others = spark.createDataFrame(list(enumerate(DIFFER)), "id long, text string")
+    assert lookalike.consistent_form(others, "text", ["id"]).select("form").distinct().count() == len(DIFFER)
