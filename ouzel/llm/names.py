@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
@@ -14,6 +17,8 @@ from ..operators.components import connected_components
 from ..session import stage
 
 RADIUS = 2
+#: Pivots of a block besides the empty string; by how many a large block is cut; from how many names a block is large.
+PIVOTS, RINGED, SMALL = 7, 2, 4096
 
 # Given names and their common short forms.
 SHORT_FORMS = {
@@ -63,6 +68,11 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+@lru_cache(1 << 16)
+def _near_kind(w: str) -> str | None:
+    return _near_word(w, _KIND)
+
+
 def _near_word(w: str, vocabulary: dict[str, str], least: int = 5) -> str | None:
     """The vocabulary's word for ``w``: itself or one that is a slip of the pen away."""
     if w in vocabulary:
@@ -82,6 +92,7 @@ def _near_word(w: str, vocabulary: dict[str, str], least: int = 5) -> str | None
 _GIVEN = {g: g for g in SHORT_FORMS}
 
 
+@lru_cache(1 << 16)
 def given_name(w: str) -> str:
     """The full form of a given name, of its short forms and of slips of either."""
     if len(w) == 1 or w in SHORT_FORMS:
@@ -128,7 +139,7 @@ def parse(name: str) -> tuple[str, str, str, str] | None:
         return None
     kinds: dict[int, str] = {}
     for i, w in enumerate(plain):
-        k = _near_word(w, _KIND)
+        k = _near_kind(w)
         if k and not (len(w) == 2 and w == "ed" and i == len(plain) - 1 and len(plain) == 2 and comma):
             kinds[i] = k
     core = [w for i, w in enumerate(plain) if i not in kinds]
@@ -159,30 +170,93 @@ def _parse_stage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(parsed, columns=["name", "kind", "core", "given", "middle"])
 
 
-def radius_pairs(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+def radius_pairs(points: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """All pairs ``(block, x, y)``, x < y, of different ``core`` of one ``block`` within ``radius`` edits.
 
-    The metric is Levenshtein's, with blocks infinitely far apart. Each block gets about the square root
-    of its size in pivots, the first by hash. A point lives in the cell of its nearest pivot. It is also
-    copied to every cell whose pivot is at most 2 * radius farther: if d(x, y) <= radius and x lives with
-    pivot p, then d(y, p) <= d(x, p) + radius <= d(x, q) + radius <= d(y, q) + 2 * radius for each q, so y
-    reaches x's cell. Within a cell, distances to the pivot that differ by more than the radius rule a pair
-    out before the edit distance is computed.
+    The metric is Levenshtein's, with blocks infinitely far apart. Each block has up to ``PIVOTS`` pivots, the first by
+    hash, and the empty string, whose distance is the length. By the triangle inequality, two names within the radius
+    differ in no distance to a pivot by more than it. A block of more than ``small`` names is cut into cells by its
+    names' distances to the first ``RINGED`` pivots, in rings of 2 * radius + 1. A name lives in one cell. It is copied to the
+    next outer ring if it lies within the radius of it; so a pair meets in the outer one of both names' rings of each
+    pivot, and only there may it be found, as in any other cell they meet in both are copies. A name has
+    about 1.4 ** ``RINGED`` places. Within a cell, which a task holds, distances to all pivots are compared before the edit distance is computed.
     """
     pts = stage(points.select("block", "core").distinct(), "points")
     h = F.xxhash64("core")
     size = pts.groupBy("block").agg(F.count("*").alias("n"), F.min(F.struct(h, "core")).alias("least"))
-    chosen = (F.pmod(h, F.lit(1_000_000_000)) < 1e9 / F.sqrt("n")) | (F.col("core") == F.col("least.core"))
-    pivots = stage(pts.join(size, "block").where(chosen).select("block", h.alias("pivot"), F.col("core").alias("centre")), "pivots")
-    far = pts.join(pivots, "block").select("block", "core", "pivot", F.levenshtein("core", "centre").alias("d"))
-    near = far.withColumn("least", F.min("d").over(Window.partitionBy("block", "core"))).where(F.col("d") <= F.col("least") + 2 * radius)
-    near = near.withColumn("home", F.row_number().over(Window.partitionBy("block", "core").orderBy("d", "pivot")) == 1)
-    near = stage(near.select("block", "pivot", "core", "d", "home"), "cells")
-    x = near.where("home").select("block", "pivot", F.col("core").alias("x"), F.col("d").alias("dx"))
-    y = near.select("block", "pivot", F.col("core").alias("y"), F.col("d").alias("dy"))
-    close = (F.abs(F.col("dx") - F.col("dy")) <= radius) & (F.abs(F.length("x") - F.length("y")) <= radius) & (F.col("x") != F.col("y"))
-    found = x.join(y, ["block", "pivot"]).where(close).where(F.levenshtein("x", "y", radius).between(1, radius))
-    return found.select("block", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    chosen = (F.pmod(h, F.lit(1_000_000_000)) < 3e9 * PIVOTS / F.col("n")) | (F.col("core") == F.col("least.core"))
+    # Some three times as many as needed are gathered for each block, in any number of names.
+    centres = _beside(pts, size).where(chosen).groupBy("block", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct(h.alias("h"), "core"))), 1, PIVOTS).alias("p"))
+    centres = stage(centres, "pivots")
+    distance = [F.length("core"), *(F.coalesce(F.levenshtein("core", F.get(F.col("p"), i)["core"]), F.lit(0)) for i in range(PIVOTS))]
+    far = _beside(pts, centres).select("block", "core", "n", *(d.cast("short").alias(f"d{i}") for i, d in enumerate(distance)))
+    ring = 2 * radius + 1
+    cells = F.when(F.col("n") > small, F.array(*(F.floor(F.col(f"d{i}") / ring).cast("int") for i in range(RINGED)))).otherwise(F.array(*[F.lit(0)] * RINGED))
+    near = F.array(*(((F.col("n") > small) & (F.col(f"d{i}") % ring >= ring - radius)).cast("int") for i in range(RINGED)))
+    placed = far.withColumn("cells", cells).withColumn("near", near).withColumn("copy", F.explode(F.array(*map(F.lit, range(1 << RINGED)))))
+    bit = lambda i: F.shiftright("copy", i).bitwiseAND(F.lit(1))
+    placed = placed.where(F.col("copy").bitwiseAND(sum((F.shiftleft(F.get("near", i), i) for i in range(RINGED)), F.lit(0))) == F.col("copy"))
+    placed = placed.select("block", "core", F.concat_ws(",", *(F.get("cells", i) + bit(i) for i in range(RINGED))).alias("cell"), "copy", *(f"d{i}" for i in range(PIVOTS + 1)))
+    placed = stage(placed, "cells")
+    # Cells are small in bytes and dear to compare: a number of partitions is asked for, so that they aren't put together.
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed.repartition(tasks, "block", "cell").sortWithinPartitions("block", "cell")
+    close = rows.mapInPandas(_cell_stage(radius), "block string, x string, y string")
+    return close.where(F.levenshtein("x", "y", radius).between(1, radius)).select("block", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _cell_stage(radius: int):
+    """Pairs within each cell whose distances to all pivots allow the radius, each in one cell only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in itertools.chain(batches, [None]):
+            if b is not None and len(b):
+                held.append(b)
+                first, last = held[0].iloc[0], b.iloc[-1]
+                if first["block"] == last["block"] and first["cell"] == last["cell"]:
+                    continue
+            if not held or b is not None and not len(b):
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = rows.iloc[-1]
+            open_ = ((rows["block"] == last["block"]) & (rows["cell"] == last["cell"])).to_numpy() & (b is not None)  # the last cell may go on
+            for (block, _), cell in rows[~open_].groupby(["block", "cell"], sort=False):
+                yield from _within_cell(block, cell, radius)
+            held = [rows[open_]] if open_.any() else []
+
+    return run
+
+
+def _within_cell(block: str, cell: pd.DataFrame, radius: int, most: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    cell = cell.sort_values("d0")
+    names, copy = cell["core"].to_numpy(object), cell["copy"].to_numpy()
+    d = [cell[f"d{i}"].to_numpy(np.int16) for i in range(PIVOTS + 1)]
+    start = 0
+    while start < len(cell) - 1:
+        until = start + 1
+        reach = int(np.searchsorted(d[0], d[0][start] + radius, "right"))
+        while until < len(cell) and (until + 1 - start) * (reach - start) <= most:
+            reach = int(np.searchsorted(d[0], d[0][until] + radius, "right"))
+            until += 1
+        here, there = np.arange(start, until), np.arange(start, reach)
+        ok = (here[:, None] < there) & (copy[here][:, None] & copy[there] == 0)
+        for v in d[:3]:
+            ok &= np.abs(v[here][:, None] - v[there]) <= radius
+        i, j = np.nonzero(ok)
+        for v in d[3:]:
+            like = np.abs(v[here[i]] - v[there[j]]) <= radius
+            i, j = i[like], j[like]
+        if len(i):
+            yield pd.DataFrame({"block": block, "x": names[here[i]], "y": names[there[j]]})
+        start = until
+
+
+def _beside(points: DataFrame, blocks: DataFrame, salts: int = 64) -> DataFrame:
+    """``points`` with the columns of ``blocks``, which has a row for each block; no large block gathers in one task."""
+    salt = F.pmod(F.xxhash64("core"), F.lit(salts))
+    spread = blocks.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return points.withColumn("salt", salt.cast("int")).join(spread, ["block", "salt"]).drop("salt")
 
 
 def entities(names: DataFrame, column: str, radius: int = RADIUS) -> DataFrame:

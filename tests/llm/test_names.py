@@ -30,6 +30,16 @@ def test_initial_of_several_stays_alone(spark):
     assert N.same_name_pairs(df, "brand").count() == 0
 
 
+def _lev(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
 def test_radius_join_is_complete(spark):
     import random
 
@@ -43,18 +53,30 @@ def test_radius_join_is_complete(spark):
         names.add("".join(s))
     rows = [(f"b{len(n) % 2}" if n in base else "b0", n) for n in names]
 
-    def lev(a, b):
-        last = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row = [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-            last = row
-        return last[-1]
-
-    want = {(b, min(x, y), max(x, y)) for (b, x), (c, y) in itertools.combinations(rows, 2) if b == c and x != y and lev(x, y) <= 2}
-    got = {(r.block, r.x, r.y) for r in N.radius_pairs(spark.createDataFrame(rows, "block string, core string")).collect()}
-    assert got == want
+    want = {(b, min(x, y), max(x, y)) for (b, x), (c, y) in itertools.combinations(rows, 2) if b == c and x != y and _lev(x, y) <= 2}
+    df = spark.createDataFrame(rows, "block string, core string")
+    for small in (0, 100, N.SMALL):  # cut into cells, in part and not at all
+        got = [(r.block, r.x, r.y) for r in N.radius_pairs(df, small=small).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_a_large_block_is_cut_into_cells(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    parts = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    rows = [("person", "".join(rng.choices(parts, k=rng.randint(2, 5)))) for _ in range(8000)]
+    seen = {}
+    stage = N.stage
+    monkeypatch.setattr(N, "stage", lambda df, label="stage": seen.setdefault(label, stage(df, label)))
+    got = {(r.x, r.y) for r in N.radius_pairs(spark.createDataFrame(rows, "block string, core string")).collect()}
+    cells = [r["count"] for r in seen["cells"].groupBy("cell").count().collect()]
+    names = seen["points"].count()
+    assert names > N.SMALL and sum(cells) <= 3 * names and len(cells) > 3
+    some = sorted({c for _, c in rows})[:: names // 40]
+    every = sorted({c for _, c in rows})
+    for a in some:
+        assert {b for b in every if b != a and abs(len(a) - len(b)) <= 2 and _lev(a, b) <= 2} == {y if x == a else x for x, y in got if a in (x, y)}
 
 
 @pytest.mark.parametrize("a,b,d", [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "abd", 1), ("abc", "", 3), ("publishers", "pubaishers", 1)])
