@@ -6,6 +6,7 @@ required. Scores are columns; one batch is written per round.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -24,26 +25,36 @@ Judge = Callable[[Spec], float]
 _ROW = "round int, query string, family string, core array<string>, effect double, p double, n long, validity double, novelty double, overall double, decision string"
 
 
-def mode_weights(insights: int, clusters: int, chains: int, conflicts: int) -> dict[str, float]:
-    """How likely each way of choosing a focus is."""
-    if not insights:
-        return {"explore": 1.0, "refine": 0.0, "conflict": 0.0, "global": 0.0}
-    w = {"explore": 0.3, "refine": 0.4, "conflict": 0.3, "global": 0.15 if insights >= 12 else 0.0}
-    if clusters <= 3 and insights < 10:
-        w["explore"] *= 2
-        w["global"] *= 0.2
-    elif chains < 0.15 * insights:
-        w["refine"] *= 1.5
-    elif clusters < 5 and chains > 0.3 * insights:
-        w["global"] *= 1.5
-        w["explore"] *= 1.2
-    if conflicts:
-        w["conflict"] *= 1.5
-        w["global"] *= 0.5
-    else:
-        w["conflict"] *= 0.3
-    total = sum(w.values())
-    return {k: v / total for k, v in w.items()}
+# How likely each way of choosing a focus is before anything is known of the graph.
+FOCUS = {"explore": 0.3, "refine": 0.4, "conflict": 0.3, "global": 0.15}
+# Findings from which a look at the whole is taken.
+GLOBAL_FROM = 12
+_ALL = float("inf")
+# Circumstances, as half-open ranges of what is measured, and by how much each then changes the weights.
+# Of the rows of one heading the first that fits counts.
+CHANGES = (
+    ("graph", {"graph": (0, 1), "insights": (0, 10)}, {"explore": 2.0, "global": 0.2}),
+    ("graph", {"graph": (0, 1)}, {}),
+    ("graph", {"insights": (0, 10), "clusters": (0, 4)}, {"explore": 2.0, "global": 0.2}),
+    ("graph", {"chains per finding": (0, 0.15)}, {"refine": 1.5}),
+    ("graph", {"chains per finding": (math.nextafter(0.3, 1), _ALL), "clusters": (0, 5)}, {"explore": 1.2, "global": 1.5}),
+    ("conflicts", {"conflicts": (1, _ALL)}, {"conflict": 1.5, "global": 0.5}),
+    ("conflicts", {}, {"conflict": 0.3}),
+)
+
+
+def mode_weights(insights: int, clusters: int, chains: int, conflicts: int, graph: bool = True) -> dict[str, float]:
+    """How likely each way of choosing a focus is, by ``FOCUS`` and ``CHANGES``; without ``graph``, its measures say nothing."""
+    if insights <= 0:
+        return {way: float(way == "explore") for way in FOCUS}
+    measured = {"graph": int(graph), "insights": insights, "clusters": clusters, "chains per finding": chains / insights, "conflicts": conflicts}
+    fitting: dict[str, dict[str, float]] = {}
+    for heading, ranges, factors in CHANGES:
+        if all(low <= measured[m] < high for m, (low, high) in ranges.items()):
+            fitting.setdefault(heading, factors)
+    start = FOCUS | ({} if insights >= GLOBAL_FROM else {"global": 0.0})
+    weights = {way: math.prod([w, *(f.get(way, 1.0) for f in fitting.values())]) for way, w in start.items()}
+    return {way: w / sum(weights.values()) for way, w in weights.items()}
 
 
 def refinement_anchors(found: DataFrame) -> DataFrame:

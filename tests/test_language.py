@@ -217,3 +217,20 @@ def test_kendall_and_normality(spark):
     assert (r.details["concordant"], r.details["discordant"]) == (c, d) and r.effect_size == pytest.approx((c - d) / np.sqrt((n - ta) * (n - tb))) and r.p_value < 0.01
     normal = spark.createDataFrame([(float(x),) for x in rng.normal(size=3000)], "y double")
     assert recipes.jarque_bera(normal, "y").p_value > 0.001 > recipes.jarque_bera(normal.selectExpr("exp(y) as y"), "y").p_value
+
+
+@pytest.mark.parametrize(
+    "state,weights",
+    [
+        ((20, 4, 2, 1, True), {"explore": 0.3, "refine": 0.6, "conflict": 0.45, "global": 0.075}),  # few chains, conflicts
+        ((20, 4, 8, 0, True), {"explore": 0.36, "refine": 0.4, "conflict": 0.09, "global": 0.225}),  # dense, many chains
+        ((20, 6, 8, 0, True), {"explore": 0.3, "refine": 0.4, "conflict": 0.09, "global": 0.15}),
+        ((20, 4, 6, 0, True), {"explore": 0.3, "refine": 0.4, "conflict": 0.09, "global": 0.15}),  # exactly 0.3
+        ((5, 3, 0, 0, True), {"explore": 0.6, "refine": 0.4, "conflict": 0.09, "global": 0.0}),
+        ((5, 5, 0, 0, False), {"explore": 0.6, "refine": 0.4, "conflict": 0.09, "global": 0.0}),  # without structure
+        ((20, 20, 0, 1, False), {"explore": 0.3, "refine": 0.4, "conflict": 0.45, "global": 0.075}),
+        ((0, 0, 0, 3, True), {"explore": 1.0, "refine": 0.0, "conflict": 0.0, "global": 0.0}),
+    ],
+)
+def test_mode_weights(state, weights):
+    assert mode_weights(*state) == pytest.approx({k: v / sum(weights.values()) for k, v in weights.items()})
