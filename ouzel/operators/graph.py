@@ -204,14 +204,22 @@ def structurally_similar(insights: DataFrame, queries: DataFrame, least: float =
 
 
 def structural_novelty(insights: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``insight_id, novelty`` of candidates against earlier insights: 0.5 without columns, 0.15 within one
-    module, 0.1 for the very same columns, else one minus the greatest overlap."""
+    """``insight_id, novelty`` of candidates against earlier insights.
+
+    The first rule that fits counts: 0.5 without columns; 0.1 if two numbered columns (Q12 and the like) are at most 3
+    apart, as items of one battery are; 0.15 for two or more columns of one module; 0.1 for the very same columns as an
+    earlier one; else one minus the greatest overlap.
+    """
     cand = described(candidates).select("insight_id", "core", "modules", "created_at")
     old = described(insights).where("size(core) > 0").select(F.col("core").alias("ocore"), F.col("created_at").alias("seen")).groupBy("ocore").agg(F.min("seen").alias("seen"))
     near = cand.withColumn("col", F.explode("core")).join(old.withColumn("col", F.explode("ocore")), "col").where("seen < created_at")
     best = near.groupBy("insight_id").agg(F.max(jaccard(F.col("core"), F.col("ocore"))).alias("best"))
     x = cand.join(best, "insight_id", "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
-    score = F.when(F.size("core") == 0, 0.5).when(F.col("best") == 1, 0.1).when(F.size("modules") == 1, 0.15).otherwise(1 - F.col("best"))
+    numbers = F.transform(F.filter("core", lambda c: c.rlike(r"^Q\d+")), lambda c: F.regexp_extract(c, r"^Q(\d+)", 1).cast("long"))
+    x = x.withColumn("numbers", F.array_sort(F.array_distinct(numbers)))
+    gaps = F.transform(F.sequence(F.lit(1), F.size("numbers") - 1), lambda i: F.get("numbers", i) - F.get("numbers", i - 1))
+    battery = F.when(F.size("numbers") >= 2, F.array_min(gaps) <= 3)
+    score = F.when(F.size("core") == 0, 0.5).when(battery, 0.1).when((F.size("modules") == 1) & (F.size("core") >= 2), 0.15).when(F.col("best") == 1, 0.1).otherwise(1 - F.col("best"))
     return x.select("insight_id", F.round(score, 6).alias("novelty"))
 
 

@@ -16,13 +16,18 @@ def level_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def kept_levels(df: DataFrame, column: str, least: int = MIN_LEVEL_ROWS, most: int = MAX_LEVELS - 1) -> tuple[list[str], list[str], int]:
-    """Levels kept, levels pooled and the pooled rows. At most ``most`` + 1 rows are collected, and a count."""
+    """Levels kept, the first 200 names of levels pooled (for reports; all are pooled) and the pooled rows.
+
+    At most ``most`` + 201 rows are collected, and a count.
+    """
     counts = level_counts(df, column)
     top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "level").limit(most + 1).collect()
     kept = [r.level for r in top[:most]]
     rest = counts.where(~F.col("level").isin(kept)) if kept else counts
-    total = rest.agg(F.sum("n").alias("n"), F.slice(F.sort_array(F.collect_set("level")), 1, 200).alias("levels")).first() if kept else None
-    return kept, (total.levels or []) if total else [], int(total.n or 0) if total else 0
+    if not kept:
+        return kept, [], 0
+    names = [r.level for r in rest.select("level").orderBy("level").limit(200).collect()]
+    return kept, names, int(rest.agg(F.sum("n").alias("n")).first().n or 0)
 
 
 def collapse_rare(df: DataFrame, column: str, least: int = MIN_LEVEL_ROWS, most: int = MAX_LEVELS - 1) -> tuple[DataFrame, list[str]]:

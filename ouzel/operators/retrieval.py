@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
@@ -28,13 +30,19 @@ def scaled(cos: Column) -> Column:
 def cosine_topk(queries: DataFrame, items: DataFrame, k: int, least: float | None = None, most_queries: int = 100_000) -> DataFrame:
     """``query_id, item_id, similarity, rank``: the exact k nearest items of each query by (cosine + 1) / 2.
 
-    ``queries(query_id, v)`` are sent out (their number is checked), norms are computed once, and each task
-    keeps k items of a query before anything is shuffled. Equal similarities go by item id; an item isn't
-    its own neighbour.
+    ``queries(query_id, v)`` are sent out, in blocks by hash of about ``most_queries`` with a pass each if there are more,
+    norms are computed once, and each task keeps k items of a query before anything is shuffled. Equal similarities go by
+    item id; an item isn't its own neighbour.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search them in blocks")
+    blocks = -(-queries.count() // most_queries)
+    if blocks > 1:
+        queries, items = stage(queries.select("query_id", "v"), "queries"), stage(items.select("item_id", "v"), "items")
+        parts = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks))
+        return reduce(DataFrame.unionAll, [stage(_nearest(q, items, k, least), "nearest") for q in parts])
+    return _nearest(queries, items, k, least)
+
+
+def _nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None) -> DataFrame:
     q = queries.select("query_id", F.col("v").alias("qv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("qn"))
     i = items.select("item_id", F.col("v").alias("iv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("vn"))
     s = i.join(F.broadcast(q), F.col("query_id") != F.col("item_id"))

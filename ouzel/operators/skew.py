@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..session import stage
 
@@ -102,10 +102,10 @@ def per_key(df: DataFrame, key: str, order: str, tie: str, value: str, partition
     stitched = (
         states.where("edge").groupBy("k")
         .agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.sum("total").alias("total"),
-             F.expr("sum(m2) + sum(case when n_values > 0 then total * total / n_values else 0 end)").alias("squares"),
+             F.collect_list(F.when(F.col("n_values") > 0, F.struct(F.col("n_values").cast("double").alias("n"), (F.col("total") / F.col("n_values")).alias("mean"), F.col("m2").alias("m2")))).alias("moments"),
              F.min("least").alias("least"), F.max("most").alias("most"), F.min("first").alias("first"), F.max("last").alias("last"),
              F.max("gap").alias("gap"), F.sum("n_ordered").alias("n_ordered"), parts.alias("s"))
-        .withColumn("m2", F.greatest(F.lit(0.0), F.coalesce(F.col("squares") - F.try_divide(F.col("total") * F.col("total"), F.col("n_values")), F.lit(0.0))))
+        .withColumn("m2", F.aggregate("moments", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")), _merged)["m2"])
         .withColumn("gap", F.when(F.size("s") > 1, F.greatest("gap", between)).otherwise(F.col("gap")))
     )
     cols = ["k", "n", "n_values", "total", "m2", "least", "most", "first", "last", "gap", "n_ordered"]
@@ -119,6 +119,12 @@ def per_key(df: DataFrame, key: str, order: str, tie: str, value: str, partition
     )
 
 
+def _merged(a: Column, b: Column) -> Column:
+    """Both states' rows, mean and squares about it; differences of means don't cancel as sums of squares do."""
+    n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+    return F.struct(n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n).alias("m2"))
+
+
 def heavy_keys(stats: DataFrame, share: float) -> DataFrame:
     """Keys of ``per_key`` results, neither null nor blank, that hold at least ``share`` of all rows."""
     total = stats.agg(F.sum("n_rows")).first()[0] or 0

@@ -382,7 +382,7 @@ SQL = {
     "chain": f"WITH {_E}, f AS (SELECT source_id AS a, min(target_id) AS b FROM e WHERE relation_type = 'deepens' GROUP BY 1), c1 AS (SELECT a AS start, 1 AS depth, b AS node FROM f), c2 AS (SELECT start, 2 AS depth, b AS node FROM c1 JOIN f ON node = a WHERE b <> start), c3 AS (SELECT start, 3 AS depth, b AS node FROM c2 JOIN f ON node = a WHERE b <> start) SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3",
     "graph_frontiers": f"WITH {_D}, m AS (SELECT DISTINCT unnest(mods) AS m FROM d), p AS (SELECT a.m AS module_a, b.m AS module_b FROM m a JOIN m b ON a.m < b.m) SELECT module_a, module_b, count(insight_id) AS n FROM p LEFT JOIN d ON list_contains(mods, module_a) AND list_contains(mods, module_b) GROUP BY 1, 2",
     "struct_similar": f"WITH {_D}, q AS (SELECT insight_id AS query_id, core AS qc FROM d WHERE substr(insight_id, 5)::bigint % 20 = 0), x AS (SELECT query_id, insight_id, len(list_intersect(core, qc))::double / len(list_distinct(core || qc)) AS s FROM q JOIN d ON query_id <> insight_id WHERE len(core) > 0 AND len(qc) > 0) SELECT query_id, insight_id, round(s, 6) AS similarity FROM x WHERE s >= 0.5",
-    "struct_novelty": f"WITH {_D}, x AS (SELECT a.insight_id, len(a.core) AS k, len(a.mods) AS m, coalesce(max(len(list_intersect(a.core, b.core))::double / len(list_distinct(a.core || b.core))), 0) AS best FROM d a LEFT JOIN d b ON b.created_at < a.created_at AND len(b.core) > 0 AND list_has_any(a.core, b.core) WHERE a.is_seed IS NOT TRUE GROUP BY 1, 2, 3) SELECT insight_id, round(CASE WHEN k = 0 THEN 0.5 WHEN best = 1 THEN 0.1 WHEN m = 1 THEN 0.15 ELSE 1 - best END, 6) AS novelty FROM x",
+    "struct_novelty": f"WITH {_D}, x AS (SELECT a.insight_id, len(a.core) AS k, len(a.mods) AS m, list_sort(list_distinct(list_transform(list_filter(any_value(a.core), lambda c: regexp_matches(c, '^Q[0-9]+')), lambda c: regexp_extract(c, '^Q([0-9]+)', 1)::bigint))) AS q, coalesce(max(len(list_intersect(a.core, b.core))::double / len(list_distinct(a.core || b.core))), 0) AS best FROM d a LEFT JOIN d b ON b.created_at < a.created_at AND len(b.core) > 0 AND list_has_any(a.core, b.core) WHERE a.is_seed IS NOT TRUE GROUP BY 1, 2, 3) SELECT insight_id, round(CASE WHEN k = 0 THEN 0.5 WHEN len(q) >= 2 AND list_min(list_transform(range(1, len(q)), lambda i: q[i + 1] - q[i])) <= 3 THEN 0.1 WHEN m = 1 AND k >= 2 THEN 0.15 WHEN best = 1 THEN 0.1 ELSE 1 - best END, 6) AS novelty FROM x",
     "seed_edges": "WITH s AS (SELECT insight_id, test_type, CASE WHEN isfinite(effect_size) THEN abs(effect_size) ELSE 0 END AS e FROM insight WHERE is_seed), r AS (SELECT insight_id, test_type, row_number() OVER (PARTITION BY test_type ORDER BY e, insight_id) AS k FROM s) SELECT a.insight_id AS source_id, b.insight_id AS target_id FROM r a JOIN r b ON a.test_type IS NOT DISTINCT FROM b.test_type AND b.k - a.k BETWEEN 1 AND 2",
     "merge_repeats": f"SELECT {_DSL} AS dsl, arg_min(insight_id, (created_at, insight_id)) AS insight_id, count(*) AS n, max(CASE WHEN isfinite(validity_score) THEN validity_score END) AS validity_score, max(CASE WHEN isfinite(novelty_score) THEN novelty_score END) AS novelty_score FROM insight WHERE dsl_sentence IS NOT NULL GROUP BY 1",
     "dsl_normalize": f"SELECT insight_id, {_DSL} AS dsl, lower(regexp_extract(trim(dsl_sentence), '^(\\w+)\\s*\\(', 1)) AS head, {_RANK.format(chr(114) + 'egexp_extract(trim(dsl_sentence), ' + repr('^(' + chr(92) + 'w+)' + chr(92) + 's*' + chr(92) + '(').replace(chr(92) * 2, chr(92)) + ', 1)')} AS depth FROM insight",

@@ -192,3 +192,27 @@ def test_near_pairs_have_no_cap(spark):
     for block in (1000, 7):
         got = [(r.item_a, r.item_b) for r in retrieval.near_pairs(df, 0.65, block).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_heavy_keys_of_large_values_keep_their_spread(spark):
+    df = spark.range(4000).select(F.lit("heavy").alias("k"), F.col("id").alias("o"), "id", (F.lit(1e9) + F.col("id") % 10).alias("v"))
+    got = per_key(df, "k", "o", "id", "v", partitions=9).first()
+    assert got.std_value == pytest.approx((8.25 * 4000 / 3999) ** 0.5, rel=1e-9) and got.mean_value == pytest.approx(1e9 + 4.5, rel=1e-12)
+
+
+def test_cosine_search_in_blocks(spark):
+    from ouzel.operators.retrieval import cosine_topk
+
+    v = spark.range(60).select(F.col("id").alias("item_id"), F.array(*(F.sin(F.col("id") * k) for k in (1, 2, 3))).alias("v"))
+    q = v.where("item_id % 2 = 0").select(F.col("item_id").alias("query_id"), "v")
+    whole, cut = ({tuple(r) for r in cosine_topk(q, v, 3, most_queries=m).collect()} for m in (1000, 7))
+    assert whole == cut and len(cut) == 90
+
+
+def test_levels_pooled_beyond_the_report(spark):
+    from ouzel.operators.levels import collapse_rare, kept_levels
+
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, "big").otherwise(F.concat(F.lit("r"), F.col("id").cast("string"))).alias("c"))
+    kept, names, n = kept_levels(df, "c")
+    assert (kept, len(names), names[0], n) == (["big"], 200, "r1000", 2000)
+    assert {(r.c, r["count"]) for r in collapse_rare(df, "c")[0].groupBy("c").count().collect()} == {("big", 1000), ("Other", 2000)}
