@@ -27,26 +27,28 @@ def scaled(cos: Column) -> Column:
     return (cos + 1) / 2
 
 
-def cosine_topk(queries: DataFrame, items: DataFrame, k: int, least: float | None = None, most_queries: int = 100_000) -> DataFrame:
+def cosine_topk(queries: DataFrame, items: DataFrame, k: int, least: float | None = None, most_queries: int = 100_000, digits: int | None = None) -> DataFrame:
     """``query_id, item_id, similarity, rank``: the exact k nearest items of each query by (cosine + 1) / 2.
 
     ``queries(query_id, v)`` are sent out, in blocks by hash of about ``most_queries`` with a pass each if there are more,
     norms are computed once, and each task keeps k items of a query before anything is shuffled. Equal similarities go by
-    item id; an item isn't its own neighbour.
+    item id, after rounding to ``digits`` if given; an item isn't its own neighbour.
     """
     blocks = -(-queries.count() // most_queries)
     if blocks > 1:
         queries, items = stage(queries.select("query_id", "v"), "queries"), stage(items.select("item_id", "v"), "items")
         parts = (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks))
-        return reduce(DataFrame.unionAll, [stage(_nearest(q, items, k, least), "nearest") for q in parts])
-    return _nearest(queries, items, k, least)
+        return reduce(DataFrame.unionAll, [stage(_nearest(q, items, k, least, digits), "nearest") for q in parts])
+    return _nearest(queries, items, k, least, digits)
 
 
-def _nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None) -> DataFrame:
+def _nearest(queries: DataFrame, items: DataFrame, k: int, least: float | None, digits: int | None) -> DataFrame:
     q = queries.select("query_id", F.col("v").alias("qv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("qn"))
     i = items.select("item_id", F.col("v").alias("iv"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("vn"))
-    s = i.join(F.broadcast(q), F.col("query_id") != F.col("item_id"))
+    s = i.join(F.broadcast(q), F.col("query_id").cast("string") != F.col("item_id").cast("string"))
     s = s.select("query_id", "item_id", scaled(F.coalesce(F.try_divide(dot(F.col("qv"), F.col("iv")), F.col("qn") * F.col("vn")), F.lit(0.0))).alias("similarity"))
+    if digits is not None:
+        s = s.withColumn("similarity", F.round("similarity", digits))
     if least is not None:
         s = s.where(F.col("similarity") >= least)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
@@ -122,17 +124,20 @@ def tfidf_topk(cards: DataFrame, queries: DataFrame, k: int, stop: list[str] | N
     return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def seed_expand(scored: DataFrame, edges: DataFrame, seeds: int = 5, k: int = 10) -> DataFrame:
+def seed_expand(queries: DataFrame, findings: DataFrame, edges: DataFrame, seeds: int = 5, k: int = 10) -> DataFrame:
     """``query_id, node, score, rank``: the nearest findings and their neighbours by 0.6 similarity + 0.4 validity.
 
-    ``scored(query_id, node, similarity, validity)`` has every finding of every query.
+    ``queries(query_id, v)``, ``findings(node, v, validity)``. Only the ``seeds`` nearest findings of a query leave the search,
+    so that pairs are those of a query with its seeds and their neighbours. Similarities count to six digits.
     """
-    first = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node"))).where(F.col("r") <= seeds).select("query_id", "node")
+    first = cosine_topk(queries, findings.select(F.col("node").alias("item_id"), "v"), seeds, digits=6).select("query_id", F.col("item_id").alias("node"))
+    first = stage(first, "seeds")
     e = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     both = e.unionAll(e.select("b", "a"))
     near = first.join(both, first.node == both.a).select("query_id", F.col("b").alias("node"))
-    pool = first.unionAll(near).distinct().join(scored, ["query_id", "node"])
-    pool = pool.withColumn("score", F.round(0.6 * F.col("similarity") + 0.4 * F.coalesce("validity", F.lit(0.0)), 6))
+    pool = first.unionAll(near).distinct().join(findings, "node").join(queries.select("query_id", F.col("v").alias("qv")), "query_id")
+    similarity = F.round(scaled(cosine(F.col("qv"), F.col("v"))), 6)
+    pool = pool.withColumn("score", F.round(0.6 * similarity + 0.4 * F.coalesce("validity", F.lit(0.0)), 6))
     return pool.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))).where(F.col("rank") <= k).select("query_id", "node", "score", "rank")
 
 

@@ -245,9 +245,8 @@ def _vectors(s, d):
 
 def seed_expand(s, d):
     v = _vectors(s, d).join(_insights(s, d).select(F.col("insight_id").alias("node"), F.col("validity_score").alias("validity")), "node")
-    q = table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    scored = v.join(F.broadcast(q)).select("query_id", "node", F.round(V.scaled(V.cosine(F.col("qv"), F.col("v"))), 6).alias("similarity"), "validity")  # queries are a fixed part of a small table
-    return V.seed_expand(stage(scored, "scored"), _edges(s, d))
+    q = table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return V.seed_expand(q, v.select("node", "v", "validity"), _edges(s, d))
 
 
 def diverse_topk(s, d):
