@@ -4,27 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..functions.render import citations
-from ..operators.retrieval import scaled, seed_expand
+from ..operators.retrieval import seed_expand
 
 Writer = Callable[[str, list[tuple[str, str]]], str]
 Checker = Callable[[str, str], bool]
 
 
-def score_findings(findings: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, node, similarity, validity``: every query against every finding, by their vectors.
-
-    ``findings(node, v, validity)``, ``queries(query_id, v)``; queries are few and sent out.
-    """
-    from ..operators.retrieval import cosine
-
-    q = queries.select("query_id", F.col("v").alias("qv"))
-    return findings.join(F.broadcast(q)).select("query_id", "node", scaled(cosine(F.col("qv"), F.col("v"))).alias("similarity"), "validity")  # a query set against all rows
-
-
 def first_sentences(question: str, passages: list[tuple[str, str]]) -> str:
     """A plain writer: the passages themselves with their ids."""
     return " ".join(f"{text.rstrip('.')} [{node}]." for node, text in passages)
@@ -37,7 +25,7 @@ def answer(question: str, question_vector: list[float], findings: DataFrame, tex
     """
     spark = findings.sparkSession
     q = spark.createDataFrame([("q", question_vector)], "query_id string, v array<double>")
-    top = seed_expand(score_findings(findings, q), edges, seeds, k).join(texts, "node").orderBy("rank").collect()
+    top = seed_expand(q, findings, edges, seeds, k).join(texts, "node").orderBy("rank").collect()
     passages = [(r.node, r.text) for r in top]
     text = write(question, passages) if passages else ""
     found = citations(text, {n for n, _ in passages})
