@@ -9,7 +9,7 @@ from ouzel.functions import text as X
 from ouzel.operators import cleaning, graph, levels, metrics, retrieval
 from ouzel.operators.components import connected_components
 from ouzel.operators.gram import correlations, gram
-from ouzel.operators.prescan import critical_r, prescan
+from ouzel.operators.prescan import critical_r, module_rollup, prescan
 from ouzel.operators.ranks import mid_ranks
 from ouzel.operators.skew import heavy_keys, per_key
 
@@ -43,6 +43,13 @@ def test_prescan_significance(spark):
         assert abs(r.r) >= critical_r(r.n, 0.01) - 1e-4
 
 
+def test_module_rollup_of_many_rows(spark):
+    many = spark.range(300_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 5 + F.col("id") % 7).alias("b"))
+    x = module_rollup(prescan(many, ["a", "b"], {"a": "m", "b": "k"}, p=1.0, least_r=0.0, cap=None)).collect()
+    assert [(r.module_1, r.module_2, r.n, r.top_pairs) for r in x] == [("k", "m", 1, ["a~b"])]
+    assert x[0].mean_abs_r == pytest.approx(many.agg(F.corr("a", "b")).first()[0], abs=1e-6)
+
+
 def test_mid_ranks(spark):
     v = np.random.default_rng(0).integers(0, 50, 500)
     got = {r.value: r.mid_rank for r in mid_ranks(spark.createDataFrame([(int(x),) for x in v], "v int"), "v").collect()}
