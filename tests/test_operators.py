@@ -9,7 +9,7 @@ from ouzel.functions import text as X
 from ouzel.operators import cleaning, graph, levels, metrics, retrieval
 from ouzel.operators.components import connected_components
 from ouzel.operators.gram import correlations, gram
-from ouzel.operators.prescan import critical_r, module_rollup, prescan
+from ouzel.operators.prescan import critical_r, module_rollup, prescan, significant
 from ouzel.operators.ranks import mid_ranks
 from ouzel.operators.skew import heavy_keys, per_key
 
@@ -43,6 +43,12 @@ def test_prescan_significance(spark):
         assert abs(r.r) >= critical_r(r.n, 0.01) - 1e-4
 
 
+def test_significance_of_large_and_least_n(spark):
+    cases = [(n, critical_r(n, 0.01) * by) for n in (100, 300_000, 5_000_000, 10**10) for by in (0.999, 1.001)] + [(2, 1.0)]
+    got = spark.createDataFrame(cases, "n long, r double").select(F.coalesce(significant(F.col("r"), F.col("n"), 0.01), F.lit(False)).alias("yes"))
+    assert [r.yes for r in got.collect()] == [False, True] * 4 + [False]
+
+
 def test_module_rollup_of_many_rows(spark):
     many = spark.range(300_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 5 + F.col("id") % 7).alias("b"))
     x = module_rollup(prescan(many, ["a", "b"], {"a": "m", "b": "k"}, p=1.0, least_r=0.0, cap=None)).collect()
