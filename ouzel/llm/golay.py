@@ -13,9 +13,11 @@ too few for large collections, and anchors alone gather all texts with a common
 buckets small.
 
 Rows are shuffled by anchors and decoded where they meet, so that a segment is sent once and not once for each of its
-indices. Anchors that a sample shows to be common take a third anchor, from each of ``MORE`` other segments in turn, and
-a fourth where these are common too; ``segments_for`` reckons with what that may miss. Buckets that are large even so are
-spread over their codeword indices and pairs of blocks before the shuffle, which changes where a pair is found, not which pairs are.
+indices. Where many texts meet, a third anchor must be equal, from any of ``MORE`` other segments, and a fourth where these
+are many too; ``segments_for`` reckons with what that may miss. Ten bits of each go with the row for that, so that it is still
+sent once. Only where a sample shows more texts than one task should gather are rows sent by the third and fourth anchor
+instead, and buckets that are large even so are spread over their codeword indices and pairs of blocks, which changes where
+a pair is found, not which pairs are. Segments are shuffled in ``PASSES`` passes, each of which frees its disk.
 
 Candidates are compared by an upper bound of their similarity, which no true pair can fall below, then exactly.
 """
@@ -25,13 +27,14 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
-from ..session import is_small, stage
+from ..session import drop_staged, is_small, stage
 from .words import mix, pieces, shingle_hashes, word_hashes
 
 #: The generator polynomial x^11+x^9+x^7+x^6+x^5+x+1 of the code.
@@ -45,10 +48,12 @@ SIZES = 64
 MISS, SHARE = 0.001, 0.9
 #: Words on each side of an anchor that its vector is drawn from, and how many vectors over all words there are.
 AROUND, WHOLE = 12, 3
-#: A text in ``SAMPLED`` is counted to find common anchors, which ``COMMON`` of these share; a bucket is compared in blocks of ``BLOCK`` texts.
-SAMPLED, COMMON, BLOCK = 8, 3, 8192
-#: How often common anchors take one more, and from how many segments.
-DEPTH, MORE = 2, 3
+#: ``COMMON`` texts with equal anchors need one more in common. A text in ``SAMPLED`` is counted to find anchors of more than ``BLOCK`` texts, and such a bucket is compared in blocks of as many.
+SAMPLED, COMMON, BLOCK = 64, 24, 8192
+#: How often common anchors take one more, from how many segments, and how many bits of it go with a row.
+DEPTH, MORE, BIT = 2, 3, 10
+#: In how many parts the segments are shuffled, one after the other.
+PASSES = 3
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,6 +132,25 @@ def _vectors(least: Iterator[np.ndarray], count: int, n: int) -> np.ndarray:
     return out
 
 
+def _least_around(words: np.ndarray, sizes: np.ndarray, starts: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each of ``BITS`` hash functions, its least value over the ``width`` words from ``AROUND`` before each word on.
+
+    Texts lie ``AROUND`` apart, so that text k's first word is at its start plus k times as many places; no window reaches into
+    another text, as long as ``width`` is no more than twice that and a shingle, which starts within a text.
+    """
+    at = np.arange(len(words)) + np.repeat(AROUND * np.arange(1, len(sizes) + 1), sizes)
+    n = len(words) + AROUND * (len(sizes) + 1) + width
+    for h in _hashes(words, BITS, 47):
+        x = np.full(n, 0xFFFFFFFF, np.uint32)
+        x[at] = h
+        have = 1
+        while have < width:
+            step = min(have, width - have)
+            x = np.minimum(x[:-step], x[step:])
+            have += step
+        yield x
+
+
 def _print(grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's set of shingles hashed to 64 * ``WIDE`` bits, and the number of different shingles."""
     h = grams >> np.uint64(32)  # what shingles are compared by
@@ -164,17 +188,15 @@ def fingerprints(texts: list[str], segments: int, shingle: int, min_words: int)
     mixed = mix(flat)
     whole = _vectors((np.minimum.reduceat(h, starts) for h in _hashes(mixed, WHOLE * BITS, 11)), WHOLE, n)
     anchors, near = np.zeros((n, 2 * segments), np.uint32), np.zeros((n, segments), np.int32)
-    window = np.arange(-AROUND, shingle + AROUND)
-    # Like texts have like words around, which ``mixed`` words stand for; all segments may use the same hash functions.
+    ahead = np.zeros((n, segments), np.int64)
     for i, h in enumerate(_hashes(grams, 2 * segments, 29)):
         anchors[:, i] = least = np.minimum.reduceat(h, gram_starts)
         if i % 2 == 0:
             at = np.nonzero(h == np.repeat(least, counts))[0]
-            at = at[np.searchsorted(at, gram_starts)] - gram_starts + starts
-            place = at[:, None] + window
-            inside = (place >= starts[:, None]) & (place < ends[:, None])
-            around = mixed[np.where(inside, place, at[:, None])].T
-            near[:, i // 2] = _vectors((x.min(axis=0) for x in _hashes(around, BITS, 47)), 1, n)[:, 0]
+            ahead[:, i // 2] = at[np.searchsorted(at, gram_starts)] - gram_starts
+    # Like texts have like words around, which ``mixed`` words stand for; all segments may use the same hash functions.
+    for i, least in enumerate(_least_around(mixed, sizes, starts, 2 * AROUND + shingle)):
+        near |= ((least[ahead + (starts + AROUND * np.arange(n))[:, None]] >> np.uint32(9)) & np.uint32(1)).astype(np.int32) << np.int32(i)
     wide, each = _print(grams, gram_starts, counts)
     return places, anchors.view(np.int32), near, whole, wide, each
 
@@ -261,17 +283,37 @@ def _across(order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, side: np.n
             yield np.repeat(x[k : k + step], len(y)), np.tile(y, len(x[k : k + step]))
 
 
+def _narrowed(at: np.ndarray, group: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``at`` and their groups, those of groups of ``COMMON`` rows or more once for each further anchor, in groups that share it.
+
+    ``more`` has ``MORE`` further anchors for each of ``DEPTH`` steps, and above them the steps already taken.
+    """
+    for step in range(DEPTH):
+        often = (np.bincount(group)[group] >= COMMON) & (more[at] >> BIT * MORE * DEPTH <= step)
+        if often.any():
+            deep = at[often]
+            which = np.tile(np.arange(MORE), len(deep))
+            value = more[np.repeat(deep, MORE)] >> BIT * (MORE * (DEPTH - 1 - step) + which) & (1 << BIT) - 1
+            group = np.concatenate([(group[~often] * (MORE + 1) + MORE) << BIT, (np.repeat(group[often], MORE) * (MORE + 1) + which) << BIT | value])
+            at = np.concatenate([at[~often], np.repeat(deep, MORE)])
+            _, group, sizes = np.unique(group, return_inverse=True, return_counts=True)
+            at, group = at[sizes[group] > 1], group[sizes[group] > 1]
+    return at, group
+
+
 def _pairs_of(b: pd.DataFrame, apart: int) -> Iterator[pd.DataFrame]:
-    """Candidates among rows sorted by key, whose last key is whole, with sizes at most ``apart`` steps apart."""
+    """Candidates among rows sorted by key, whose last key is whole, with sizes at most ``apart`` steps apart.
+
+    Rows without ``more`` need no further anchors.
+    """
     key, u, vectors = b["key"].to_numpy(), b["u"].to_numpy(), b["vectors"].to_numpy()
     starts, sizes = _runs(key)
-    plain = np.nonzero(np.repeat(sizes > 1, sizes) & (vectors >= 0))[0]
-    found = []
-    if len(plain):
-        rows, index = _indices_of(vectors[plain])
-        code = np.repeat(np.arange(len(sizes)), sizes)[plain][rows] << 13 | index
-        by = np.argsort(code, kind="stable")
-        found.append(_within(plain[rows[by]], *_runs(code[by])))
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    plain = np.nonzero((sizes[run] > 1) & (vectors >= 0))[0]
+    group = run[plain]
+    if "more" in b and len(plain):
+        plain, group = _narrowed(plain, group, b["more"].to_numpy())
+    found = [_coded(plain, group, vectors)]
     first = vectors[starts]
     found.append(_within(np.arange(len(key)), starts, np.where(first == -3, sizes, 0)))
     found.append(_across(np.arange(len(key)), starts, np.where((first < 0) & (first > -3), sizes, 0), vectors))
@@ -283,6 +325,20 @@ def _pairs_of(b: pd.DataFrame, apart: int) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u_a": x, "u_b": y})[x != y].drop_duplicates()
 
 
+def _coded(at: np.ndarray, group: np.ndarray, vectors: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows ``at`` in one group that share a codeword index, of some ``most`` rows at once."""
+    by = np.argsort(group, kind="stable")
+    at, group = at[by], group[by]
+    start = 0
+    while start < len(at):
+        end = int(np.searchsorted(group, group[min(start + most, len(at)) - 1], "right"))
+        rows, index = _indices_of(vectors[at[start:end]])
+        code = group[start:end][rows] << 13 | index
+        by = np.argsort(code, kind="stable")
+        yield from _within(at[start:end][rows[by]], *_runs(code[by]))
+        start = end
+
+
 def _candidate_stage(threshold: float):
     # Two rounded logarithms may differ by one step more than the logarithms do.
     apart = math.ceil(-SIZES * math.log(threshold)) + 1
@@ -324,33 +380,63 @@ def candidates(prints: DataFrame, segments: int, threshold: float) -> DataFrame:
     """
     s, anchor = F.col("s"), F.col("anchor")
     size = F.floor(SIZES * F.log(F.col("n"))).cast("long")
-    rows = prints.select("u", "field", "anchor", "whole", size.alias("size"), F.posexplode("near").alias("s", "near")).select(
-        "u", F.shiftleft("size", 2 * BITS).bitwiseOR(F.shiftleft(F.col("whole")[s % WHOLE].cast("long"), BITS)).bitwiseOR(F.col("near").cast("long")).alias("vectors"), F.xxhash64("field", "s", anchor[2 * s], anchor[2 * s + 1]).alias("key"), "s", "anchor"
-    )
 
-    def common(rows: DataFrame, least: int) -> DataFrame:
-        counted = rows.where(F.pmod(F.xxhash64("u"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("common"))
-        return stage(counted.where(F.col("common") >= least), "common")
-
-    found = None
-    for depth in range(DEPTH + 1):
-        often = common(rows, COMMON if depth < DEPTH else BLOCK // SAMPLED)
-        if often.isEmpty():
+    def further(step: int) -> list[Column]:
+        return [anchor[2 * ((s + MORE * step + j) % segments)] for j in range(1, MORE + 1)]
+
+    def rows_of(prints: DataFrame, own: list[int]) -> DataFrame:
+        each = prints.select("u", "field", "anchor", "near", "whole", size.alias("size"), F.explode(F.array(*map(F.lit, own))).alias("s"))
+        vectors = F.shiftleft("size", 2 * BITS).bitwiseOR(F.shiftleft(F.col("whole")[s % WHOLE].cast("long"), BITS)).bitwiseOR(F.col("near")[s].cast("long"))
+        more = F.lit(0).cast("long")
+        for step in range(DEPTH):
+            for k, a in enumerate(further(step)):
+                more = more.bitwiseOR(F.shiftleft(a.bitwiseAND((1 << BIT) - 1).cast("long"), BIT * (MORE * (DEPTH - 1 - step) + k)))
+        return each.select("u", vectors.alias("vectors"), more.alias("more"), F.xxhash64("field", "s", anchor[2 * s], anchor[2 * s + 1]).alias("key"), "s", "anchor")
+
+    def deeper(rows: DataFrame, often: DataFrame, step: int) -> DataFrame:
+        """The rows of too common anchors, by one more."""
+        other = F.array(*(F.xxhash64("key", a) for a in further(step)))
+        taken = F.shiftleft(F.lit(1).cast("long"), BIT * MORE * DEPTH)
+        return rows.join(F.broadcast(often), "key", "left_semi").select("u", "vectors", (F.col("more") + taken).alias("more"), F.explode(other).alias("key"), "s", "anchor")
+
+    # a key in ``often`` has some BLOCK rows, so they are few enough to be sent out
+    often: list[DataFrame] = []
+    rows = rows_of(prints.where(F.pmod(F.xxhash64("u"), F.lit(SAMPLED)) == 0), list(range(segments)))
+    for step in range(DEPTH + 1):
+        counted = rows.groupBy("key").agg(F.count("*").alias("common"))
+        often.append(stage(counted.where(F.col("common") >= BLOCK // SAMPLED), "common", free=True))
+        if often[-1].isEmpty():
             break
-        rare = rows.join(often, "key", "left_anti").select("key", "u", "vectors")
-        found = rare if found is None else found.unionAll(rare)
-        if is_small(often):
-            rows = rows.join(F.broadcast(often), "key")
-        else:  # anchors follow the rows that need them, so that no join sends them with every row
-            rows = rows.drop("anchor").join(often, "key").join(prints.select("u", "anchor"), "u")
-        if depth < DEPTH:
-            other = F.array(*(F.xxhash64("key", anchor[2 * ((s + MORE * depth + j) % segments)]) for j in range(1, MORE + 1)))
-            rows = rows.select("u", "vectors", F.explode(other).alias("key"), "s", "anchor")
-        else:
-            rows = rows.mapInPandas(_spread, found.schema)
-    rows = rows.select("key", "u", "vectors")
-    every = rows if found is None else found.unionAll(rows)
-    return every.repartition("key").sortWithinPartitions("key").mapInPandas(_candidate_stage(threshold), "u_a long, u_b long").distinct()
+        if step < DEPTH:
+            rows = deeper(rows, often[-1], step)
+
+    found = []
+    for part in range(min(PASSES, segments)):
+        rows, every = rows_of(prints, list(range(part, segments, PASSES))), []
+        for step, o in enumerate(often):
+            every.append((rows if o.isEmpty() else rows.join(F.broadcast(o), "key", "left_anti")).select("key", "u", "vectors", "more"))
+            if not o.isEmpty():
+                rows = deeper(rows, o, step) if step < DEPTH else rows.join(F.broadcast(o), "key").select("key", "u", "vectors", "common")
+        if len(often) > DEPTH and not often[DEPTH].isEmpty():
+            every.append(rows.mapInPandas(_spread, "key long, u long, vectors long").withColumn("more", F.lit(DEPTH).cast("long") * (1 << BIT * MORE * DEPTH)))
+        sent = reduce(DataFrame.unionAll, every).repartition("key").sortWithinPartitions("key")
+        found.append(stage(sent.mapInPandas(_candidate_stage(threshold), "u_a long, u_b long"), "part", free=True))
+    out = stage(reduce(DataFrame.unionAll, found).distinct(), "candidates", free=True)
+    for part in found:
+        drop_staged(part)
+    return out
+
+
+def _bits(rows: DataFrame) -> DataFrame:
+    """``bucket, bits``: the numbers ``u`` as bitmaps of 4 KB for 32,768 of them."""
+    return rows.groupBy(F.bitmap_bucket_number("u").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("u")).alias("bits"))
+
+
+def _without(rows: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``u`` isn't in ``bitmaps``, which is sent out: 12.5 MB for 100 million texts."""
+    place = F.bitmap_bit_position("u")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("int(bitmap_bit_position(u) div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bitmaps), (F.bitmap_bucket_number("u") == F.col("bucket")) & (F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1), "left_anti")
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, segments: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -366,19 +452,22 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, min_w
     """
     segments = segments or segments_for(threshold)
     present = docs.where(F.col("text").isNotNull()).select("field", F.col("id").cast("string").alias("id"), F.unhex(F.md5("text")).alias("digest"), "text")
-    prints = stage(
+    whole = stage(
         present.mapInPandas(_fingerprint_stage(segments, shingle, min_words), "field string, id string, digest binary, anchor array<int>, near array<int>, whole array<int>, wide array<long>, n int").withColumn("u", F.monotonically_increasing_id()),
         "fingerprints",
     )
-    copies = stage(prints.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies")
+    copies = stage(whole.groupBy("field", "digest").agg(F.min("u").alias("rep"), F.count("*").alias("n")).where("n > 1"), "copies", free=True)
+    later = stage(_bits(whole.select("u", "field", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"]).where("rep <> u").select("u")), "later", free=True)
+    likely = candidates(_without(whole.select("u", "field", "anchor", "near", "whole", "n"), later), segments, threshold)
+    prints = stage(whole.select("u", "field", "id", "digest", "wide", "n"), "prints")
+    drop_staged(whole)
     members = prints.select("u", "field", "id", "digest").join(copies.select("field", "digest", "rep"), ["field", "digest"], "left").select("u", "field", "id", F.coalesce("rep", "u").alias("rep"))
-    later = stage(members.where("rep <> u").select("u"), "later")
-    found = stage(candidates(prints.join(later, "u", "left_anti").select("u", "field", "anchor", "near", "whole", "n"), segments, threshold), "candidates")
     wa, wb = (prints.select(*(F.col(c).alias(f"{c}_{side}") for c in ("u", "n", "wide"))) for side in "ab")
-    found = stage(found.join(wa, "u_a").join(wb, "u_b").where(may_reach(threshold)).select("u_a", "u_b"), "likely")
-    involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved")
+    found = stage(likely.join(wa, "u_a").join(wb, "u_b").where(may_reach(threshold)).select("u_a", "u_b"), "likely", free=True)
+    drop_staged(likely)
+    involved = stage(found.select(F.explode(F.array("u_a", "u_b")).alias("u")).distinct().join(prints.select("u", "field", "id", "digest"), "u"), "involved", free=True)
     texts = present.join(F.broadcast(involved) if is_small(involved) else involved, ["field", "id", "digest"]).select("u", "text")
-    sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<int>").dropDuplicates(["u"]), "shingles")
+    sets = stage(texts.mapInPandas(_shingle_stage(shingle), "u long, s array<int>").dropDuplicates(["u"]), "shingles", free=True)
     sa, sb = sets.select(F.col("u").alias("u_a"), F.col("s").alias("s_a")), sets.select(F.col("u").alias("u_b"), F.col("s").alias("s_b"))
     both = found.join(sa, "u_a").join(sb, "u_b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
     pairs = (
@@ -396,8 +485,8 @@ def near_copy_rows(docs: DataFrame, **options) -> DataFrame:
     n(n-1)/2 of them. ``near_copies`` itself compares each different text once.
     """
     members, pairs, copies = near_copies(docs, **options)
-    pairs = stage(pairs, "pairs")
-    copied = stage(members.join(copies.select("rep"), "rep"), "copied")
+    pairs = stage(pairs, "pairs", free=True)
+    copied = stage(members.join(copies.select("rep"), "rep"), "copied", free=True)
     name = members.select("u", "field", "id")
     ids = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("u")).distinct().join(name, "u")
     own = ids.join(copied.select(F.col("rep").alias("u"), F.col("id").alias("copy")), "u", "left").select("u", "field", F.coalesce("copy", "id").alias("id"))
@@ -417,7 +506,7 @@ def near_copy_groups(docs: DataFrame, **options) -> DataFrame:
     from ..operators.components import connected_components
 
     members, pairs, copies = near_copies(docs, **options)
-    pairs = stage(pairs, "pairs")
+    pairs = stage(pairs, "pairs", free=True)
     parts = connected_components(pairs, "rep_a", "rep_b")
     degree = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("near"))
     m = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").join(copies.select("rep", "n"), "rep", "left")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -211,3 +212,55 @@ def test_spread_rows_give_the_same_candidates():
     many = pd.concat([rows.assign(key=rows["key"] + 2 * k, u=rows["u"] + 600 * k) for k in range(4)], ignore_index=True)
     cut = [many.iloc[i : i + 97] for i in range(0, len(many), 97)]
     assert len(pd.concat(G._candidate_stage(0.6)(iter(cut))).drop_duplicates()) == 4 * len(want)
+
+
+def test_common_anchors_need_more_of_them():
+    rng = np.random.default_rng(9)
+    key = np.sort(np.concatenate([np.zeros(400, np.int64), np.ones(200, np.int64), np.arange(2, 300) // 20 + 2]))
+    more = sum(rng.integers(0, 4, len(key)) << G.BIT * k for k in range(G.MORE * G.DEPTH))
+    more |= np.where(key == 1, 1, 0) << G.BIT * G.MORE * G.DEPTH  # sent by the third anchor already
+    b = pd.DataFrame({"key": key, "u": rng.permutation(len(key)).astype(np.int64), "vectors": np.full(len(key), 12345), "more": more})
+    got = {(x, y) for p in G._pairs_of(b, 0) for x, y in zip(p["u_a"], p["u_b"])}
+    part = lambda m, step, k: int(m) >> G.BIT * (G.MORE * (G.DEPTH - 1 - step) + k) & (1 << G.BIT) - 1
+
+    def pairs(rows, step):
+        if len(rows) < G.COMMON or step == G.DEPTH:
+            return {(min(x, y), max(x, y)) for x, y in itertools.combinations((r.u for r in rows), 2)}
+        if rows[0].more >> G.BIT * G.MORE * G.DEPTH > step:
+            return pairs(rows, step + 1)
+        return set().union(*(pairs([r for r in rows if part(r.more, step, k) == v], step + 1) for k in range(G.MORE) for v in range(4)))
+
+    rows = list(b.itertuples())
+    want = set().union(*(pairs([r for r in rows if r.key == k], 0) for k in set(key)))
+    assert got == want and 10_000 < len(want) < 400 * 399 / 2
+
+
+def test_candidates_send_a_row_a_segment_and_free_their_disk(spark):
+    from pathlib import Path
+
+    rng = random.Random(3)
+    docs = [" ".join(rng.choices(WORDS[:6], k=40)) for _ in range(400)]  # texts share many phrases
+    df = spark.createDataFrame([("f", f"{i:04d}", t) for i, t in enumerate(docs)], "field string, id string, text string")
+    dirs = [Path(str(x)) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {f for d in dirs for f in d.rglob("shuffle_*.data")}
+    before = shuffled()
+    seen, stage = [], G.stage
+
+    def staged(frame, label="stage", **options):
+        if label == "part":
+            text = frame._jdf.queryExecution().optimizedPlan().toString()
+            seen.append(text.count("Generate explode"))
+        return stage(frame, label, **options)
+
+    G.stage = staged
+    try:
+        members, pairs, _ = G.near_copies(df, threshold=0.6, shingle=3)
+    finally:
+        G.stage = stage
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert seen == [1] * G.PASSES  # no row is sent once more for a further anchor
+    assert members.count() == 400
