@@ -12,6 +12,8 @@ from ouzel.operators.gram import correlations, gram
 from ouzel.operators.prescan import critical_r, module_rollup, prescan, significant
 from ouzel.operators.ranks import mid_ranks
 from ouzel.operators.skew import heavy_keys, per_key
+from ouzel.queries.pipeline import MODULES
+from ouzel.queries.statistics import NUMBERS, QUERIES
 
 
 def test_gram(spark):
@@ -49,6 +51,17 @@ def test_significance_of_large_and_least_n(spark):
     assert [r.yes for r in got.collect()] == [False, True] * 4 + [False]
 
 
+def test_prescan_cap_of_many_rows(spark, tmp_path):
+    many = spark.range(300_000).select(*(((F.col("id") % 7) * i + F.col("id") % (11 + i)).alias(c) for i, c in enumerate(NUMBERS)))
+    many.write.parquet(f"{tmp_path}/amazon_books_autokd.parquet")
+    got = QUERIES["prescan_cap"](spark, str(tmp_path)).collect()
+    p = many.toPandas().corr()
+    want = {(a, b): p.loc[a, b] for a, b in itertools.combinations(NUMBERS, 2) if abs(p.loc[a, b]) >= 0.03}
+    assert 0 < len(want) == len(got) and all(r.n == 300_000 and r.r == pytest.approx(want[r.a, r.b], abs=1e-6) for r in got)
+    order = [(not r.cross, -abs(r.r)) for r in got]
+    assert order == sorted(order) and all(r.cross == (MODULES[r.a] != MODULES[r.b]) for r in got)
+
+
 def test_module_rollup_of_many_rows(spark):
     many = spark.range(300_000).select((F.col("id") % 7).alias("a"), (F.col("id") % 5 + F.col("id") % 7).alias("b"))
     x = module_rollup(prescan(many, ["a", "b"], {"a": "m", "b": "k"}, p=1.0, least_r=0.0, cap=None)).collect()
