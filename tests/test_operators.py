@@ -69,6 +69,23 @@ def test_module_rollup_of_many_rows(spark):
     assert x[0].mean_abs_r == pytest.approx(many.agg(F.corr("a", "b")).first()[0], abs=1e-6)
 
 
+def test_module_pair_rollup_names_strongest_pairs(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    p = pd.DataFrame(rng.normal(size=(2000, len(NUMBERS))) + rng.normal(size=(2000, 1)) * np.linspace(0.1, 1, len(NUMBERS)), columns=NUMBERS)
+    p["review_avg_word_length"] = -2 * p.review_word_count  # ties
+    spark.createDataFrame(p).repartition(5).write.parquet(f"{tmp_path}/amazon_books_autokd.parquet")
+    got = QUERIES["module_pair_rollup"](spark, str(tmp_path)).collect()
+    want, r = {}, p.corr().abs().round(9)
+    for a, b in itertools.combinations(NUMBERS, 2):
+        want.setdefault(tuple(sorted((MODULES[a], MODULES[b]))), []).append((-r.loc[a, b], a, b))
+    assert {(x.module_1, x.module_2): (x.n, x.top_pairs) for x in got} == {k: (len(v), ",".join(f"{a}~{b}" for _, a, b in sorted(v)[:5])) for k, v in want.items()}
+
+
+def test_module_rollup_ties_by_name(spark):
+    pairs = spark.createDataFrame([("b", "c", 0.1 + 0.2, "m", "k"), ("a", "d", -0.3, "k", "m"), ("a", "c", 0.2999, "k", "m")], "a string, b string, r double, module_a string, module_b string")
+    assert module_rollup(pairs, top=2).first().top_pairs == ["a~d", "b~c"]
+
+
 def test_mid_ranks(spark):
     v = np.random.default_rng(0).integers(0, 50, 500)
     got = {r.value: r.mid_rank for r in mid_ranks(spark.createDataFrame([(int(x),) for x in v], "v int"), "v").collect()}
